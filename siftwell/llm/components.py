@@ -18,35 +18,29 @@ def _lowest(sym: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     sym = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _lowest(sym)
-    return sym.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return sym.filter("v > u").join(_lowest(sym), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = _lowest(down)
-    moved = down.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """edges with u > v."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Count and order-free digest: equal before and after a round only if the edges are."""
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
-
-
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges (u, v), any orderable type, no nulls; self-loops are ignored. Returns (node, root): every node that has an
     edge, with the smallest node of its component. No edges: no rows. Repeated edges count once."""
-    now = scratch.keep(
-        edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
-    )
-    state = _state(now)
-    while state[0]:
+    now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    kept = None
+    while True:
         after = scratch.keep(_small_star(_large_star(now)), "edges")
-        scratch.drop(now)
-        now, before, state = after, state, _state(after)
-        if state == before:
+        if kept is not None:
+            scratch.drop(kept)
+        now = kept = after
+        # Done once all edges lead to a root: no end of an edge is the start of another, and no node has two ends.
+        starts = now.groupBy("u").agg(F.count("*").alias("ends"))
+        if starts.join(now.select(F.col("v").alias("u"), F.lit(1).alias("low")), "u", "left").filter("ends > 1 or low = 1").isEmpty():
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
