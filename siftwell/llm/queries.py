@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.llm.chat_format import read_back, segments
 from siftwell.llm.decontaminate import n_hit, scan
 from siftwell.llm.line_dedup import remove_lines
 from siftwell.llm.near_dedup import classify
@@ -114,3 +115,45 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_lines(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+#: Escaped text, in SQL: the template's control strings, in their order.
+_ESCAPED = "replace(coalesce(text, ''), '\\', '\\\\')"
+for _c in ("</s>", "<</SYS>>", "<<SYS>>", "<s>", "<|end|>", "<|role|>", "[/INST]", "[INST]"):
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
+
+
+@_query(
+    "op10_chat_format",
+    f"""
+WITH t AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS last FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length({_ESCAPED}) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 ELSE 7 END) AS BIGINT) AS formatted_chars,
+  bool_and(last IS DISTINCT FROM turn AND CASE role WHEN 'system' THEN before IS NULL WHEN 'user' THEN before IS DISTINCT FROM 'user' ELSE before IS NOT DISTINCT FROM 'user' END) AS valid
+FROM o GROUP BY conv_id
+""",
+)
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    back = read_back(segments(rows.unionByName(probe)))
+    return back.select(
+        "conv_id",
+        "n_turns",
+        F.sha2("turns", 256).alias("turns_sha256"),
+        "loss_chars",
+        F.sha2("learned", 256).alias("loss_sha256"),
+        "formatted_chars",
+        "valid",
+    )
