@@ -15,6 +15,7 @@ from siftwell.llm.line_dedup import remove_lines
 from siftwell.llm.near_dedup import classify
 from siftwell.llm.packing import pack
 from siftwell.llm.toxicity import fit, held_out, score
+from siftwell.llm.url_filter import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +158,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "formatted_chars",
         "valid",
     )
+
+
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@_query("op9_url_filter")
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
