@@ -14,6 +14,8 @@ from siftwell.llm.decontaminate import n_hit, scan
 from siftwell.llm.line_dedup import remove_lines
 from siftwell.llm.near_dedup import classify
 from siftwell.llm.packing import pack
+from siftwell.llm.pii import BASE
+from siftwell.llm.pii import find as find_pii
 from siftwell.llm.toxicity import fit, held_out, score
 from siftwell.llm.url_filter import judge
 
@@ -167,3 +169,18 @@ RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    told = lambda p: F.concat_ws(":", p["kind"], p["start"].cast("string"), p["end"].cast("string"))
+    base = F.filter("pii", lambda p: p["kind"].isin(*BASE))
+    of = lambda kind: F.filter("pii", lambda p: p["kind"] == kind)
+    counts = [F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in BASE]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(F.array_join(F.transform(base, told), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("pii", told), ",").alias("spans"),
+    )
