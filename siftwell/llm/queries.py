@@ -13,6 +13,7 @@ from siftwell.llm.chat_format import read_back, segments
 from siftwell.llm.decontaminate import n_hit, scan
 from siftwell.llm.line_dedup import remove_lines
 from siftwell.llm.near_dedup import classify
+from siftwell.llm.nearest import search
 from siftwell.llm.packing import pack
 from siftwell.llm.pii import BASE
 from siftwell.llm.pii import find as find_pii
@@ -184,3 +185,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform(base, told), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("pii", told), ",").alias("spans"),
     )
+
+
+@_query("op6_nearest")
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return search(vectors.filter("vec_id % 50 = 0"), vectors, 5)
