@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.chat_format import read_back, segments
 from siftwell.llm.decontaminate import n_hit, scan
+from siftwell.llm.license_scan import TEMPLATES
+from siftwell.llm.license_scan import scan as scan_licenses
 from siftwell.llm.line_dedup import remove_lines
 from siftwell.llm.near_dedup import classify
 from siftwell.llm.nearest import search
@@ -191,3 +193,29 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return search(vectors.filter("vec_id % 50 = 0"), vectors, 5)
+
+
+@_query(
+    "op4_license_scan",
+    f"""
+WITH t AS (
+  SELECT name, regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+') AS w FROM (VALUES {", ".join(f"('{n}', '{x}')" for n, x in TEMPLATES.items())}) v(name, body)),
+ts AS (
+  SELECT name, greatest(8, CAST(pow(2, ceil(log2(len(w)))) AS INTEGER)) AS span,
+    list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS sh FROM t),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+ds AS (SELECT doc_id, len(w) AS n, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')) END AS sh FROM d),
+g AS (
+  SELECT DISTINCT ds.doc_id, x.span, k.i FROM ds, (SELECT DISTINCT span FROM ts) x,
+    unnest(range(0, CAST(greatest(floor((n - 1) / x.span), 1) AS BIGINT))) AS k(i) WHERE n > 0),
+hit AS (
+  SELECT DISTINCT g.doc_id, ts.name FROM g JOIN ds ON g.doc_id = ds.doc_id JOIN ts ON g.span = ts.span
+  WHERE list_has_any(ds.sh, ts.sh) AND
+    100 * len(list_intersect(list_distinct(ds.sh[g.i * g.span + 1:g.i * g.span + 2 * g.span - 4]), ts.sh)) >= 80 * len(ts.sh)),
+h AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM hit GROUP BY doc_id)
+SELECT ds.doc_id, CAST(coalesce(h.n, 0) AS BIGINT) AS n_licenses, coalesce(h.names, '') AS licenses FROM ds LEFT JOIN h ON ds.doc_id = h.doc_id
+""",
+)
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("licenses").cast("bigint").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
