@@ -1,8 +1,8 @@
 """Links between members of buckets by star-shaped candidate edges (DataFrame operations only).
 
 Inside a bucket only edges from one centre to the members that are not in its component yet are proposed, so pairs grow with
-the members, not with their square. Rounds repeat with other centres while buckets hold several components: small
-buckets propose every remaining pair, larger ones go on until QUIET_ROUNDS rounds in a row have found no link.
+the members, not with their square. Small buckets propose every pair. Rounds repeat with other centres, in larger buckets that hold
+several components, until a round finds no link.
 """
 
 from __future__ import annotations
@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from siftwell.llm.components import components
 from siftwell.llm.scratch import Scratch
 
-#: In buckets of up to so many members every pair of components is tried.
+#: In buckets of up to so many members every pair is tried.
 SMALL_BUCKET = 8
-QUIET_ROUNDS = 2
 
 
 def shared_buckets(bands: DataFrame, scratch: Scratch) -> DataFrame:
@@ -53,42 +52,25 @@ def _small(now: DataFrame) -> DataFrame:
 def link(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """(node, root) for every node that a confirmed link joins to others. confirm: of pairs (u, v), those linked.
 
-    Round 0 tries each node with the weightiest centre of its buckets. Round 1 tries the centres of all buckets, and all
-    pairs of small buckets, between nodes that round 0 left apart. Then components; later rounds take other centres."""
-    mass = F.struct("mass", "node")
-    best = _stars(members.withColumn("root", F.col("node")), mass).groupBy("node").agg(F.max(F.struct("by", "centre")).alias("c"))
-    first = scratch.keep(_ordered(best.select("node", "c.centre")), "pairs")
-    links = scratch.keep(confirm(first), "links")
-    # The heavier end of a link of round 0 stands for both until there are components.
-    near = members.select("node", "mass").distinct()
-    joined = links.join(near.select(F.col("node").alias("u"), F.col("mass").alias("mu")), "u").join(
-        near.select(F.col("node").alias("v"), F.col("mass").alias("mv")), "v"
-    )
-    up = F.struct("mu", "u") > F.struct("mv", "v")
-    parents = joined.select(F.when(up, F.col("v")).otherwise(F.col("u")).alias("node"), F.when(up, F.col("u")).otherwise(F.col("v")).alias("root"))
-    now = scratch.keep(_rooted(members, parents), "rooted")
-    pairs = _ordered(_stars(now, mass)).unionByName(_small(now)).distinct().join(first, ["u", "v"], "left_anti")
-    pairs = scratch.keep(pairs, "pairs")
-    links = links.unionByName(scratch.keep(confirm(pairs), "links"))
-    tested = first.unionByName(pairs)
+    The first round tries each node with the weightiest node of each of its buckets, and all pairs of small buckets. Later
+    rounds take other centres in the large buckets that hold several components."""
+    now = members.withColumn("root", F.col("node"))
+    pairs = _ordered(_stars(now, F.struct("mass", "node"))).unionByName(_small(now)).distinct()
+    tested = scratch.keep(pairs, "pairs")
+    links = scratch.keep(confirm(tested), "links")
     roots = components(links, scratch)
-    quiet, turn, fresh = 0, 2, True
-    while quiet < QUIET_ROUNDS:
-        if fresh:
-            now = scratch.keep(_rooted(members.filter(F.col("n") > SMALL_BUCKET), roots), "rooted")
+    large = members.filter(F.col("n") > SMALL_BUCKET)
+    turn = 0
+    while True:
+        turn += 1
+        now = scratch.keep(_rooted(large, roots), "rooted")
         pairs = _ordered(_stars(now, F.struct(F.xxhash64("node", F.lit(turn)), F.col("node")))).distinct()
         pairs = scratch.keep(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
         found = scratch.keep(confirm(pairs), "links")
-        tested = tested.unionByName(pairs)
-        fresh = not found.isEmpty()
-        quiet = 0 if fresh else quiet + 1
-        if fresh:
-            links = links.unionByName(found)
-            roots = components(links, scratch)
-        turn += 1
-    return roots
+        if found.isEmpty():
+            return roots
+        tested, links = tested.unionByName(pairs), links.unionByName(found)
+        roots = components(links, scratch)
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
