@@ -93,8 +93,8 @@ def resolve_titles(titles: DataFrame, canonical: DataFrame, cutoffs: tuple[float
     fuzzy = _rated(alike.select("title", "nt", "match", "nc"), min(cutoffs), 2)
     found = exact.unionByName(half).unionByName(fuzzy)
     best = first_of(found, ["title"], ["step", F.desc("ratio"), "match"])
-    how = F.element_at(F.array(F.lit("exact"), F.lit("half"), F.lit("fuzzy")), F.col("step") + 1)
-    return t.select("title").join(best, "title", "left").select("title", "match", F.coalesce(how, F.lit("none")).alias("how"))
+    how = F.when(F.col("match").isNull(), "none").when(F.col("step") == 0, "exact").when(F.col("step") == 1, "half").otherwise("fuzzy")
+    return t.select("title").join(best, "title", "left").select("title", "match", how.alias("how"))
 
 
 def _rated(pairs: DataFrame, cutoff: float, step: int) -> DataFrame:

@@ -53,7 +53,7 @@ def passages(documents: DataFrame) -> DataFrame:
 
 def csv_strings(spark: SparkSession, path: str, schema: str = "CITATION_CONTEXT") -> DataFrame:
     """A CSV file with a header, every cell as it stands: empty cells are empty strings."""
-    return spark.read.schema(schemas.schema(schema)).csv(path, header=True, multiLine=True, escape='"', nullValue="\u0000", emptyValue="")
+    return spark.read.schema(schemas.schema(schema)).csv(path, header=True, multiLine=True, escape='"').na.fill("")
 
 
 def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
