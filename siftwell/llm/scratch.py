@@ -24,13 +24,14 @@ class Scratch:
     """Written tables that cut lineage: a lost executor costs a re-read, not a recomputation.
 
     Each table is written once as Parquet below the shared folder and read back with its own schema (so an empty
-    table keeps its columns). drop() removes a table that no later plan reads; the rest goes when Python exits.
+    table keeps its columns). drop() and only() remove tables that no later plan reads; the rest goes when Python exits.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/siftwell-{uuid.uuid4().hex}"
         self.n = 0
+        self.live: dict[str, str] = {}
         atexit.register(self._remove, self.root)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -39,10 +40,20 @@ class Scratch:
         df.write.parquet(path)
         read = self.spark.read.schema(df.schema).parquet(path)
         read.siftwell_path = path
+        self.live[path] = name
         return read
 
-    def drop(self, df: DataFrame) -> None:
-        self._remove(df.siftwell_path)
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            self.live.pop(df.siftwell_path, None)
+            self._remove(df.siftwell_path)
+
+    def only(self, *tables: DataFrame) -> None:
+        """Drops every table but these: what an operator calls once its result reads nothing else."""
+        keep = {df.siftwell_path for df in tables}
+        for path in [p for p in self.live if p not in keep]:
+            del self.live[path]
+            self._remove(path)
 
     def _remove(self, path: str) -> None:
         sc = self.spark.sparkContext

@@ -2,7 +2,7 @@
 
 Inside a bucket only edges from one centre to the members that are not in its component yet are proposed, so pairs grow with
 the members, not with their square. Small buckets propose every pair. Rounds repeat with other centres, in larger buckets that hold
-several components, until a round finds no link.
+several components, until a round finds hardly a link.
 """
 
 from __future__ import annotations
@@ -17,6 +17,10 @@ from siftwell.llm.scratch import Scratch
 
 #: In buckets of up to so many members every pair is tried.
 SMALL_BUCKET = 8
+#: Centres of a bucket in each round after the first.
+CENTRES = 4
+#: Rounds end with one whose links are fewer than this share of all: far below what the bands may miss.
+PROGRESS = 0.002
 
 
 def shared_buckets(bands: DataFrame, scratch: Scratch) -> DataFrame:
@@ -28,19 +32,20 @@ def shared_buckets(bands: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(inside.join(mass, "node"), "members")
 
 
-def _stars(now: DataFrame, order: Column) -> DataFrame:
-    """(node, root, n, key, centre, by) of the members outside the component of their bucket's centre. now: members with roots."""
-    bucket = now.groupBy("key").agg(
-        F.max(F.struct(order.alias("by"), F.col("node").alias("centre"), F.col("root").alias("home"))).alias("c"),
-        F.min("root").alias("low"),
-        F.max("root").alias("high"),
-    )
-    star = bucket.filter("low <> high").select("key", "c.centre", "c.home", "c.by")
-    return now.join(star, "key").filter("root <> home")
+def _dice(seed: int) -> Column:
+    """A random order of nodes, the same in all buckets: where buckets overlap they have centres in common."""
+    return F.struct(F.xxhash64("node", F.lit(seed)), F.col("node"))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v"))
+def _stars(now: DataFrame, orders: list[Column]) -> DataFrame:
+    """Pairs (u, v), u < v, of a bucket's centres (its last node in each of the orders) and its members outside a centre's
+    component. now: members with roots."""
+    last = [F.max(F.struct(o.alias("by"), F.col("node").alias("centre"), F.col("root").alias("home"))).alias(f"c{i}") for i, o in enumerate(orders)]
+    bucket = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), *last).filter("low <> high")
+    centres = F.array(*[F.struct(f"c{i}.centre", f"c{i}.home") for i in range(len(orders))])
+    met = now.join(bucket.select("key", centres.alias("centres")), "key").select("node", "root", F.explode("centres").alias("c"))
+    met = met.filter("root <> c.home").select("node", F.col("c.centre").alias("centre"))
+    return met.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v"))
 
 
 def _small(now: DataFrame) -> DataFrame:
@@ -52,25 +57,28 @@ def _small(now: DataFrame) -> DataFrame:
 def link(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """(node, root) for every node that a confirmed link joins to others. confirm: of pairs (u, v), those linked.
 
-    The first round tries each node with the weightiest node of each of its buckets, and all pairs of small buckets. Later
-    rounds take other centres in the large buckets that hold several components."""
+    The first round tries each node with the weightiest node of each of its buckets and one taken by chance, and all pairs of
+    small buckets. Later rounds take other centres in the large buckets that hold several components."""
     now = members.withColumn("root", F.col("node"))
-    pairs = _ordered(_stars(now, F.struct("mass", "node"))).unionByName(_small(now)).distinct()
+    pairs = _stars(now, [F.struct("mass", "node"), _dice(0)]).unionByName(_small(now)).distinct()
     tested = scratch.keep(pairs, "pairs")
     links = scratch.keep(confirm(tested), "links")
     roots = components(links, scratch)
     large = members.filter(F.col("n") > SMALL_BUCKET)
     turn = 0
     while True:
-        turn += 1
         now = scratch.keep(_rooted(large, roots), "rooted")
-        pairs = _ordered(_stars(now, F.struct(F.xxhash64("node", F.lit(turn)), F.col("node")))).distinct()
+        pairs = _stars(now, [_dice(turn * CENTRES + i + 1) for i in range(CENTRES)]).distinct()
         pairs = scratch.keep(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         found = scratch.keep(confirm(pairs), "links")
-        if found.isEmpty():
+        fresh = found.count()
+        if not fresh:
             return roots
+        turn += 1
         tested, links = tested.unionByName(pairs), links.unionByName(found)
         roots = components(links, scratch)
+        if fresh < PROGRESS * links.count():
+            return roots
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
