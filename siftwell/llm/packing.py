@@ -30,10 +30,14 @@ END_ID = 0
 #: Items of a cell on average, islands of a cell, epochs, and crossovers of an island in one epoch.
 CELL, ISLANDS, EPOCHS, CROSSOVERS = 4096, 3, 2, 24
 POPULATION = 6
+#: Islands that a task evolves one after another; one takes well under a second.
+PER_TASK = 6
 #: Bins below this share of the capacity are leftovers, packed again with those of other cells.
 FULL_ENOUGH = 0.98
 #: Entries of a worker's memory of encoded words.
-CACHE = 400_000
+CACHE = 600_000
+#: Marks that often end a word.
+MARKS = ".,;:!?"
 
 
 class _Memo:
@@ -52,47 +56,77 @@ class _Memo:
         size = self.tokenizer.get_vocab_size()
         self.n_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.known: dict[str, bytes | None] = {}
+        self.runs: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        new = list(set(words).difference(self.known))
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(set(words))
-        odd = [w for w in new if not w or w[0].isspace() or w[-1].isspace()]
-        if odd:
-            self.known.update(dict.fromkeys(odd))
-            new = list(set(new).difference(odd))
+    def learn(self, words: set[str]) -> None:
+        known = self.known
+        new = words.difference(known)
         if not new:
             return
-        ids = np.array(self.tokenizer.encode(" " + " ".join(new), add_special_tokens=False).ids, "<u4")
-        ends = np.cumsum([len(w.encode()) + 1 for w in new])
+        if len(known) + 2 * len(new) > CACHE:
+            known.clear()
+            new = set(words)
+        odd = [w for w in new if not w or w[0].isspace() or w[-1].isspace()]
+        if odd:
+            known.update(dict.fromkeys(odd))
+            new.difference_update(odd)
+        # A run of these marks behind a letter or digit is a token group of its own: the word before it is learned instead.
+        cores = {w: w.rstrip(MARKS) for w in new if w[-1] in MARKS}
+        cores = {w: c for w, c in cores.items() if c and c[-1].isalnum()}
+        need = [w for w in {cores.get(w, w) for w in new} if w not in known]
+        if need:
+            self._encode_words(need)
+        for w, c in cores.items():
+            known[w] = known[c] + self._marks(w[len(c) :])
+
+    def _encode_words(self, words: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
         at = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
         data, start = ids.tobytes(), 0
-        for w, end in zip(new, (4 * at).tolist(), strict=True):
+        for w, end in zip(words, (4 * at).tolist(), strict=True):
             self.known[w] = data[start:end]
             start = end
 
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.whole(text)
-        return b"".join(self._block(x) for x in _blocks(text))
-
-    def _block(self, text: str) -> bytes:
-        words = text.split(" ")
-        head = words.pop(0)
-        if not words:
-            return self.whole(text)
+    def _marks(self, run: str) -> bytes:
+        if run not in self.runs:
+            self.runs[run] = self.whole(run)
+        return self.runs[run]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. The words of all are learned together."""
+        blocks = [None if any(s in t for s in self.special) else [b.split(" ") for b in _blocks(t)] for t in texts]
+        words: set[str] = set()
+        for parts in blocks:
+            for part in parts or ():
+                words.update(part[1:])
         self.learn(words)
-        try:
-            rest = b"".join(map(self.known.__getitem__, words))
-        except TypeError:
-            return self.whole(text)
-        if not head:  # the text starts with a space
-            return rest
-        return self.whole(text) if head[-1].isspace() else self.whole(head) + rest
+        out = []
+        for text, parts in zip(texts, blocks, strict=True):
+            try:
+                out.append(self.whole(text) if parts is None else b"".join(map(self._block, parts)))
+            except TypeError:  # a word that cannot be encoded on its own
+                out.append(self.whole(text))
+        return out
+
+    def _block(self, words: list[str]) -> bytes:
+        head = words[0]
+        if len(words) > 1 and head and head[-1].isspace():
+            raise TypeError
+        rest = b"".join(map(self.known.__getitem__, words[1:]))
+        return self._head(head) + rest if head else rest
+
+    def _head(self, word: str) -> bytes:
+        """The first word of a text, which has no space before it."""
+        if word not in self.heads:
+            if len(self.heads) > CACHE // 4:
+                self.heads.clear()
+            self.heads[word] = self.whole(word)
+        return self.heads[word]
 
 
 def _blocks(text: str, size: int = 1 << 20) -> Iterator[str]:
@@ -134,12 +168,12 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(tokenizer)
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
+            for i in range(0, whole.num_rows, 256):
+                batch = whole.slice(i, 256)
                 rows: list[tuple] = []
                 at: list[int] = []
-                for k, text in enumerate(batch.column(1).to_pylist()):
-                    ids = memo.encode(text or "") + end
+                for k, ids in enumerate(memo.encode([t or "" for t in batch.column(1).to_pylist()])):
+                    ids += end
                     for p, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                         part = ids[4 * start : 4 * (start + length)]
                         at.append(k)
@@ -296,7 +330,7 @@ def _assign(items: DataFrame, capacity: int, cells: int, scratch: Scratch) -> Da
                     best = evolve(sizes, capacity, (row.cell * 31 + epoch) * ISLANDS + row.island, elites)
                     yield pd.DataFrame({"cell": [row.cell], "island": [row.island], "n_bins": [len(best.groups)], "best": [_encode(best, len(sizes))]})
 
-        tasks = max(1, min(cells * ISLANDS, 4096))
+        tasks = max(1, min(cells * ISLANDS // PER_TASK, 4096))
         grown = state.repartition(tasks, "cell", "island").mapInPandas(island, "cell int, island int, n_bins int, best array<int>")
         grown = scratch.keep(grown, "islands")
         if epoch + 1 < EPOCHS:  # the elite goes to the next island of the ring and stays in its own
