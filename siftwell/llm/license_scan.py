@@ -89,6 +89,11 @@ def _template_rows(documents: DataFrame, templates: dict[str, str]) -> DataFrame
     return rows.withColumn("keys", _bands(F.col("shingles")))
 
 
+def _start(span: int):
+    """Window number -> (span, place of the first shingle)."""
+    return lambda i: F.struct(F.lit(span).alias("span"), (i * span + 1).alias("at"))
+
+
 def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """Each row of documents as (doc_id, licenses): the names of the templates that its text contains, sorted and distinct.
 
@@ -102,20 +107,23 @@ def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFra
     for a in anchors:
         may = may | F.contains(low, F.lit(a))
     rows = documents.select("doc_id", "text", F.coalesce(may, F.lit(False)).alias("may"))
-    known = F.broadcast(_template_rows(documents, templates))
-    spans = sorted({max(8, 1 << (len(_words(t)) - 1).bit_length()) for t in templates.values()})
-    all_keys = {s: _template_keys(documents, {n: t for n, t in templates.items() if max(8, 1 << (len(_words(t)) - 1).bit_length()) == s}) for s in spans}
+    table = _template_rows(documents, templates)
+    rows_of = table.collect()  # one row a template
+    known = F.broadcast(table.withColumnRenamed("keys", "template_keys"))
+    all_shingles = F.array(*[F.lit(h) for h in sorted({h for r in rows_of for h in r["shingles"]})])
+    all_keys = F.array(*[F.lit(k) for k in sorted({k for r in rows_of for k in r["keys"]})])
+    spans = sorted({r["span"] for r in rows_of})
 
     worded = rows.filter("may").select("doc_id", F.xxhash64("text").alias("rk"), F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)).alias("w"))
     hashed = worded.select("doc_id", "rk", F.size("w").alias("n"), _shingles(F.col("w")).alias("sh")).filter("n > 0")
-    windows = None
-    for s in spans:
-        starts = F.sequence(F.lit(0), F.greatest(F.floor((F.col("n") - 1) / s).cast("int") - 1, F.lit(0)))
-        w = hashed.select("doc_id", "rk", F.lit(s).alias("span"), "sh", F.explode(starts).alias("i"))
-        w = w.select("doc_id", "rk", "span", F.slice("sh", F.col("i") * s + 1, 2 * s - WORDS + 1).alias("win")).filter("size(win) > 0")
-        w = w.withColumn("keys", _bands(F.col("win"))).filter(F.arrays_overlap("keys", F.array(*[F.lit(k) for k in all_keys[s]])))
-        windows = w if windows is None else windows.unionByName(w)
-    met = windows.join(known.withColumnRenamed("keys", "template_keys"), "span").filter(F.arrays_overlap("keys", "template_keys"))
+    last = lambda s: F.greatest(F.floor((F.col("n") - 1) / s).cast("int") - 1, F.lit(0))
+    starts = [F.transform(F.sequence(F.lit(0), last(s)), _start(s)) for s in spans]
+    windows = hashed.select("doc_id", "rk", "sh", F.explode(F.concat(*starts)).alias("p"))
+    windows = windows.select("doc_id", "rk", "p.span", F.slice("sh", F.col("p.at"), 2 * F.col("p.span") - WORDS + 1).alias("win"))
+    # A window without any shingle of a template has no band in common with it either, nor could it be verified.
+    windows = windows.filter(F.arrays_overlap("win", all_shingles))
+    windows = windows.withColumn("keys", _bands(F.col("win"))).filter(F.arrays_overlap("keys", all_keys))
+    met = windows.join(known, "span").filter(F.arrays_overlap("keys", "template_keys"))
     held = F.size(F.array_intersect(F.array_distinct("win"), "shingles"))
     hits = met.filter(held * 100 >= PERCENT * F.size("shingles")).select("doc_id", "rk", "license")
     found = hits.groupBy("doc_id", "rk").agg(F.sort_array(F.collect_set("license")).alias("licenses"))
@@ -123,9 +131,3 @@ def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFra
     every = rows.select("doc_id", F.when(F.col("may"), F.xxhash64("text")).alias("rk"))
     both = every["doc_id"].eqNullSafe(found["hit_id"]) & (every["rk"] == found["hit_rk"])
     return every.join(found, both, "left").select("doc_id", F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"))
-
-
-def _template_keys(documents: DataFrame, templates: dict[str, str]) -> list[int]:
-    """All band keys of a few templates: BANDS numbers for each."""
-    rows = _template_rows(documents, templates).select(F.explode("keys").alias("k")).distinct()
-    return sorted(r["k"] for r in rows.collect())
