@@ -63,9 +63,13 @@ def _masks() -> Column:
 
 def _shingles(words: Column) -> Column:
     """Hashes of the runs of WORDS words; of fewer, of the whole run. words: an array of strings."""
-    h = F.transform(words, lambda w: F.xxhash64(w))
     at = F.sequence(F.lit(0), F.greatest(F.size(words) - WORDS, F.lit(0)))
-    run = F.transform(at, lambda i: F.xxhash64(*[F.coalesce(F.get(h, i + k), F.lit(0)) for k in range(WORDS)]))
+
+    def runs(h: Column) -> Column:
+        return F.transform(at, lambda i: F.xxhash64(*[F.coalesce(F.get(h, i + k), F.lit(0)) for k in range(WORDS)]))
+
+    # The one element of an array is bound to a name, so that the words are hashed once, not again for each shingle.
+    run = F.element_at(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), runs), 1)
     return F.when(F.size(words) > 0, run).otherwise(F.array().cast("array<bigint>"))
 
 
