@@ -54,6 +54,26 @@ def _small(now: DataFrame) -> DataFrame:
     return ours.join(theirs, "key").filter("u < v and ru <> rv").select("u", "v")
 
 
+def _words(sketches: DataFrame) -> list[str]:
+    return [c for c in sketches.columns if c not in ("node", "size")]
+
+
+def _near(words: list[str], percent: int) -> Column:
+    """False only for pairs that cannot reach percent of similarity. Of sets with S members together and d in one alone,
+    100 * intersection >= percent * union means (100 + percent) * d <= (100 - percent) * S; d is at least the number of bits that differ."""
+    differ = sum((F.bit_count(F.col(f"u_{w}").bitwiseXOR(F.col(f"v_{w}"))) for w in words), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (F.col("u_size") + F.col("v_size"))
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that their sketches do not rule out. sketches: node, size (of its set, or more), and the words of a bitmap
+    with a bit for each hash of the set."""
+    words = _words(sketches)
+    for x in "uv":
+        pairs = pairs.join(sketches.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ["size", *words]]), x)
+    return pairs.filter(_near(words, percent)).select("u", "v")
+
+
 def link(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """(node, root) for every node that a confirmed link joins to others. confirm: of pairs (u, v), those linked.
 

@@ -145,3 +145,15 @@ def test_chat_order(spark):
     assert faults == {(1, 0): None, (1, 1): None, (1, 2): None, (1, 3): None, (2, 0): "order", (2, 1): None, (2, 2): "order", (2, 3): "role"}
     with pytest.raises(ValueError):
         C.Template({"user": ("x", "yy", False)}, {})
+
+
+def test_lines_with_one_wrong_character(spark):
+    pairs = [
+        ("the quick brown fox jumps over the lazy dog near the old riverbank", "the quick brown fox jumps over the lazy dxg near the old riverbank"),
+        ("https://example.org/a/long/path/without/any/space/index.html?page=1", "https://example.org/a/long/path/without/any/space/index.html?page=2"),
+    ]
+    apart = ["https://example.org/one/quite/different/address", "https://example.org/many/other/things/are/found/there"]
+    rows = [(i, line) for i, line in enumerate([x for p in pairs for x in p] + apart)]
+    got = L.remove_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    no_python(got)
+    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 0}
