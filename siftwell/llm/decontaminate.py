@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.llm.scratch import Scratch
 
@@ -272,6 +273,17 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans sorted, with those that touch or overlap made one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and out[-1][1] >= start:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_run: int = 0, max_share: float = 0.5) -> DataFrame:
     """documents with the hit spans cut out of their texts; n_chars, where there is such a column, follows.
 
@@ -280,26 +292,36 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     names = documents.columns
     blocks = list(_items(benchmark)) if benchmark.agg(F.sum(F.length("text"))).first()[0] else []
-    kind = documents.schema
+    # Every block scans the original text and hands its hits on beside it; the last one cuts and judges, once a document.
+    state = T.StructType.fromDDL("_spans array<struct<start:bigint,end:bigint>>, _longest bigint")
+    carried = T.StructType([*documents.schema.fields, *state.fields])
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     shown = documents
-    for block in blocks:
+    for at, block in enumerate(blocks):
         auto = documents.sparkSession.sparkContext.broadcast(Automaton(block, window))
+        last = at == len(blocks) - 1
 
-        def cut(batches, auto=auto):
+        def cut(batches, auto=auto, first=at == 0, last=last):
             for batch in batches:
                 texts = batch.column("text").to_pylist()
+                known = [[]] * len(texts) if first else [[(x["start"], x["end"]) for x in xs] for xs in batch.column("_spans").to_pylist()]
+                longest = [0] * len(texts) if first else batch.column("_longest").to_pylist()
                 keep = []
                 for i, text in enumerate(texts):
-                    n, spans, _, longest = auto.value.scan(_pieces(text.encode("utf-8", "surrogatepass") if text else None))
-                    hits = sum(b - a for a, b in spans)
-                    keep.append(not hits or longest <= max_run or hits <= max_share * n)
-                    if hits and longest > max_run:
-                        texts[i] = remove_spans(text, spans)
-                columns = {f.name: batch.column(f.name) for f in batch.schema}
+                    n, spans, _, run = auto.value.scan(_pieces(text.encode("utf-8", "surrogatepass") if text else None))
+                    known[i], longest[i] = joined([*known[i], *spans]), max(longest[i], run)
+                    hits = sum(b - a for a, b in known[i])
+                    keep.append(not last or not hits or longest[i] <= max_run or hits <= max_share * n)
+                    if last and hits and longest[i] > max_run:
+                        texts[i] = remove_spans(text, known[i])
+                columns = {f.name: batch.column(f.name) for f in batch.schema if f.name not in state.names}
                 columns["text"] = pa.array(texts, batch.schema.field("text").type)
+                if not last:
+                    columns["_spans"] = pa.array([[{"start": a, "end": b} for a, b in xs] for xs in known], span)
+                    columns["_longest"] = pa.array(longest, pa.int64())
                 yield pa.record_batch(list(columns.values()), list(columns)).filter(pa.array(keep, pa.bool_()))
 
-        shown = shown.mapInArrow(cut, kind)
+        shown = shown.mapInArrow(cut, documents.schema if last else carried)
     if "n_chars" in names:
         shown = shown.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return shown.select(names)

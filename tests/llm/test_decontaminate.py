@@ -52,3 +52,22 @@ def test_cutting(spark, docs, no_docs):
     same = D.decontaminate(docs, b)
     assert same.columns == docs.columns and same.count() == docs.count()
     assert D.decontaminate(no_docs, b).count() == 0 and D.scan(docs, b.filter("false")).count() == docs.count()
+
+
+def test_cutting_by_blocks_equals_one_block(spark, monkeypatch):
+    w = [f"w{i}" for i in range(60)]
+    items = [(1, " ".join(w[0:14])), (2, " ".join(w[8:22])), (3, " ".join(w[40:52]))]
+    docs = [
+        (1, "start here " + " ".join(w[0:22]) + " then a good many other words follow so that less than half of them is hit by any item at all"),
+        (2, " ".join(w[0:12]) + " p q r s t u " + " ".join(w[40:52])),
+        (3, " ".join(w[42:47]) + " " + " ".join(w[0:12]) + " " + " ".join(w[47:52]) + " and so on with words that are in no item, one after the other, until the end"),
+        (4, None), (5, ""), (6, "nothing"),
+    ]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    out = []
+    for block in (10**6, 10):
+        monkeypatch.setattr(D, "BLOCK_WORDS", block)
+        out.append(sorted(tuple(r) for r in D.decontaminate(d, b).select("doc_id", "text").collect() if r["text"] is not None))
+    assert out[0] == out[1] and [r[0] for r in out[0]] == [1, 3, 5, 6]
+    assert out[0][0][1].startswith("start here  then a good")
