@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -177,18 +178,18 @@ def _fit_chain(sequences: list[tuple[list[int], list[int], list[int]]], rounds:
     e[:] = np.log(counts[0] + 0.05) - np.log((counts[0] + 0.05).sum(1, keepdims=True))
     e -= np.log(counts[0].sum(0) + 1.0) - math.log(counts[0].sum() + 2.0)  # P(class | tag) up to a factor of the class
     e -= e.mean(1, keepdims=True)
-    # Conditional likelihood by gradient ascent from there, on the sequences with non-neutral tokens.
-    live = [x for x in sequences if x[1]][:400]
+    # Conditional likelihood by gradient ascent from there, on all sequences with non-neutral tokens; equal ones are computed once.
+    live = Counter((tuple(gaps), tuple(kinds), tuple(tags)) for gaps, kinds, tags in sequences if kinds)
     rate = 0.5
     for _ in range(rounds if live else 0):
         chain = Chain(e, t, s)
         grad, weight = np.zeros_like(e), np.zeros(CLASSES)
-        for gaps, kinds, tags in live:
+        for (gaps, kinds, tags), n in live.items():
             p, _, _ = chain.marginals(gaps, kinds)
             for k, y, q in zip(kinds, tags, p.tolist(), strict=True):
-                grad[k, 1] += y - q
-                grad[k, 0] -= y - q
-                weight[k] += 1
+                grad[k, 1] += n * (y - q)
+                grad[k, 0] -= n * (y - q)
+                weight[k] += n
         step = rate * grad / (weight[:, None] + 1.0)
         e += step
         if np.abs(step).max() < 0.01:

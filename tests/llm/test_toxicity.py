@@ -66,3 +66,15 @@ def test_marginals_equal_enumeration():
     want = [p[i, 1] / p[i].sum() for i, k in enumerate(seq) if k]
     got = T.Chain(e, t, s).marginals(gaps, kinds)[0]
     assert np.allclose(got, want)
+
+
+def test_chain_is_fitted_on_all_sequences():
+    """Toxic sequences that come after 400 clean ones count like those before them."""
+    strong, weak = T.STRONG * (T.STEPS + 1), 1
+    clean = [([2, 3], [weak], [0]) for _ in range(500)]
+    toxic = [([2, 0, 3], [strong, weak], [1, 1]) for _ in range(300)]
+    late, early = T._fit_chain(clean + toxic), T._fit_chain(toxic + clean)
+    for a, b in zip(late, early, strict=True):
+        assert abs(a - b).max() < 1e-6
+    p, _, _ = T.Chain(*late).marginals([2, 0, 3], [strong, weak])
+    assert p.min() > 0.5
