@@ -8,7 +8,7 @@
    that are not in its component yet. The centre is the class that shares most with others, so the original of a
    group of edited copies is met first; pairs grow with the members, not their square.
 4. Edges are confirmed on the full sets. Later rounds (stars.link) propose new centres in buckets that still hold several
-   components.
+   components, and a last pass all pairs that are left, but for those that bitmaps of the sets rule out.
 5. Components by large-star/small-star.
 """
 
@@ -28,6 +28,8 @@ from siftwell.llm.wordhash import mix64, shingles, word_hashes
 
 #: Rows and bands: a pair of similarity 0.8 shares no band with a probability of (1 - 0.8^5)^25 = 0.00005.
 ROWS, BANDS = 5, 25
+#: 64-bit words of a set's bitmap.
+WORDS = 16
 
 _LOWER = bytes(32 if i in b"\t\n\x0b\x0c\r " else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
@@ -106,19 +108,33 @@ def signatures(documents: DataFrame, n_words: int) -> DataFrame:
     )
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """WORDS 64-bit words with a bit for each of the hashes."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[(mix64(hashes) % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _sets(documents: DataFrame, n_words: int) -> DataFrame:
-    """fp and the full set of each document."""
+    """fp, the full set of each document, its size and bitmap."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 found = [text_shingles(t, n_words) for _, t in _rows(batch.slice(i, 256))]
+                maps = np.array([bitmap(x) for x in found], np.int64).reshape(-1, WORDS)
                 yield pa.record_batch(
-                    [pa.array([fingerprint(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())],
-                    ["fp", "hashes"],
+                    [
+                        pa.array([fingerprint(x) for x in found], pa.binary()),
+                        pa.array([x.tobytes() for x in found], pa.binary()),
+                        pa.array([len(x) for x in found], pa.int64()),
+                        *[pa.array(np.ascontiguousarray(maps[:, j])) for j in range(WORDS)],
+                    ],
+                    ["fp", "hashes", "size", *names],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(emit, "fp binary, hashes binary")
+    names = [f"w{j}" for j in range(WORDS)]
+    return documents.select("doc_id", "text").mapInArrow(emit, "fp binary, hashes binary, size bigint, " + ", ".join(f"{w} bigint" for w in names))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -169,7 +185,8 @@ def classify(documents: DataFrame, n_words: int = 5, percent: int = 80, scratch:
     sets = _sets(documents.join(ids, documents["doc_id"].eqNullSafe(ids["chosen_id"]), "left_semi"), n_words)
     sets = sets.join(maybe_broadcast(chosen.select("fp"), n_chosen, 48), "fp", "left_semi").dropDuplicates(["fp"])
     sets = scratch.keep(sets, "sets")
-    roots = scratch.keep(link(members, lambda pairs: _linked(pairs, sets, percent), scratch), "roots")
+    sketches = sets.drop("hashes").withColumnRenamed("fp", "node")
+    roots = scratch.keep(link(members, lambda pairs: _linked(pairs, sets, percent), scratch, sketches, percent), "roots")
     scratch.only(signed, roots)
 
     rooted = signed.select("doc_id", "n_shingles", "fp").join(

@@ -1,8 +1,10 @@
 """Links between members of buckets by star-shaped candidate edges (DataFrame operations only).
 
-Inside a bucket only edges from one centre to the members that are not in its component yet are proposed, so pairs grow with
+Inside a bucket edges from one centre to the members that are not in its component yet are proposed, so pairs grow with
 the members, not with their square. Small buckets propose every pair. Rounds repeat with other centres, in larger buckets that hold
-several components, until a round finds hardly a link.
+several components, until a round finds hardly a link. Then every pair of a bucket that is still in two components and was not
+tried is: an exact bound on bitmaps of the sets passes over those that cannot be linked. So in the end no pair is left
+untried, and the rounds only save work.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from siftwell.llm.scratch import Scratch
 SMALL_BUCKET = 8
 #: Centres of a bucket in each round after the first.
 CENTRES = 4
-#: Rounds end with one whose links are fewer than this share of all: far below what the bands may miss.
+#: The last pass takes over from a round whose links are fewer than this share of all. It changes the work, not the result.
 PROGRESS = 0.002
+#: Members of a large bucket that a task pairs with the others at once.
+CHUNK = 512
 
 
 def shared_buckets(bands: DataFrame, scratch: Scratch) -> DataFrame:
@@ -74,11 +78,24 @@ def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(_near(words, percent)).select("u", "v")
 
 
-def link(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
-    """(node, root) for every node that a confirmed link joins to others. confirm: of pairs (u, v), those linked.
+def _untried(now: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of a bucket in two components that may be linked. A large bucket is dealt over chunks, each met by all of it."""
+    several = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    words = _words(sketches)
+    open_ = now.select("key", "node", "root", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")).join(several, "key", "left_semi").join(sketches, "node")
+    side = lambda x, chunk: open_.select("key", chunk.alias("chunk"), *[F.col(c).alias(f"{x}_{c}") for c in ["node", "root", "size", *words]])
+    ours = side("u", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    theirs = side("v", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = ours.join(theirs, ["key", "chunk"]).filter("u_node < v_node and u_root <> v_root").filter(_near(words, percent))
+    return met.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct()
+
+
+def link(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, sketches: DataFrame, percent: int) -> DataFrame:
+    """(node, root) for every node that a confirmed link joins to others. confirm: of pairs (u, v), those linked, which are at
+    least percent similar. sketches: see possible().
 
     The first round tries each node with the weightiest node of each of its buckets and one taken by chance, and all pairs of
-    small buckets. Later rounds take other centres in the large buckets that hold several components."""
+    small buckets. Later rounds take other centres in the large buckets that hold several components, and a last pass all other pairs."""
     now = members.withColumn("root", F.col("node"))
     pairs = _stars(now, [F.struct("mass", "node"), _dice(0)]).unionByName(_small(now)).distinct()
     tested = scratch.keep(pairs, "pairs")
@@ -93,12 +110,15 @@ def link(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch:
         found = scratch.keep(confirm(pairs), "links")
         fresh = found.count()
         if not fresh:
-            return roots
+            break
         turn += 1
         tested, links = tested.unionByName(pairs), links.unionByName(found)
         roots = components(links, scratch)
         if fresh < PROGRESS * links.count():
-            return roots
+            break
+    pairs = _untried(scratch.keep(_rooted(large, roots), "rooted"), sketches, percent)
+    found = scratch.keep(confirm(pairs.join(tested, ["u", "v"], "left_anti")), "links")
+    return roots if found.isEmpty() else components(links.unionByName(found), scratch)
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:

@@ -83,3 +83,33 @@ def test_word_hashes_do_not_depend_on_place():
     assert len(shingles(a, 5)) == 1 and len(shingles(word_hashes(b""), 5)) == 0
     long = b"ab cd " * 400_000
     assert len(set(word_hashes(long).tolist())) == 2
+
+
+def test_last_pass_tries_pairs_without_a_centre(spark, monkeypatch):
+    """A large bucket whose only link is between two nodes that no round took as centre."""
+    from siftwell.llm import stars
+
+    n = 60
+    nodes = [(k, i) for k in ("a", "b") for i in range(n)]
+    members = stars.shared_buckets(spark.createDataFrame(nodes, "key string, node bigint"), Scratch(spark))
+    linked = spark.createDataFrame([(i, j) for i in range(0, n, 12) for j in range(i + 1, i + 2)], "u bigint, v bigint")
+    sketches = spark.createDataFrame([(i, 10, 1 << (i // 12)) for i in range(n)], "node bigint, size bigint, w0 bigint")
+    for chunk in (512, 7):
+        monkeypatch.setattr(stars, "CHUNK", chunk)
+        roots = stars.link(members, lambda pairs: pairs.join(linked, ["u", "v"], "left_semi"), Scratch(spark), sketches, 80)
+        assert {r["node"]: r["root"] for r in roots.collect()} == {i + j: i for i in range(0, n, 12) for j in (0, 1)}
+
+
+def test_bitmaps_rule_out_no_linked_pair():
+    import numpy as np
+
+    from siftwell.llm.near_dedup import bitmap
+
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        size, cut = int(rng.integers(5, 3000)), int(rng.integers(0, 40))
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        b = np.unique(np.append(a[cut:], rng.integers(0, 1 << 63, cut).astype(np.uint64)))
+        same = len(np.intersect1d(a, b))
+        differ = sum(bin(int(x) & (2**64 - 1)).count("1") for x in bitmap(a) ^ bitmap(b))
+        assert differ <= len(a) + len(b) - 2 * same
