@@ -7,8 +7,8 @@
 3. Each band of slots is a bucket key. Inside a bucket only star edges are proposed: from one centre to the members
    that are not in its component yet. The centre is the class that shares most with others, so the original of a
    group of edited copies is met first; pairs grow with the members, not their square.
-4. Edges are confirmed on the full sets. Later rounds (stars.link) propose new centres in buckets that still hold several
-   components, and a last pass all pairs that are left, but for those that bitmaps of the sets rule out.
+4. Edges that bitmaps of the sets do not rule out are confirmed on the full sets. Later rounds (stars.link) propose new centres in
+   buckets that still hold several components, and a last pass all pairs that are left.
 5. Components by large-star/small-star.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.scratch import Scratch, maybe_broadcast
-from siftwell.llm.stars import link, shared_buckets
+from siftwell.llm.stars import Confirm, link
 from siftwell.llm.wordhash import mix64, shingles, word_hashes
 
 #: Rows and bands: a pair of similarity 0.8 shares no band with a probability of (1 - 0.8^5)^25 = 0.00005.
@@ -84,57 +84,50 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[object, bytes | None]]:
         yield from zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True)
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """WORDS 64-bit words with a bit for each of the hashes."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[(mix64(hashes) % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def signatures(documents: DataFrame, n_words: int) -> DataFrame:
-    """doc_id, n_shingles, fp (fingerprint of the set) and the band keys of each document."""
+    """doc_id, n_shingles, fp (fingerprint of the set), the band keys and the bitmap of each document."""
     kind = documents.schema["doc_id"].dataType
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = OnePermutation()
         for batch in batches:
-            sizes, prints, bands = [], [], []
+            sizes, prints, bands, bits = [], [], [], []
             for _, text in _rows(batch):
                 found = text_shingles(text, n_words)
                 sizes.append(len(found))
                 prints.append(fingerprint(found))
                 bands.append(family.bands_of(found) if len(found) else None)
-            keys = pa.array(bands, pa.list_(pa.int64()))
+                bits.append(bitmap(found) if len(found) else None)
+            longs = pa.list_(pa.int64())
             yield pa.record_batch(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), keys],
-                ["doc_id", "n_shingles", "fp", "bands"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, longs), pa.array(bits, longs)],
+                ["doc_id", "n_shingles", "fp", "bands", "bits"],
             )
 
     return documents.select("doc_id", "text").mapInArrow(
-        sign, f"doc_id {kind.simpleString()}, n_shingles bigint, fp binary, bands array<bigint>"
+        sign, f"doc_id {kind.simpleString()}, n_shingles bigint, fp binary, bands array<bigint>, bits array<bigint>"
     )
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """WORDS 64-bit words with a bit for each of the hashes."""
-    bits = np.zeros(64 * WORDS, np.uint8)
-    bits[(mix64(hashes) % np.uint64(64 * WORDS)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64)
-
-
 def _sets(documents: DataFrame, n_words: int) -> DataFrame:
-    """fp, the full set of each document, its size and bitmap."""
+    """fp and the full set of each document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 found = [text_shingles(t, n_words) for _, t in _rows(batch.slice(i, 256))]
-                maps = np.array([bitmap(x) for x in found], np.int64).reshape(-1, WORDS)
                 yield pa.record_batch(
-                    [
-                        pa.array([fingerprint(x) for x in found], pa.binary()),
-                        pa.array([x.tobytes() for x in found], pa.binary()),
-                        pa.array([len(x) for x in found], pa.int64()),
-                        *[pa.array(np.ascontiguousarray(maps[:, j])) for j in range(WORDS)],
-                    ],
-                    ["fp", "hashes", "size", *names],
+                    [pa.array([fingerprint(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["fp", "hashes"]
                 )
 
-    names = [f"w{j}" for j in range(WORDS)]
-    return documents.select("doc_id", "text").mapInArrow(emit, "fp binary, hashes binary, size bigint, " + ", ".join(f"{w} bigint" for w in names))
+    return documents.select("doc_id", "text").mapInArrow(emit, "fp binary, hashes binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,18 +168,23 @@ def classify(documents: DataFrame, n_words: int = 5, percent: int = 80, scratch:
     """
     scratch = scratch or Scratch(documents.sparkSession)
     signed = scratch.keep(signatures(documents, n_words), "signed")
-    classes = signed.filter("n_shingles > 0").groupBy("fp").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"))
+    classes = signed.filter("n_shingles > 0").groupBy("fp", "n_shingles").agg(
+        F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id")
+    )
     classes = scratch.keep(classes, "classes")
-    members = shared_buckets(classes.select(F.col("fp").alias("node"), F.explode("bands").alias("key")), scratch)
-    wanted = members.select(F.col("node").alias("fp")).distinct()
-    chosen = scratch.keep(classes.select("fp", "doc_id").join(wanted, "fp", "left_semi"), "chosen")
-    n_chosen = chosen.count()
-    ids = maybe_broadcast(chosen.select(F.col("doc_id").alias("chosen_id")).distinct(), n_chosen, 32)
-    sets = _sets(documents.join(ids, documents["doc_id"].eqNullSafe(ids["chosen_id"]), "left_semi"), n_words)
-    sets = sets.join(maybe_broadcast(chosen.select("fp"), n_chosen, 48), "fp", "left_semi").dropDuplicates(["fp"])
-    sets = scratch.keep(sets, "sets")
-    sketches = sets.drop("hashes").withColumnRenamed("fp", "node")
-    roots = scratch.keep(link(members, lambda pairs: _linked(pairs, sets, percent), scratch, sketches, percent), "roots")
+    sketches = classes.select(F.col("fp").alias("node"), F.col("n_shingles").alias("size"), *[F.get("bits", F.lit(j)).alias(f"w{j}") for j in range(WORDS)])
+
+    def prepare(nodes: DataFrame) -> Confirm:
+        chosen = scratch.keep(classes.select("fp", "doc_id").join(nodes, classes["fp"] == nodes["node"], "left_semi"), "chosen")
+        n_chosen = chosen.count()
+        ids = maybe_broadcast(chosen.select(F.col("doc_id").alias("chosen_id")).distinct(), n_chosen, 32)
+        sets = _sets(documents.join(ids, documents["doc_id"].eqNullSafe(ids["chosen_id"]), "left_semi"), n_words)
+        sets = sets.join(maybe_broadcast(chosen.select("fp"), n_chosen, 48), "fp", "left_semi").dropDuplicates(["fp"])
+        sets = scratch.keep(sets, "sets")
+        return lambda pairs: _linked(pairs, sets, percent)
+
+    bands = classes.select(F.explode("bands").alias("key"), F.col("fp").alias("node"))
+    roots = scratch.keep(link(bands, sketches, percent, prepare, scratch), "roots")
     scratch.only(signed, roots)
 
     rooted = signed.select("doc_id", "n_shingles", "fp").join(

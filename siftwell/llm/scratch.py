@@ -11,10 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
+#: Spark removes a query's shuffle files at its end; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset, a temporary folder (as in tests)."""
+    """The folder named by spark.checkpoint.dir. Where that is unset: on one machine (as in tests) a temporary folder, on a cluster an error."""
     named = spark.conf.get(SETTING, None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='siftwell-')}"
         spark.conf.set(SETTING, named)
     return named.rstrip("/")
@@ -37,7 +44,12 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         read = self.spark.read.schema(df.schema).parquet(path)
         read.siftwell_path = path
         self.live[path] = name

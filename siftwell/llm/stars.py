@@ -1,9 +1,9 @@
 """Links between members of buckets by star-shaped candidate edges (DataFrame operations only).
 
-Inside a bucket edges from one centre to the members that are not in its component yet are proposed, so pairs grow with
-the members, not with their square. Small buckets propose every pair. Rounds repeat with other centres, in larger buckets that hold
-several components, until a round finds hardly a link. Then every pair of a bucket that is still in two components and was not
-tried is: an exact bound on bitmaps of the sets passes over those that cannot be linked. So in the end no pair is left
+Small buckets propose every pair. In a large bucket edges from a few centres to the members that are not in their component
+are proposed, so pairs grow with the members, not with their square. Rounds repeat with other centres while the pairs that they
+would leave are many; then every pair of a bucket that is still in two components is tried. An exact bound on bitmaps of
+the sets passes over pairs that cannot be linked, before anything large is read for them. So in the end no pair is left
 untried, and the rounds only save work.
 """
 
@@ -15,25 +15,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.components import components
-from siftwell.llm.scratch import Scratch
+from siftwell.llm.scratch import Scratch, maybe_broadcast
 
-#: In buckets of up to so many members every pair is tried.
+#: In buckets of up to so many members every pair is tried at once.
 SMALL_BUCKET = 8
-#: Centres of a bucket in each round after the first.
+#: Centres of a large bucket in each round after the first.
 CENTRES = 4
-#: The last pass takes over from a round whose links are fewer than this share of all. It changes the work, not the result.
-PROGRESS = 0.002
+#: The last pass takes over once it has at most so many pairs for each member, or from a round whose links are fewer than
+#: this share of all. Both change the work, not the result.
+PAIRS, PROGRESS = 64, 0.002
 #: Members of a large bucket that a task pairs with the others at once.
 CHUNK = 512
 
-
-def shared_buckets(bands: DataFrame, scratch: Scratch) -> DataFrame:
-    """bands (key, node), distinct. Returns (key, node, n, mass) for buckets of n > 1 nodes; mass: how often, over all
-    its buckets, other nodes meet the node."""
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    inside = scratch.keep(bands.join(shared, "key"), "inside")
-    mass = inside.groupBy("node").agg(F.sum("n").alias("mass"))
-    return scratch.keep(inside.join(mass, "node"), "members")
+Confirm = Callable[[DataFrame], DataFrame]
 
 
 def _dice(seed: int) -> Column:
@@ -52,10 +46,10 @@ def _stars(now: DataFrame, orders: list[Column]) -> DataFrame:
     return met.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v"))
 
 
-def _small(now: DataFrame) -> DataFrame:
-    few = now.filter(F.col("n") <= SMALL_BUCKET)
-    ours, theirs = (few.select("key", F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
-    return ours.join(theirs, "key").filter("u < v and ru <> rv").select("u", "v")
+def _all_pairs(few: DataFrame) -> DataFrame:
+    """few: members of small buckets."""
+    ours, theirs = (few.select("key", F.col("node").alias(x)) for x in "uv")
+    return ours.join(theirs, "key").filter("u < v").select("u", "v")
 
 
 def _words(sketches: DataFrame) -> list[str]:
@@ -90,34 +84,57 @@ def _untried(now: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct()
 
 
-def link(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, sketches: DataFrame, percent: int) -> DataFrame:
-    """(node, root) for every node that a confirmed link joins to others. confirm: of pairs (u, v), those linked, which are at
-    least percent similar. sketches: see possible().
+def _open(now: DataFrame) -> tuple[int, int]:
+    """Members of the buckets that hold several components, and their pairs in two components."""
+    parts = now.groupBy("key", "root").agg(F.count("*").alias("c"))
+    whole = parts.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c").cast("double") * F.col("c")).alias("within"), F.count("*").alias("parts"))
+    row = whole.filter("parts > 1").agg(F.sum("m").alias("m"), F.sum((F.col("m").cast("double") * F.col("m") - F.col("within")) / 2).alias("pairs")).first()
+    return row["m"] or 0, int(row["pairs"] or 0)
 
-    The first round tries each node with the weightiest node of each of its buckets and one taken by chance, and all pairs of
-    small buckets. Later rounds take other centres in the large buckets that hold several components, and a last pass all other pairs."""
-    now = members.withColumn("root", F.col("node"))
-    pairs = _stars(now, [F.struct("mass", "node"), _dice(0)]).unionByName(_small(now)).distinct()
-    tested = scratch.keep(pairs, "pairs")
-    links = scratch.keep(confirm(tested), "links")
-    roots = components(links, scratch)
+
+def link(bands: DataFrame, sketches: DataFrame, percent: int, prepare: Callable[[DataFrame], Confirm], scratch: Scratch) -> DataFrame:
+    """(node, root) for every node that a confirmed link joins to others.
+
+    bands: (key, node), distinct. sketches: see possible(). prepare: given the nodes (column node, distinct) that may be asked for, returns a function
+    that keeps, of pairs (u, v), those at least percent similar.
+
+    The first round tries all pairs of small buckets, and in large ones each node with the node that meets most others and one
+    taken by chance. Later rounds take other centres in the large buckets that hold several components, and a last pass all other pairs."""
+    sized = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v")).filter("n > 1")
+    sized = scratch.keep(sized, "buckets")
+    more = sized.filter("n > 2").select("key", "n")
+    members = scratch.keep(bands.join(maybe_broadcast(more, more.count(), 16), "key"), "members")
     large = members.filter(F.col("n") > SMALL_BUCKET)
+    mass = large.groupBy("node").agg(F.sum("n").alias("mass"))
+    large = scratch.keep(large.join(mass, "node"), "large")
+    stars = _stars(large.withColumn("root", F.col("node")), [F.struct("mass", "node"), _dice(0)])
+    first = sized.filter("n = 2").select("u", "v").unionByName(_all_pairs(members.filter(F.col("n") <= SMALL_BUCKET))).unionByName(stars).distinct()
+    first = scratch.keep(possible(first, sketches, percent), "pairs")
+    ends = first.select(F.col("u").alias("node")).unionByName(first.select(F.col("v").alias("node"))).unionByName(large.select("node"))
+    confirm = prepare(ends.distinct())
+    links = scratch.keep(confirm(first), "links")
+    if links.isEmpty() and large.isEmpty():
+        return links.select(F.col("u").alias("node"), F.col("u").alias("root"))
+    roots = components(links, scratch)
     turn = 0
     while True:
         now = scratch.keep(_rooted(large, roots), "rooted")
+        n_members, n_pairs = _open(now)
+        if not n_pairs:
+            return roots
+        if n_pairs <= PAIRS * n_members:
+            break
         pairs = _stars(now, [_dice(turn * CENTRES + i + 1) for i in range(CENTRES)]).distinct()
-        pairs = scratch.keep(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        found = scratch.keep(confirm(pairs), "links")
+        found = scratch.keep(confirm(possible(pairs, sketches, percent)), "links")
         fresh = found.count()
-        if not fresh:
-            break
         turn += 1
-        tested, links = tested.unionByName(pairs), links.unionByName(found)
-        roots = components(links, scratch)
-        if fresh < PROGRESS * links.count():
+        if fresh:
+            links = links.unionByName(found)
+            roots = components(links, scratch)
+        if fresh <= PROGRESS * links.count():
+            now = scratch.keep(_rooted(large, roots), "rooted")
             break
-    pairs = _untried(scratch.keep(_rooted(large, roots), "rooted"), sketches, percent)
-    found = scratch.keep(confirm(pairs.join(tested, ["u", "v"], "left_anti")), "links")
+    found = scratch.keep(confirm(_untried(now, sketches, percent)), "links")
     return roots if found.isEmpty() else components(links.unionByName(found), scratch)
 
 

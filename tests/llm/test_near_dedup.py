@@ -91,12 +91,12 @@ def test_last_pass_tries_pairs_without_a_centre(spark, monkeypatch):
 
     n = 60
     nodes = [(k, i) for k in ("a", "b") for i in range(n)]
-    members = stars.shared_buckets(spark.createDataFrame(nodes, "key string, node bigint"), Scratch(spark))
+    bands = spark.createDataFrame(nodes, "key string, node bigint")
     linked = spark.createDataFrame([(i, j) for i in range(0, n, 12) for j in range(i + 1, i + 2)], "u bigint, v bigint")
     sketches = spark.createDataFrame([(i, 10, 1 << (i // 12)) for i in range(n)], "node bigint, size bigint, w0 bigint")
     for chunk in (512, 7):
         monkeypatch.setattr(stars, "CHUNK", chunk)
-        roots = stars.link(members, lambda pairs: pairs.join(linked, ["u", "v"], "left_semi"), Scratch(spark), sketches, 80)
+        roots = stars.link(bands, sketches, 80, lambda nodes: lambda pairs: pairs.join(linked, ["u", "v"], "left_semi"), Scratch(spark))
         assert {r["node"]: r["root"] for r in roots.collect()} == {i + j: i for i in range(0, n, 12) for j in (0, 1)}
 
 
