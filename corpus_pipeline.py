@@ -23,8 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One line of each component of near-equal lines stays. A document that loses its last words goes."""
-    left = remove_lines(docs)
+    """One line of each component of near-equal lines of 20 characters or more stays. A document that loses its last words goes."""
+    left = remove_lines(docs, min_chars=20)
     emptied = (F.col("n_removed") > 0) & (F.regexp_replace("text", r"\s+", "") == "")
     return left.filter(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 
