@@ -6,12 +6,15 @@
    islands, each a task: individuals are groupings of the cell's items; crossover injects whole well-filled bins of one parent
    into the other, removes the bins that now hold duplicates, and best-fits the displaced documents.
 3. After each epoch the elite of an island migrates to its neighbours in the same cell; the best grouping of the last
-   epoch is the answer. What a cell cannot fill (its worst bins) is packed once more with the leftovers of
-   other cells.
+   epoch is the answer. What stands in bins with room left is packed again with that of other cells, as long as it saves bins.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
+import json
+import math
 import os
 import random
 import zlib
@@ -28,129 +31,64 @@ from siftwell.llm.scratch import Scratch
 CAPACITY = 2048
 END_ID = 0
 #: Items of a cell on average, islands of a cell, epochs, and crossovers of an island in one epoch.
-CELL, ISLANDS, EPOCHS, CROSSOVERS = 4096, 3, 2, 24
-POPULATION = 6
+CELL, ISLANDS, EPOCHS, CROSSOVERS = 4096, 3, 2, 48
+POPULATION = 8
 #: Islands that a task evolves one after another; one takes well under a second.
 PER_TASK = 6
-#: Bins below this share of the capacity are leftovers, packed again with those of other cells.
-FULL_ENOUGH = 0.98
-#: Entries of a worker's memory of encoded words.
-CACHE = 600_000
-#: Marks that often end a word.
-MARKS = ".,;:!?"
-
-
-class _Memo:
-    """Encodes texts as little-endian 32-bit ids, remembering those of words with a space before them.
-
-    Byte-level pre-tokenisation never joins a character that isn't a space with the single space and the word after it, so
-    a text may be cut there and each word encoded, or remembered, on its own. Words that are empty or touch other white
-    space send their text to the tokenizer as a whole."""
+#: Pairs of items are exchanged in bins of up to so many.
+PAIRED = 24
+#: Times that bins with room left are packed again, with those of other cells.
+AGAIN = 3
+
+
+def _byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Token bytes by id, of a tokenizer file that holds a plain byte-level BPE whose ids follow its merges; else None."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    plain = plain and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
+    if not plain:
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
+    letter = {chr(c): c for c in shown} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in shown)}
+    vocab = model["vocab"]
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    ids = [vocab.get(m, -1) for m in merged]
+    if ids != list(range(256, 256 + len(ids))) or len(vocab) < 256 + len(ids):
+        return None
+    extra = {t["content"] for t in spec.get("added_tokens", ())}
+    return {bytes(letter[c] for c in t): i for t, i in vocab.items() if t not in extra}
+
+
+class Encoder:
+    """Encodes texts as 32-bit ids of the tokenizer file, without special tokens around them.
+
+    A plain byte-level BPE is encoded from the file's own vocabulary by a leaner encoder that gives the same ids (a test
+    compares both for every character); texts that hold one of the file's added tokens, and all other tokenizers, are encoded by the file's library.
+    Nothing is remembered between texts, so memory does not follow their number."""
+
+    #: How byte-level pre-tokenisation splits a text; a fixed value of the format.
+    SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        size = self.tokenizer.get_vocab_size()
-        self.n_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
-        self.known: dict[str, bytes | None] = {}
-        self.runs: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        known = self.known
-        new = words.difference(known)
-        if not new:
-            return
-        if len(known) + 2 * len(new) > CACHE:
-            known.clear()
-            new = set(words)
-        odd = [w for w in new if not w or w[0].isspace() or w[-1].isspace()]
-        if odd:
-            known.update(dict.fromkeys(odd))
-            new.difference_update(odd)
-        # A run of these marks behind a letter or digit is a token group of its own: the word before it is learned instead.
-        cores = {w: w.rstrip(MARKS) for w in new if w[-1] in MARKS}
-        cores = {w: c for w, c in cores.items() if c and c[-1].isalnum()}
-        need = [w for w in {cores.get(w, w) for w in new} if w not in known]
-        if need:
-            self._encode_words(need)
-        for w, c in cores.items():
-            known[w] = known[c] + self._marks(w[len(c) :])
-
-    def _encode_words(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum([len(w.encode()) + 1 for w in words])
-        at = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-        data, start = ids.tobytes(), 0
-        for w, end in zip(words, (4 * at).tolist(), strict=True):
-            self.known[w] = data[start:end]
-            start = end
-
-    def _marks(self, run: str) -> bytes:
-        if run not in self.runs:
-            self.runs[run] = self.whole(run)
-        return self.runs[run]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. The words of all are learned together."""
-        blocks = [None if any(s in t for s in self.special) else [b.split(" ") for b in _blocks(t)] for t in texts]
-        words: set[str] = set()
-        for parts in blocks:
-            for part in parts or ():
-                words.update(part[1:])
-        self.learn(words)
-        out = []
-        for text, parts in zip(texts, blocks, strict=True):
-            try:
-                out.append(self.whole(text) if parts is None else b"".join(map(self._block, parts)))
-            except TypeError:  # a word that cannot be encoded on its own
-                out.append(self.whole(text))
-        return out
-
-    def _block(self, words: list[str]) -> bytes:
-        head = words[0]
-        if len(words) > 1 and head and head[-1].isspace():
-            raise TypeError
-        rest = b"".join(map(self.known.__getitem__, words[1:]))
-        return self._head(head) + rest if head else rest
-
-    def _head(self, word: str) -> bytes:
-        """The first word of a text, which has no space before it."""
-        if word not in self.heads:
-            if len(self.heads) > CACHE // 4:
-                self.heads.clear()
-            self.heads[word] = self.whole(word)
-        return self.heads[word]
-
-
-def _blocks(text: str, size: int = 1 << 20) -> Iterator[str]:
-    """text cut before single spaces between other characters, so that memory does not follow the longest text."""
-    at = 0
-    while len(text) - at > size:
-        end = text.find(" ", at + size)
-        while 0 < end < len(text) - 1 and (text[end - 1].isspace() or text[end + 1].isspace()):
-            end = text.find(" ", end + 1)
-        if not 0 < end < len(text) - 1:
-            break
-        yield text[at:end]
-        at = end
-    yield text[at:]
-
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        with open(path, encoding="utf-8") as f:
+            ranks = _byte_ranks(json.load(f))
+        self.fast = tiktoken.Encoding("file", pat_str=self.SPLIT, mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
-_MEMO: dict[str, _Memo] = {}
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is None or any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
 
-def _memo(path: str) -> _Memo:
-    if path not in _MEMO:
-        _MEMO.clear()
-        _MEMO[path] = _Memo(path)
-    return _MEMO[path]
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -163,21 +101,21 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_i
     """Each document's pieces: (doc_id, piece, start, length, ids_crc32), and their token ids if with_ids."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(tokenizer)
+        encoder = _encoder(tokenizer)
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)
                 rows: list[tuple] = []
                 at: list[int] = []
-                for k, ids in enumerate(memo.encode([t or "" for t in batch.column(1).to_pylist()])):
-                    ids += end
-                    for p, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
-                        part = ids[4 * start : 4 * (start + length)]
+                for k, text in enumerate(batch.column(1).to_pylist()):
+                    ids = np.append(encoder.encode(text), end) if text else end
+                    for p, (start, length) in enumerate(cuts(len(ids), capacity)):
+                        part = ids[start : start + length]
                         at.append(k)
-                        rows.append((p, start, length, zlib.crc32(part), np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None))
+                        rows.append((p, start, length, zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None))
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 arrays = [batch.column(0).take(pa.array(at, pa.int64()))] + [pa.array(c, f[1]) for c, f in zip(columns, fields, strict=False)]
                 names = ["doc_id"] + [f[0] for f in fields]
@@ -240,11 +178,37 @@ def fitness(bins: Bins, capacity: int) -> tuple[int, int]:
     return -len(bins.groups), sum((capacity - r) ** 2 for r in bins.room)
 
 
+def exchange(bins: Bins, loose: list[int], sizes: list[int], capacity: int) -> list[int]:
+    """Swaps one or two items of a bin for a loose one that fills it better, while there are such; returns the loose items then. What comes out is
+    smaller than what went in, so it is easier to place."""
+    free = sorted((sizes[i], i) for i in loose)
+    for b, group in enumerate(bins.groups):
+        while (room := bins.room[b]) and free:
+            best = None
+            singles = [(sizes[i], (i,)) for i in group]
+            pairs = [(sizes[i] + sizes[j], (i, j)) for k, i in enumerate(group) for j in group[:k]] if len(group) <= PAIRED else []
+            for size, out in singles + pairs:
+                at = bisect.bisect_right(free, (size + room, math.inf)) - 1
+                if at >= 0 and (gain := free[at][0] - size) > 0 and (best is None or gain > best[0]):
+                    best = gain, at, out
+                    if gain == room:
+                        break
+            if best is None:
+                break
+            gain, at, out = best
+            group[:] = [i for i in group if i not in out] + [free.pop(at)[1]]
+            bins.room[b] = room - gain
+            for i in out:
+                bisect.insort(free, (sizes[i], i))
+    return [i for _, i in free]
+
+
 def crossover(receiver: Bins, giver: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
-    """A child: well-filled bins of giver, those of receiver that share no item with them, and the displaced best-fitted."""
+    """A child: well-filled bins of giver, those of receiver that share no item with them, and the displaced best-fitted, after they
+    have been exchanged for smaller ones. The worst-filled bins of receiver and a few others are opened as well."""
     order = sorted(range(len(giver.groups)), key=lambda b: (giver.room[b], rng.random()))
     take = order[: max(1, int(len(order) * rng.uniform(0.1, 0.6)))]
-    groups = [giver.groups[b] for b in take]
+    groups = [list(giver.groups[b]) for b in take]
     room = [giver.room[b] for b in take]
     injected = {i for g in groups for i in g}
     displaced = []
@@ -254,15 +218,17 @@ def crossover(receiver: Bins, giver: Bins, sizes: list[int], capacity: int, rng:
             kept.append((g, r))
         else:
             displaced += [i for i in g if i not in injected]
-    kept.sort(key=lambda x: x[1])
-    spare = max(1, len(kept) // 20)  # the worst-filled bins are opened as well
-    for g, r in kept[:-spare]:
-        groups.append(g)
-        room.append(r)
-    for g, _ in kept[-spare:]:
-        displaced += g
-    child = Bins([list(g) for g in groups], list(room))
-    return best_fit(displaced, sizes, child, capacity)
+    kept.sort(key=lambda x: (x[1], rng.random()))
+    spare = max(1, len(kept) // 20)
+    also = {rng.randrange(len(kept)) for _ in range(spare)} if kept else set()
+    for k, (g, r) in enumerate(kept):
+        if k >= len(kept) - spare or k in also:
+            displaced += g
+        else:
+            groups.append(list(g))
+            room.append(r)
+    child = Bins(groups, room)
+    return best_fit(exchange(child, displaced, sizes, capacity), sizes, child, capacity)
 
 
 def _start(sizes: list[int], capacity: int, rng: random.Random, share: float) -> Bins:
@@ -291,7 +257,10 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites: list[Bins], cross
             break
         a, b = rng.sample(range(len(ranked)), 2) if len(ranked) > 1 else (0, 0)
         child = crossover(ranked[max(a, b)][2], ranked[min(a, b)][2], sizes, capacity, rng)
-        ranked.append((fitness(child, capacity), population + n, child))
+        value = fitness(child, capacity)
+        if any(value == known for known, _, _ in ranked):  # one that is as good stands for it: else the population would soon be copies
+            continue
+        ranked.append((value, population + n, child))
         ranked.sort(reverse=True, key=lambda t: t[:2])
         ranked = ranked[:population]
     return ranked[0][2]
@@ -312,9 +281,9 @@ def _decode(labels, sizes: list[int], capacity: int) -> Bins:
     return Bins(groups, [capacity - sum(sizes[i] for i in g) for g in groups])
 
 
-def _assign(items: DataFrame, capacity: int, cells: int, scratch: Scratch) -> DataFrame:
+def _assign(items: DataFrame, capacity: int, cells: int, scratch: Scratch, turn: int = 0) -> DataFrame:
     """items (uid, length) with (cell, bin), by the genetic algorithm."""
-    dealt = items.withColumn("cell", F.pmod(F.xxhash64("uid"), F.lit(cells)).cast("int"))
+    dealt = items.withColumn("cell", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(cells)).cast("int"))
     cell = dealt.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("x"))
     cell = scratch.keep(cell.select("cell", F.col("x.uid").alias("uids"), F.col("x.length").alias("sizes")), "cells")
     state = cell.select("cell", "sizes", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")).withColumn(
@@ -341,6 +310,33 @@ def _assign(items: DataFrame, capacity: int, cells: int, scratch: Scratch) -> Da
     return found.select(F.col("x.uids").alias("uid"), F.col("x.sizes").alias("length"), "cell", F.col("x.best").alias("bin"))
 
 
+def _packed(items: DataFrame, n: int, capacity: int, scratch: Scratch) -> DataFrame:
+    """items (uid, length; n rows) with (cell, bin): cells evolved apart, then what is in bins with room left once more, in fewer cells, as long
+    as that saves bins."""
+    done, base, bins = None, 0, None
+    for turn in range(AGAIN + 1):
+        cells = -(-n // CELL)
+        found = _assign(items, capacity, cells, scratch, turn)
+        found = scratch.keep(found.withColumn("cell", F.col("cell") + base), "placed")
+        base += cells
+        fill = scratch.keep(found.groupBy("cell", "bin").agg(F.sum("length").alias("fill")), "fill")
+        if bins is not None and fill.count() >= bins:
+            return done.unionByName(before)  # as they were
+        poor = fill.filter(F.col("fill") < capacity).select("cell", "bin")
+        if cells == 1 or turn == AGAIN:
+            break
+        before = found.join(poor, ["cell", "bin"], "left_semi").select("uid", "length", "cell", "bin")
+        full = found.join(poor, ["cell", "bin"], "left_anti").select("uid", "length", "cell", "bin")
+        done = full if done is None else done.unionByName(full)
+        bins = poor.count()
+        items = scratch.keep(before.select("uid", "length"), "leftover")
+        n = items.count()
+        if not n:
+            return done
+    found = found.select("uid", "length", "cell", "bin")
+    return found if done is None else done.unionByName(found)
+
+
 def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Every piece of every document: (doc_id, piece, start, length, ids_crc32, sequence_id, offset), and ids if with_ids.
 
@@ -358,20 +354,13 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     )
     if not n:
         return full.drop("uid")
-    cells = -(-n // CELL)
-    placed = scratch.keep(_assign(part, capacity, cells, scratch), "placed")
-    fill = placed.groupBy("cell", "bin").agg(F.sum("length").alias("fill"))
-    if cells > 1:
-        poor = fill.filter(F.col("fill") < FULL_ENOUGH * capacity)
-        again = scratch.keep(placed.join(poor.select("cell", "bin"), ["cell", "bin"]).select("uid", "length"), "leftover")
-        m = again.count()
-        if m:
-            second = _assign(again, capacity, -(-m // CELL), scratch).withColumn("cell", F.col("cell") + cells)
-            placed = placed.join(poor.select("cell", "bin"), ["cell", "bin"], "left_anti").select("uid", "length", "cell", "bin").unionByName(second)
+    placed = _packed(part, n, capacity, scratch)
     before = Window.partitionBy("cell", "bin").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)  # <= capacity rows
     offsets = placed.select(
         "uid",
         (F.col("cell").cast("bigint") * (1 << 32) + F.col("bin")).alias("sequence_id"),
         F.coalesce(F.sum("length").over(before), F.lit(0).cast("bigint")).alias("offset"),
     )
+    offsets = scratch.keep(offsets, "offsets")
+    scratch.only(cut, offsets)
     return cut.filter(F.col("length") < capacity).join(offsets, "uid").unionByName(full).drop("uid")

@@ -104,15 +104,17 @@ def link(bands: DataFrame, sketches: DataFrame, percent: int, prepare: Callable[
     sized = scratch.keep(sized, "buckets")
     more = sized.filter("n > 2").select("key", "n")
     members = scratch.keep(bands.join(maybe_broadcast(more, more.count(), 16), "key"), "members")
-    large = members.filter(F.col("n") > SMALL_BUCKET)
-    mass = large.groupBy("node").agg(F.sum("n").alias("mass"))
-    large = scratch.keep(large.join(mass, "node"), "large")
+    crowd = members.filter(F.col("n") > SMALL_BUCKET)
+    mass = crowd.groupBy("node").agg(F.sum("n").alias("mass"))
+    large = scratch.keep(crowd.join(mass, "node"), "large")
     stars = _stars(large.withColumn("root", F.col("node")), [F.struct("mass", "node"), _dice(0)])
     first = sized.filter("n = 2").select("u", "v").unionByName(_all_pairs(members.filter(F.col("n") <= SMALL_BUCKET))).unionByName(stars).distinct()
     first = scratch.keep(possible(first, sketches, percent), "pairs")
+    scratch.drop(sized, members)
     ends = first.select(F.col("u").alias("node")).unionByName(first.select(F.col("v").alias("node"))).unionByName(large.select("node"))
     confirm = prepare(ends.distinct())
     links = scratch.keep(confirm(first), "links")
+    scratch.drop(first)
     if links.isEmpty() and large.isEmpty():
         return links.select(F.col("u").alias("node"), F.col("u").alias("root"))
     roots = components(links, scratch)

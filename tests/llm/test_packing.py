@@ -11,13 +11,57 @@ from siftwell.llm import packing as P
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def test_memo_equals_the_tokenizer():
-    memo, plain = P._Memo(PATH), Tokenizer.from_file(PATH)
+def test_encoder_equals_the_tokenizer():
+    ours, plain = P.Encoder(PATH), Tokenizer.from_file(PATH)
+    assert ours.fast is not None
     rng = random.Random(1)
-    pieces = [" ", "  ", "\n", "\t", "word", "it's", "123", "é", "<|endoftext|>", "中", ".", " ", "a"]
+    pieces = [" ", "  ", "\n", "\t", "word", "it's", "'LL", "123", "é", "<|endoftext|>", "中", ".", "\u3000", "a", "\r\n", "\u0301"]
     for _ in range(2000):
         text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
-        assert memo.encode([text])[0] == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+        assert ours.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    for text in ("a" * 100_000, " " * 50_000, "".join(rng.choice("abcdefghij") for _ in range(50_000)), "中" * 20_000):
+        assert ours.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_equals_the_tokenizer_for_every_character():
+    ours, plain = P.Encoder(PATH), Tokenizer.from_file(PATH)
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for i in range(0, len(points), 8192):
+        texts = [f"a{c}b {c} 1{c}2  {c}{c} ,{c}" for c in map(chr, points[i : i + 8192])]
+        want = plain.encode_batch_fast(texts, add_special_tokens=False)
+        assert all(ours.encode(t).tolist() == w.ids for t, w in zip(texts, want, strict=True))
+
+
+def test_other_tokenizers_are_encoded_by_their_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ours, plain = P.Encoder(path), Tokenizer.from_file(path)
+    assert ours.fast is None
+    assert ours.encode("Some Words, here.").tolist() == plain.encode("Some Words, here.", add_special_tokens=False).ids
+
+
+def test_crossover_beats_its_start():
+    """Triplets that fill a bin exactly: best fit decreasing needs 47 bins for 40, and crossovers save at least four of them."""
+    rng, sizes = random.Random(0), []
+    for _ in range(40):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2)
+        sizes += [a, b, 1000 - a - b]
+    start = len(P._start(sizes, 1000, random.Random(0), 0.0).groups)
+    assert start == 47 and 40 <= len(P.evolve(sizes, 1000, 0, [], crossovers=24).groups) <= 43
+    assert len(P.evolve(sizes, 1000, 0, [], crossovers=200).groups) <= 42
+
+
+def test_packing_needs_no_more_sequences_than_best_fit_decreasing(spark, monkeypatch):
+    monkeypatch.setattr(P, "CELL", 64)
+    rng = random.Random(4)
+    sizes = [rng.randint(20, 100) for _ in range(600)]
+    items = spark.createDataFrame(list(enumerate(sizes)), "uid bigint, length bigint")
+    rows = P._packed(items, len(sizes), 150, P.Scratch(spark)).collect()
+    assert sorted(r["uid"] for r in rows) == list(range(600)) and all(r["length"] == sizes[r["uid"]] for r in rows)
+    bins = {}
+    for r in rows:
+        bins[r["cell"], r["bin"]] = bins.get((r["cell"], r["bin"]), 0) + r["length"]
+    assert max(bins.values()) <= 150 and len(bins) <= len(P._start(sizes, 150, random.Random(0), 0.0).groups) + 3
 
 
 @pytest.mark.parametrize("n", [1, 5, 8, 9, 16, 17, 100])
