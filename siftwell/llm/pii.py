@@ -1,37 +1,48 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds anchors in one pass over a text: at-signs, schemes, plus signs, digits and identifier cues.
-Deterministic parsers expand each anchor to both sides and validate what they find: addresses (email, IP, URL), numbers
-(card, phone) and accounts (IBAN, access keys, passwords). Each parser reads a stretch of text once, so long texts cost in
-proportion to their length.
+An Aho-Corasick automaton finds every anchor in one pass over a text: at-signs, schemes, plus signs, digits and identifier cues.
+A deterministic parser of the anchor's kind expands it from where it stands and validates what it finds: addresses (email, IP, URL),
+numbers (card, phone) and accounts (IBAN, access keys, passwords, tokens). An anchor inside a stretch that its parser has read already is passed
+over, so long texts cost in proportion to their length.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import string
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Kinds in the order that breaks ties of one start. The first four are the base; the method adds the others.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url", "iban", "key", "password")
-#: Anchors of the added kinds.
-SCHEMES = ("http://", "https://", "ftp://")
-CUES = {"iban": "iban", "IBAN": "iban", "AKIA": "key", "password": "password", "passwd": "password", "pwd": "password"}
-
-_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+KINDS = (*BASE, "url", "iban", "key", "password", "token")
+#: Cues of the added kinds, found in lower and upper case and capitalised.
+CUES = {
+    "iban": "iban", "password": "password", "passwd": "password", "pwd": "password", "passphrase": "password",
+    "token": "token", "secret": "token", "api_key": "token", "apikey": "token", "api-key": "token", "access_key": "token", "private_key": "token", "bearer": "token",
+}
+SCHEMES = ("http", "https", "ftp")
+
+_LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-#: A match that starts inside a run of digits fails or succeeds as one from the run's start, so only those are tried.
-_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
+_RUN = re.compile(r"[0-9]++")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_URL = re.compile(r"(?:https?|ftp)://[^\s\"'<>()\[\]{}]+")
-_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b")
+_URL = re.compile(r"://[^\s\"'<>()\[\]{}]+")
+_IBAN = re.compile(r"[ \t:=#.-]{0,8}\b([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})\b")
 _KEY = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Z0-9])")
-_PASSWORD = re.compile(r"(?:password|passwd|pwd)[ \t]*[=:][ \t]*([^\s,;\"']+)")
+#: What stands behind a cue: an equals sign or a colon, and a value.
+_VALUE = re.compile(r"[\"']?[ \t]*[=:][ \t]*[\"']?([^\s,;\"']+)")
+#: Values of tokens have this shape: at least 8 characters, a digit among them.
+_TOKEN = re.compile(r"(?=[^0-9]*[0-9])[A-Za-z0-9_./+=-]{8,}")
+
+Found = tuple[int, int] | None
 
 
 def luhn(digits: str) -> bool:
@@ -44,44 +55,77 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def emails(text: str, at: int = 0) -> Iterator[tuple[int, int]]:
-    """Leftmost non-overlapping addresses: an at-sign, expanded left over the local part, right over the domain."""
-    floor = 0
-    sign = text.find("@", at)
-    while sign >= 0:
-        start = sign
-        while start > floor and text[start - 1] in _LOCAL:
-            start -= 1
-        found = _DOMAIN.match(text, sign + 1) if start < sign else None
-        floor = found.end() if found else sign + 1
-        if found:
-            yield start, found.end()
-        sign = text.find("@", floor)
+def _iban_valid(s: str) -> bool:
+    s = s.replace(" ", "")
+    if not 15 <= len(s) <= 34:
+        return False
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def _email(text: str, at: int, floor: int) -> tuple[int, Found]:
+    start = at
+    while start > floor and text[start - 1] in _LOCAL:
+        start -= 1
+    m = _DOMAIN.match(text, at + 1) if start < at else None
+    return (m.end(), (start, m.end())) if m else (at + 1, None)
 
 
-def ips(text: str, at: int = 0) -> Iterator[tuple[int, int]]:
-    for m in _IP.finditer(text, at):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
-            yield m.span()
+def _ip(text: str, at: int, floor: int) -> tuple[int, Found]:
+    """at: the first digit of a run, for a match that starts inside a run fails or succeeds as one from its start."""
+    m = _IP.match(text, at)
+    if not m:
+        return _RUN.match(text, at).end(), None
+    parts = [p.lstrip("0") for p in m[0].split(".")]
+    return m.end(), m.span() if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts) else None
 
 
-def cards(text: str, at: int = 0) -> Iterator[tuple[int, int]]:
-    for m in _DIGITS.finditer(text, at):
-        if m.end() - m.start() <= 37 and 14 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits):
-            yield m.span()
+def _card(text: str, at: int, floor: int) -> tuple[int, Found]:
+    m = _DIGITS.match(text, at)
+    if not m:
+        return at + 1, None
+    ok = m.end() - m.start() <= 37 and 14 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits)
+    return m.end(), m.span() if ok else None
 
 
-def phones(text: str, at: int = 0) -> Iterator[tuple[int, int]]:
-    for m in _PHONE.finditer(text, at):
-        if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
-            yield m.span()
+def _phone(text: str, at: int, floor: int) -> tuple[int, Found]:
+    m = _PHONE.match(text, at)
+    if not m:
+        return at + 1, None
+    return m.end(), m.span() if 10 <= sum(c.isdigit() for c in m[0]) <= 15 else None
 
 
-def _iban_valid(s: str) -> bool:
-    s = s.replace(" ", "")
-    if not 15 <= len(s) <= 34:
-        return False
-    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+def _url(text: str, at: int, floor: int) -> tuple[int, Found]:
+    m = _URL.match(text, at - 2)  # the anchor's last slash
+    letters = re.search(r"[A-Za-z]*$", text[max(floor, at - 7) : at - 2])[0].lower() if m else ""
+    scheme = max((x for x in SCHEMES if letters.endswith(x)), key=len, default=None)
+    return (m.end(), (at - 2 - len(scheme), m.start() + len(m[0].rstrip(".,;:!?")))) if scheme else (at + 1, None)
+
+
+def _iban(text: str, at: int, floor: int) -> tuple[int, Found]:
+    m = _IBAN.match(text, at + 1)
+    return (m.end(), m.span(1)) if m and _iban_valid(m[1]) else (at + 1, None)
+
+
+def _key(text: str, at: int, floor: int) -> tuple[int, Found]:
+    m = _KEY.match(text, at - 3)
+    return (m.end(), m.span()) if m else (at + 1, None)
+
+
+def _password(text: str, at: int, floor: int) -> tuple[int, Found]:
+    m = _VALUE.match(text, at + 1)
+    return (m.end(), m.span(1)) if m else (at + 1, None)
+
+
+def _token(text: str, at: int, floor: int) -> tuple[int, Found]:
+    m = _VALUE.match(text, at + 1)
+    return (m.end(), m.span(1)) if m and _TOKEN.fullmatch(m[1]) else (at + 1, None)
+
+
+#: Parsers take a text, the last character of an anchor and where the kind's last stretch ended; they return where theirs ends and the span, if valid.
+PARSERS: dict[str, Callable[[str, int, int], tuple[int, Found]]] = {
+    "email": _email, "ip": _ip, "card": _card, "phone": _phone, "url": _url, "iban": _iban, "key": _key, "password": _password, "token": _token,
+}
+_ORDER = {k: i for i, k in enumerate(KINDS)}
 
 
 class Finder:
@@ -89,48 +133,26 @@ class Finder:
         import ahocorasick
 
         self.anchors = ahocorasick.Automaton()
-        for a in ("@", "+", *"0123456789"):
-            self.anchors.add_word(a, {"@": "email", "+": "phone"}.get(a, "digit"))
-        for a in SCHEMES:
-            self.anchors.add_word(a, "url")
-        for a, kind in CUES.items():
-            self.anchors.add_word(a, kind)
+        anchors = {"@": ("email",), "+": ("phone",), "://": ("url",), "AKIA": ("key",)} | dict.fromkeys(string.digits, ("ip", "card"))
+        for cue, kind in CUES.items():
+            anchors |= dict.fromkeys((cue, cue.upper(), cue.capitalize()), (kind,))
+        for anchor, kinds in anchors.items():
+            self.anchors.add_word(anchor, kinds)
         self.anchors.make_automaton()
 
-    def first(self, text: str) -> dict[str, int]:
-        """Where the first anchor of each kind stands (its last character)."""
-        seen: dict[str, int] = {}
-        for end, kind in self.anchors.iter(text):
-            if kind not in seen:
-                seen[kind] = end
-                if len(seen) == 7:
-                    break
-        return seen
-
     def find(self, text: str | None) -> list[tuple[int, int, str]]:
         """(start, end, kind) sorted by start, then kind as listed."""
         if not text:
             return []
-        seen = self.first(text)
+        floor = dict.fromkeys(KINDS, 0)
         out: list[tuple[int, int, str]] = []
-        if "email" in seen:
-            out += [(*s, "email") for s in emails(text, seen["email"])]
-        if "digit" in seen:
-            at = seen["digit"]
-            out += [(*s, "ip") for s in ips(text, at)]
-            out += [(*s, "card") for s in cards(text, at)]
-        if "phone" in seen:
-            out += [(*s, "phone") for s in phones(text, seen["phone"])]
-        if "url" in seen:
-            out += [(m.start(), m.start() + len(m[0].rstrip(".,;:!?")), "url") for m in _URL.finditer(text, max(0, seen["url"] - 8))]
-        if "iban" in seen:
-            out += [(*m.span(), "iban") for m in _IBAN.finditer(text, seen["iban"]) if _iban_valid(m[0])]
-        if "key" in seen:
-            out += [(*m.span(), "key") for m in _KEY.finditer(text, seen["key"] - 3)]
-        if "password" in seen:
-            out += [(*m.span(1), "password") for m in _PASSWORD.finditer(text, max(0, seen["password"] - 8))]
-        order = {k: i for i, k in enumerate(KINDS)}
-        return sorted(out, key=lambda x: (x[0], order[x[2]], x[1]))
+        for end, kinds in self.anchors.iter(text):
+            for kind in kinds:
+                if end >= floor[kind]:
+                    floor[kind], span = PARSERS[kind](text, end, floor[kind])
+                    if span:
+                        out.append((*span, kind))
+        return sorted(out, key=lambda x: (x[0], _ORDER[x[2]], x[1]))
 
 
 def find(documents: DataFrame) -> DataFrame:
@@ -152,15 +174,17 @@ def find(documents: DataFrame) -> DataFrame:
                 found = [[{"kind": k, "start": s, "end": e} for s, e, k in finder.find(t)] for t in batch.column(at).to_pylist()]
                 yield pa.record_batch([*batch.columns, pa.array(found, span)], [*batch.schema.names, "pii"])
 
-    from pyspark.sql import types as T
-
     return base.mapInArrow(run, T.StructType([*base.schema.fields, *T.StructType.fromDDL(f"pii {added}").fields]))
 
 
 def redact(documents: DataFrame) -> DataFrame:
-    """documents with every span of pii replaced by its kind in brackets; of overlapping spans the first and longest counts."""
+    """documents, all columns, with every span in text replaced by its kind in brackets; of overlapping spans the first and longest counts.
+
+    Null and empty texts stay as they are, as do texts without a span. A column named pii of the caller's stays too.
+    """
     names = documents.columns
-    found = find(documents)
+    aside = f"pii_{uuid.uuid4().hex}"
+    found = find(documents.withColumnRenamed("pii", aside))
     spans = F.array_sort(F.transform("pii", lambda p: F.struct(p["start"].alias("s"), (-p["end"]).alias("e"), p["kind"].alias("k"))))
     step = F.aggregate(
         spans,
@@ -173,4 +197,5 @@ def redact(documents: DataFrame) -> DataFrame:
         ),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
     )
-    return found.withColumn("text", F.when(F.size("pii") > 0, step).otherwise(F.col("text"))).select(names)
+    found = found.withColumn("text", F.when(F.size("pii") > 0, step).otherwise(F.col("text")))
+    return found.drop("pii").withColumnRenamed(aside, "pii").select(names)
