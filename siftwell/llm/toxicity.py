@@ -5,8 +5,8 @@ Fitting, on a bounded sample of labelled rows:
    on the cluster, gives each a log-odds; the few that lean to one side form the lexicon (bounded). Each word maps to
    an emission class made of its own and its prefixes' log-odds; all other words are neutral.
 2. Labelled tokens: a token of a toxic document with a strongly toxic class is inside a span, all others outside. A two-state
-   chain is fitted on these sequences by gradient ascent on the conditional likelihood; counts behind a training
-   document's classes leave the document itself out.
+   chain is fitted on these sequences, whole, by limited-memory BFGS on the conditional likelihood: emission and transition weights move by true
+   less expected counts, over all sequences at once. Counts behind a training document's classes leave the document itself out.
 3. Forward-backward marginals are summed up to document features, and a logistic curve fitted to the labels maps them to scores.
 
 Scoring streams every whole text once, without a shuffle. Runs of neutral tokens are crossed by powers of one matrix, so
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +29,10 @@ from pyspark.sql import types as T
 
 from siftwell.llm.scratch import Scratch
 
-#: Bounds of the fit: labelled documents read, entries of the lexicon, tokens kept of one training document.
-SAMPLE, LEXICON, TOKENS = 20_000, 20_000, 400
+#: Bounds of the fit: labelled documents read, entries of the lexicon.
+SAMPLE, LEXICON = 20_000, 20_000
+#: Ridge on the chain's weights.
+RIDGE = 0.1
 #: A feature enters the lexicon from this log-likelihood ratio and this shrunk log-odds; it marks a span from STRONG.
 EVIDENCE, LEAN, STRONG = 9.0, 1.5, 3
 #: Documents of the average mix that each feature is taken to have been seen in besides its own.
@@ -70,7 +72,6 @@ class Model:
     n: tuple[int, int]
     emission: np.ndarray
     transition: np.ndarray
-    start: np.ndarray
     weights: np.ndarray
 
     def odds(self, feature: bytes, less: tuple[int, int] = (0, 0)) -> float:
@@ -93,48 +94,152 @@ class Model:
 CLASSES = (STEPS + 1) ** 2
 
 
-def _powers(m: np.ndarray):
-    memo = {0: np.eye(2), 1: m}
+class Gaps:
+    """Powers of M, the step over one neutral token, divided by the same power of M's larger eigenvalue, and their derivatives."""
 
-    def power(n: int) -> np.ndarray:
-        if n not in memo:
-            half = power(n // 2)
-            p = half @ half
-            p = p @ m if n % 2 else p
-            memo[n] = p / p.max()
-        return memo[n]
+    def __init__(self, t: np.ndarray, neutral: np.ndarray):
+        self.m = np.exp(t) * np.exp(neutral)[None, :]
+        half, det = (self.m[0, 0] - self.m[1, 1]) / 2, self.m[0, 1] * self.m[1, 0]
+        root, middle = math.sqrt(half * half + det), (self.m[0, 0] + self.m[1, 1]) / 2
+        self.large, self.small = middle + root, middle - root
+        v = np.array([[self.m[0, 1], self.m[0, 1]], [self.large - self.m[0, 0], self.small - self.m[0, 0]]])
+        self.v, self.inverse = v, np.linalg.inv(v)
 
-    return power
+    def powers(self, n: np.ndarray) -> np.ndarray:
+        """M^n / large^n for each n."""
+        ratio = np.stack([np.ones(len(n)), np.power(self.small / self.large, n)], 1)
+        return np.einsum("ij,nj,jk->nik", self.v, ratio, self.inverse)
 
+    def derivative(self, n: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """The derivative of M^n in the direction by, divided by large^n."""
+        q = self.small / self.large
+        up = np.power(q, n)
+        f = np.empty((len(n), 2, 2))
+        f[:, 0, 0] = n / self.large
+        f[:, 1, 1] = np.where(n > 0, n * np.power(q, np.maximum(n - 1, 0)), 0.0) / self.large
+        f[:, 0, 1] = f[:, 1, 0] = (1.0 - up) / (self.large - self.small)
+        return np.einsum("ij,njk,kl->nil", self.v, f * (self.inverse @ by @ self.v), self.inverse)
 
-class Chain:
-    """Marginals of compressed sequences: (neutral tokens before, class) pairs and the neutral tokens at the end."""
-
-    def __init__(self, emission: np.ndarray, transition: np.ndarray, start: np.ndarray):
-        self.e, self.t, self.s = np.exp(emission), np.exp(transition), np.exp(start)
-        self.gap = _powers(self.t * self.e[0][None, :])  # one neutral token: a transition, then its emission
 
-    def marginals(self, gaps: list[int], kinds: list[int]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """P(toxic) of each non-neutral token; the messages of both directions."""
-        ahead, here = [], None
+class Chain:
+    """Marginals of compressed sequences: neutral tokens before each other token, the classes of those, and the neutral tokens at the end.
+    A text starts from outside a span."""
+
+    def __init__(self, emission: np.ndarray, transition: np.ndarray):
+        self.e, self.t = np.exp(emission), np.exp(transition)
+        self.gaps = Gaps(transition, emission[0])
+        self.memo: dict[int, np.ndarray] = {}
+
+    def gap(self, n: int) -> np.ndarray:
+        if n not in self.memo:
+            if len(self.memo) > CACHE:
+                self.memo.clear()
+            self.memo[n] = self.gaps.powers(np.array([n]))[0]
+        return self.memo[n]
+
+    def marginals(self, gaps: list[int], kinds: list[int]) -> np.ndarray:
+        """P(toxic) of each non-neutral token."""
+        ahead, here = [], np.array([1.0, 0.0])
         for g, k in zip(gaps, kinds, strict=False):
-            if here is None:
-                v = self.s * (self.e[0] if g else 1.0)
-                v = (v @ self.gap(g - 1)) @ self.t if g else v
-            else:
-                v = (here @ self.gap(g)) @ self.t
-            here = v * self.e[k]
+            here = ((here @ self.gap(g)) @ self.t) * self.e[k]
             here = here / here.sum()
             ahead.append(here)
         back: list[np.ndarray] = [None] * len(kinds)
-        v = np.ones(2)
+        v = self.gap(gaps[-1]) @ np.ones(2)
         for i in range(len(kinds) - 1, -1, -1):
-            g = gaps[i + 1]
-            v = self.gap(g) @ (v if i == len(kinds) - 1 else self.t @ (self.e[kinds[i + 1]] * v))
-            v = v / v.sum()
-            back[i] = v
+            back[i] = v = v / v.sum()
+            v = self.gap(gaps[i]) @ (self.t @ (self.e[kinds[i]] * v))
         both = np.array(ahead) * np.array(back)
-        return both[:, 1] / both.sum(1), ahead, back
+        return both[:, 1] / both.sum(1)
+
+
+class Sequences:
+    """Many tagged sequences, longest first, for likelihoods and gradients of all of them at once. Neutral tokens are outside spans."""
+
+    def __init__(self, sequences: list[tuple[list[int], list[int], list[int]]]):
+        order = sorted((x for x in sequences if x[1]), key=lambda x: -len(x[1]))
+        self.length = np.array([len(k) for _, k, _ in order], np.int64)
+        self.first = np.concatenate(([0], np.cumsum(self.length)))
+        flat = lambda i, end: np.fromiter((v for x in order for v in x[i][: len(x[i]) - end]), np.int64)
+        self.before, self.kind, self.tag = flat(0, 1), flat(1, 0), flat(2, 0)
+        self.last = np.array([g[-1] for g, _, _ in order], np.int64)
+        self.gap_values, at = np.unique(np.concatenate([self.before, self.last]), return_inverse=True)
+        self.before_at, self.last_at = at[: len(self.before)], at[len(self.before) :]
+        self.steps = [np.flatnonzero(self.length > k) for k in range(int(self.length.max(initial=0)))]
+
+    def likelihood(self, e: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Conditional log-likelihood of the tags, and its gradient by the weights e and t."""
+        gaps = Gaps(t, e[0])
+        power, big_t, big_e = gaps.powers(self.gap_values), np.exp(t), np.exp(e)
+        n, total = len(self.length), len(self.kind)
+        entered, ahead, back, met = np.empty((total, 2)), np.empty((total, 2)), np.empty((total, 2)), np.empty((total, 2))
+        here, log_z = np.tile(np.array([1.0, 0.0]), (n, 1)), np.zeros(n)
+        before_gap = np.empty((total, 2))
+        for k, live in enumerate(self.steps):  # forward
+            i = self.first[live] + k
+            before_gap[i] = here[live]
+            u = np.einsum("ni,nij->nj", here[live], power[self.before_at[i]])
+            entered[i] = u
+            v = (u @ big_t) * big_e[self.kind[i]]
+            scale = v.sum(1)
+            log_z[live] += np.log(scale)
+            here[live] = ahead[i] = v / scale[:, None]
+        out = np.einsum("nij->ni", power[self.last_at])
+        end = (here * out).sum(1)
+        log_z += np.log(end) + np.log(gaps.large) * (np.bincount(np.repeat(np.arange(n), self.length), self.before, n) + self.last)
+        after = out / out.sum(1)[:, None]
+        for k in range(len(self.steps) - 1, -1, -1):  # backward
+            live = self.steps[k]
+            i = self.first[live] + k
+            back[i] = after[live]
+            m = (big_e[self.kind[i]] * after[live]) @ big_t.T
+            met[i] = m
+            w = np.einsum("nij,nj->ni", power[self.before_at[i]], m)
+            after[live] = w / w.sum(1)[:, None]
+        # Expected counts: of classes and tags, of steps into tokens, and inside gaps by the derivative of their matrix.
+        p = ahead * back
+        p /= p.sum(1)[:, None]
+        de, dt = np.zeros_like(e), np.zeros_like(t)
+        np.add.at(de, self.kind, -p)
+        np.add.at(de, (self.kind, self.tag), 1.0)
+        pair = entered[:, :, None] * big_t[None] * (big_e[self.kind] * back)[:, None, :]
+        dt -= (pair / pair.sum((1, 2))[:, None, None]).sum(0)
+        left, right = np.concatenate([before_gap, here]), np.concatenate([met, np.ones((n, 2))])
+        at = np.concatenate([self.before_at, self.last_at])
+        whole = np.einsum("ni,nij,nj->n", left, power[at], right)
+        outer = np.zeros((len(self.gap_values), 2, 2))
+        np.add.at(outer, at, left[:, :, None] * right[:, None, :] / whole[:, None, None])
+        inside = np.empty((2, 2))
+        for i in (0, 1):
+            for j in (0, 1):
+                by = np.zeros((2, 2))
+                by[i, j] = gaps.m[i, j]
+                inside[i, j] = (gaps.derivative(self.gap_values, by) * outer).sum()
+        dt -= inside
+        de[0] -= inside.sum(0)
+        # The true path: outside in gaps.
+        neutral = float(self.before.sum() + self.last.sum())
+        score = e[self.kind, self.tag].sum() + neutral * e[0, 0]
+        de[0, 0] += neutral
+        came = np.zeros(total, np.int64)  # tag of what stands before each token: a neutral token, the token before, or the start of the text
+        touching = np.ones(total, bool)
+        touching[self.first[:-1]] = False
+        touching &= self.before == 0
+        came[touching] = self.tag[np.flatnonzero(touching) - 1]
+        np.add.at(dt, (came, self.tag), 1.0)
+        score += t[came, self.tag].sum()
+        earlier = np.zeros(total, np.int64)  # tag before the gap before each token
+        earlier[1:] = self.tag[:-1]
+        earlier[self.first[:-1]] = 0
+        final = np.concatenate([earlier, self.tag[self.first[1:] - 1]])
+        runs = np.concatenate([self.before, self.last])
+        ones = runs > 0
+        np.add.at(dt, (final[ones], np.zeros(int(ones.sum()), np.int64)), 1.0)
+        score += t[final[ones], 0].sum()
+        rest = float((runs[ones] - 1).sum())
+        dt[0, 0] += rest
+        score += rest * t[0, 0]
+        return float(score - log_z.sum()), de, dt
 
 
 def _summary(p: np.ndarray) -> np.ndarray:
@@ -144,69 +249,71 @@ def _summary(p: np.ndarray) -> np.ndarray:
     return np.array([1.0, 1.0 - float(np.prod(1.0 - p)), float(p.max()), math.log1p(float(p.sum()))])
 
 
-def _fit_chain(sequences: list[tuple[list[int], list[int], list[int]]], rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Emission, transition and start weights. sequences: gaps, classes, tags of the non-neutral tokens; gaps are outside."""
-    e, t, s = np.zeros((CLASSES, 2)), np.zeros((2, 2)), np.zeros(2)
-    counts = [np.zeros_like(x) for x in (e, t, s)]
-    n_tokens = 0
-    for gaps, kinds, tags in sequences:
-        path = []
-        for g, k, y in zip(gaps, kinds, tags, strict=False):
-            counts[0][0, 0] += g
-            counts[1][0, 0] += max(0, g - 1)
-            if g:
-                path += [0]
-                if len(path) > 1:
-                    counts[1][path[-2], 0] += 1
-            path += [y]
-            if len(path) > 1:
-                counts[1][path[-2], y] += 1
-            counts[0][k, y] += 1
-        if gaps[-1]:
-            counts[0][0, 0] += gaps[-1]
-            counts[1][0, 0] += gaps[-1] - 1
-            if path:
-                counts[1][path[-1], 0] += 1
-            path += [0]
-        if path:
-            counts[2][path[0]] += 1
-        n_tokens += sum(gaps) + len(kinds)
-    # Pseudo-likelihood: each tag given the true tags beside it; its optimum needs no normaliser over the sequence.
-    seen = np.log(counts[1] + 0.5) - np.log((counts[1] + 0.5).sum(1, keepdims=True))
-    t[:] = seen
-    s[:] = np.log(counts[2] + 0.5) - np.log((counts[2] + 0.5).sum())
-    e[:] = np.log(counts[0] + 0.05) - np.log((counts[0] + 0.05).sum(1, keepdims=True))
-    e -= np.log(counts[0].sum(0) + 1.0) - math.log(counts[0].sum() + 2.0)  # P(class | tag) up to a factor of the class
-    e -= e.mean(1, keepdims=True)
-    # Conditional likelihood by gradient ascent from there, on all sequences with non-neutral tokens; equal ones are computed once.
-    live = Counter((tuple(gaps), tuple(kinds), tuple(tags)) for gaps, kinds, tags in sequences if kinds)
-    rate = 0.5
-    for _ in range(rounds if live else 0):
-        chain = Chain(e, t, s)
-        grad, weight = np.zeros_like(e), np.zeros(CLASSES)
-        for (gaps, kinds, tags), n in live.items():
-            p, _, _ = chain.marginals(gaps, kinds)
-            for k, y, q in zip(kinds, tags, p.tolist(), strict=True):
-                grad[k, 1] += n * (y - q)
-                grad[k, 0] -= n * (y - q)
-                weight[k] += n
-        step = rate * grad / (weight[:, None] + 1.0)
-        e += step
-        if np.abs(step).max() < 0.01:
+def _fit_chain(sequences: list[tuple[list[int], list[int], list[int]]], rounds: int = 60, told: list[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Emission and transition weights of the greatest conditional likelihood of the tags, less a small ridge. sequences: gaps, classes, tags of the non-neutral
+    tokens. All sequences count, and every step raises the likelihood (told, if given, gets its values)."""
+    data = Sequences(sequences)
+    x = np.concatenate([np.zeros(2 * CLASSES), np.array([0.0, -4.0, -1.0, 0.0])])
+    if not len(data.length):
+        return x[:-4].reshape(CLASSES, 2), x[-4:].reshape(2, 2)
+    free = np.ones(len(x))
+    free[0] = free[-4] = 0.0  # outside and neutral is the reference
+
+    def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+        v, de, dt = data.likelihood(x[:-4].reshape(CLASSES, 2), x[-4:].reshape(2, 2))
+        return v - 0.5 * RIDGE * float(x @ x), (np.concatenate([de.ravel(), dt.ravel()]) - RIDGE * x) * free
+
+    now, slope = value(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []  # limited-memory BFGS
+    for _ in range(rounds):
+        if told is not None:
+            told.append(now)
+        q, alphas = slope.copy(), []
+        for ds, dg in reversed(past):
+            alphas.append((ds @ q) / (ds @ dg))
+            q -= alphas[-1] * dg
+        q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1.0 / (1.0 + np.abs(slope).max())
+        for (ds, dg), alpha in zip(past, reversed(alphas), strict=True):
+            q += (alpha - (dg @ q) / (ds @ dg)) * ds
+        step, rise = 1.0, float(q @ slope)
+        if rise <= 0:
+            q, rise, past = slope.copy(), float(slope @ slope), []
+        while step > 1e-8:
+            trial = x + step * np.clip(q, -4, 4)
+            after, new_slope = value(trial)
+            if after >= now + 1e-4 * step * float(np.clip(q, -4, 4) @ slope):
+                break
+            step /= 2
+        else:
             break
-    return e, t, s
+        ds, dg = trial - x, slope - new_slope
+        if ds @ dg > 1e-10:
+            past = [*past, (ds, dg)][-8:]
+        gained, x, now, slope = after - now, trial, after, new_slope
+        if gained < 1e-5 * abs(now):
+            break
+    return x[:-4].reshape(CLASSES, 2), x[-4:].reshape(2, 2)
+
+
+def _fit_scores(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Logistic regression with a small ridge, by Newton steps that are shortened until they raise the likelihood."""
 
+    def value(w: np.ndarray) -> float:
+        z = x @ w
+        return float((y * z - np.logaddexp(0.0, z)).sum() - 0.025 * w @ w)
 
-def _fit_scores(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Logistic regression by Newton steps with a small ridge."""
     w = np.zeros(x.shape[1])
+    now = value(w)
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
         d = np.linalg.solve(h, x.T @ (y - p) - 0.05 * w)
-        w += np.clip(d, -2, 2)
-        if np.abs(d).max() < 1e-6:
+        step = 1.0
+        while step > 1e-6 and (after := value(w + step * d)) < now:
+            step /= 2
+        if step <= 1e-6 or after - now < 1e-9:
             break
+        w, now = w + step * d, after
     return w
 
 
@@ -252,7 +359,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model
     odds = F.log((t + PRIOR * share) / (c + PRIOR * (1 - share)) * ((1 - share) / share))
     lean = total.filter((odds >= LEAN) & (ratio >= EVIDENCE)).orderBy(F.desc(ratio), "feature").limit(LEXICON)
     lexicon = {bytes(r["feature"]): (r["c"], r["t"]) for r in lean.collect()}
-    model = Model(lexicon, (n[0], n[1]), np.zeros((CLASSES, 2)), np.zeros((2, 2)), np.zeros(2), np.zeros(4))
+    model = Model(lexicon, (n[0], n[1]), np.zeros((CLASSES, 2)), np.zeros((2, 2)), np.zeros(4))
 
     def sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = {0: {}, 1: {}}
@@ -273,7 +380,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model
                                 k = memo[w] = model.classify(w, less)
                             if not k:
                                 gap += 1
-                            elif len(kinds) < TOKENS:
+                            else:
                                 gaps.append(gap)
                                 kinds.append(k)
                                 gap = 0
@@ -282,12 +389,12 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model
             ints = pa.list_(pa.int32())
             yield pa.record_batch([pa.array(c[0], pa.int32()), pa.array(c[1], ints), pa.array(c[2], ints)], ["toxic", "gaps", "kinds"])
 
-    seen = rows.mapInArrow(sequence, "toxic int, gaps array<int>, kinds array<int>").orderBy("toxic", "gaps", "kinds").collect()
+    seen = rows.mapInArrow(sequence, "toxic int, gaps array<int>, kinds array<int>").collect()
     strong = lambda k: max(k // (STEPS + 1), k % (STEPS + 1)) >= STRONG
     tagged = [(r["gaps"], r["kinds"], [int(bool(r["toxic"]) and strong(k)) for k in r["kinds"]]) for r in seen]
-    model.emission, model.transition, model.start = _fit_chain(tagged)
-    chain = Chain(model.emission, model.transition, model.start)
-    x = np.array([_summary(chain.marginals(g, k)[0] if k else np.empty(0)) for g, k, _ in tagged])
+    model.emission, model.transition = _fit_chain(tagged)
+    chain = Chain(model.emission, model.transition)
+    x = np.array([_summary(chain.marginals(g, k) if k else np.empty(0)) for g, k, _ in tagged])
     model.weights = _fit_scores(x, np.array([r["toxic"] for r in seen], float))
     return model
 
@@ -300,7 +407,7 @@ def _counts(counts: dict[bytes, list[int]]) -> pa.RecordBatch:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.chain = Chain(model.emission, model.transition, model.start)
+        self.chain = Chain(model.emission, model.transition)
         self.memo: dict[bytes, int] = {}
 
     def score(self, text: bytes | None) -> tuple[float, list[tuple[int, int]], np.ndarray]:
@@ -323,7 +430,7 @@ class Scorer:
                         last = at + i
             at += len(words)
         gaps.append(at - last - 1)
-        p = self.chain.marginals(gaps, kinds)[0] if kinds else np.empty(0)
+        p = self.chain.marginals(gaps, kinds) if kinds else np.empty(0)
         z = float(_summary(p) @ self.model.weights)
         places = (np.cumsum(np.array(gaps[:-1], np.int64) + 1) - 1).tolist() if kinds else []
         return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, z)))), list(zip(places, kinds, strict=True)), p
@@ -376,6 +483,11 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents whose score is below threshold, with all their columns."""
+    """The documents whose score is below threshold, with all their columns, those named toxicity or toxic_spans too.
+
+    Texts without words, null ones among them, have the score of a clean text. Repeated rows stay or go together. Without a model all stay.
+    """
     model = fit(documents, labels)
-    return score(documents, model).filter(F.col("toxicity") < threshold).select(*documents.columns)
+    aside = {c: f"{c}_{uuid.uuid4().hex}" for c in ("toxicity", "toxic_spans") if c in documents.columns}
+    scored = score(documents.withColumnsRenamed(aside), model).filter(F.col("toxicity") < threshold)
+    return scored.drop("toxicity", "toxic_spans").withColumnsRenamed({new: c for c, new in aside.items()}).select(*documents.columns)
