@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.scratch import Scratch
+from siftwell.llm.scratch import Scratch, small_batches
 
 WINDOW = 10
 #: Words of items in one automaton; about 400 bytes each in memory.
@@ -218,6 +218,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     no spans. Items without words match nothing; items of fewer than `window` words match as wholes. Items of one id and
     several texts count once. Repeated documents each get their row. No items: no spans. Other columns are not read.
     """
+    small_batches(documents.sparkSession)
     parts = []
     docs = documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     blocks = list(_items(benchmark)) if benchmark.agg(F.sum(F.length("text"))).first()[0] else []
@@ -290,6 +291,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     A document whose longest run shared with an item is above max_run words loses its spans; one whose share of hit words
     is above max_share is dropped whole. Clean documents, null and empty texts stay untouched. Repeated rows each stay.
     """
+    small_batches(documents.sparkSession)
     names = documents.columns
     blocks = list(_items(benchmark)) if benchmark.agg(F.sum(F.length("text"))).first()[0] else []
     # Every block scans the original text and hands its hits on beside it; the last one cuts and judges, once a document.

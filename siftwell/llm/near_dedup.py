@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.scratch import Scratch, maybe_broadcast
+from siftwell.llm.scratch import Scratch, maybe_broadcast, small_batches
 from siftwell.llm.stars import Confirm, link
 from siftwell.llm.wordhash import mix64, shingles, word_hashes
 
@@ -94,6 +94,7 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
 def signatures(documents: DataFrame, n_words: int) -> DataFrame:
     """doc_id, n_shingles, fp (fingerprint of the set), the band keys and the bitmap of each document."""
     kind = documents.schema["doc_id"].dataType
+    small_batches(documents.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = OnePermutation()
@@ -118,6 +119,7 @@ def signatures(documents: DataFrame, n_words: int) -> DataFrame:
 
 def _sets(documents: DataFrame, n_words: int) -> DataFrame:
     """fp and the full set of each document."""
+    small_batches(documents.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.scratch import Scratch
+from siftwell.llm.scratch import Scratch, small_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -100,6 +100,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Each document's pieces: (doc_id, piece, start, length, ids_crc32), and their token ids if with_ids."""
     kind = documents.schema["doc_id"].dataType.simpleString()
+    small_batches(documents.sparkSession)
     fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     end = np.array([end_id], "<u4")
 

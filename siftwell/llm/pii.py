@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwell.llm.scratch import small_batches
+
 #: Kinds in the order that breaks ties of one start. The first four are the base; the method adds the others.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "key", "password", "token")
@@ -162,6 +164,7 @@ def find(documents: DataFrame) -> DataFrame:
     may overlap. Repeated rows get equal arrays. A column named pii is replaced; an empty table gives no rows.
     """
     base = documents.drop("pii")
+    small_batches(documents.sparkSession)
     at = base.columns.index("text")
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     added = "array<struct<kind:string,start:bigint,end:bigint>>"

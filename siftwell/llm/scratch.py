@@ -15,6 +15,9 @@ SETTING = "spark.checkpoint.dir"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+BATCH_SETTING, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Where that is unset: on one machine (as in tests) a temporary folder, on a cluster an error."""
     named = spark.conf.get(SETTING, None)
@@ -27,6 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of at most BATCH rows: the session's default of 10,000 takes tens of megabytes a batch,
+    on both sides, of an executor's memory. A smaller setting of the session's stays."""
+    if int(spark.conf.get(BATCH_SETTING, "10000")) > BATCH:
+        spark.conf.set(BATCH_SETTING, str(BATCH))
+
+
 class Scratch:
     """Written tables that cut lineage: a lost executor costs a re-read, not a recomputation.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.scratch import Scratch
+from siftwell.llm.scratch import Scratch, small_batches
 
 #: Bounds of the fit: labelled documents read, entries of the lexicon.
 SAMPLE, LEXICON = 20_000, 20_000
@@ -330,6 +330,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model
     """The model, from at most `sample` labelled rows outside the held-out fifth (those whose ids hash lowest). None
     without a labelled row, or where all have one label."""
     scratch = Scratch(documents.sparkSession)
+    small_batches(documents.sparkSession)
     known = _label_rows(labels).filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
     rows = scratch.keep(rows, "labelled")
@@ -455,6 +456,7 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
     model (no labels, or labels of one kind only) every score is 0 and there are no spans. Columns of these two names are replaced.
     """
     base = documents.drop("toxicity", "toxic_spans")
+    small_batches(documents.sparkSession)
     kind = "array<struct<start:bigint,end:bigint,p:double>>"
     if model is None:
         return base.withColumns({"toxicity": F.lit(0.0), "toxic_spans": F.array().cast(kind)})
