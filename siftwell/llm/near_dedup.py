@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.scratch import Scratch, maybe_broadcast, small_batches
-from siftwell.llm.stars import Confirm, link
+from siftwell.llm.stars import Verifier, link
 from siftwell.llm.wordhash import mix64, shingles, word_hashes
 
 #: Rows and bands: a pair of similarity 0.8 shares no band with a probability of (1 - 0.8^5)^25 = 0.00005.
@@ -176,14 +176,14 @@ def classify(documents: DataFrame, n_words: int = 5, percent: int = 80, scratch:
     classes = scratch.keep(classes, "classes")
     sketches = classes.select(F.col("fp").alias("node"), F.col("n_shingles").alias("size"), *[F.get("bits", F.lit(j)).alias(f"w{j}") for j in range(WORDS)])
 
-    def prepare(nodes: DataFrame) -> Confirm:
+    def prepare(nodes: DataFrame) -> Verifier:
         chosen = scratch.keep(classes.select("fp", "doc_id").join(nodes, classes["fp"] == nodes["node"], "left_semi"), "chosen")
         n_chosen = chosen.count()
         ids = maybe_broadcast(chosen.select(F.col("doc_id").alias("chosen_id")).distinct(), n_chosen, 32)
         sets = _sets(documents.join(ids, documents["doc_id"].eqNullSafe(ids["chosen_id"]), "left_semi"), n_words)
         sets = sets.join(maybe_broadcast(chosen.select("fp"), n_chosen, 48), "fp", "left_semi").dropDuplicates(["fp"])
         sets = scratch.keep(sets, "sets")
-        return lambda pairs: _linked(pairs, sets, percent)
+        return Verifier(lambda pairs: _linked(pairs, sets, percent))
 
     bands = classes.select(F.explode("bands").alias("key"), F.col("fp").alias("node"))
     roots = scratch.keep(link(bands, sketches, percent, prepare, scratch), "roots")

@@ -93,6 +93,23 @@ def test_recall_of_bands_just_above_the_threshold(spark):
     assert sum(got[i + 1] for i in near) >= 0.98 * len(near) and sum(got.values()) <= len(near)
 
 
+def test_large_buckets_of_lines_lose_no_link(spark, monkeypatch):
+    """One long line in many versions, some linked through others only: every pair of the large buckets is tried, in chunks too."""
+    from siftwell.llm import stars
+
+    rng, rows = random.Random(12), []
+    base = prose(77, 60)
+    for i in range(90):
+        line = list(base)
+        for _ in range(rng.randint(4, 14)):
+            line[rng.randrange(len(line))] = rng.choice("0123456789")
+        rows.append((i, "".join(line)))
+    monkeypatch.setattr(stars, "CHUNK", 16)
+    got = L.remove_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    no_python(got)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == kept_lines(rows)
+
+
 def test_lines_beside_columns_of_any_name(spark, docs):
     clash = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(("gone", "row", "h1", "rk", "own_id", "gone_id", "a.b"))])
     got = L.remove_lines(clash)

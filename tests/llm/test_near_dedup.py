@@ -96,7 +96,7 @@ def test_last_pass_tries_pairs_without_a_centre(spark, monkeypatch):
     sketches = spark.createDataFrame([(i, 10, 1 << (i // 12)) for i in range(n)], "node bigint, size bigint, w0 bigint")
     for chunk in (512, 7):
         monkeypatch.setattr(stars, "CHUNK", chunk)
-        roots = stars.link(bands, sketches, 80, lambda nodes: lambda pairs: pairs.join(linked, ["u", "v"], "left_semi"), Scratch(spark))
+        roots = stars.link(bands, sketches, 80, lambda nodes: stars.Verifier(lambda pairs: pairs.join(linked, ["u", "v"], "left_semi")), Scratch(spark))
         assert {r["node"]: r["root"] for r in roots.collect()} == {i + j: i for i in range(0, n, 12) for j in (0, 1)}
 
 
