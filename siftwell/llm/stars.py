@@ -10,7 +10,6 @@ untried, and the rounds only save work.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,19 +23,12 @@ SMALL_BUCKET = 8
 CENTRES = 4
 #: The last pass takes over once it has at most so many pairs for each member, or from a round whose links are fewer than
 #: this share of all. Both change the work, not the result.
-PAIRS, PROGRESS = 64, 0.002
+PAIRS, PROGRESS = 16, 0.001
 #: Members of a large bucket that a task pairs with the others at once.
 CHUNK = 512
 
 
-@dataclass
-class Verifier:
-    """confirm keeps, of pairs (u, v), those at least percent similar. With sets (node, set) and exact, an expression that says the same of two sets, the last
-    pass verifies pairs where they meet, so that only links leave the join; without, it hands what the bitmaps leave to confirm."""
-
-    confirm: Callable[[DataFrame], DataFrame]
-    sets: DataFrame | None = None
-    exact: Callable[[Column, Column], Column] | None = None
+Confirm = Callable[[DataFrame], DataFrame]
 
 
 def _dice(seed: int) -> Column:
@@ -81,23 +73,20 @@ def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(_near(words, percent)).select("u", "v")
 
 
-def _untried(now: DataFrame, sketches: DataFrame, percent: int, verify: Verifier) -> DataFrame:
-    """The linked pairs (u, v) of a bucket in two components. A large bucket is dealt over chunks, each met by all of it."""
+def _untried(now: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of a bucket in two components that may be linked, each from the first of the buckets that its nodes share. A
+    large bucket is dealt over chunks, each met by all of it."""
     several = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     words = _words(sketches)
-    open_ = now.select("key", "node", "root", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")).join(several, "key", "left_semi").join(sketches, "node")
-    names = ["node", "root", "size", *words]
-    if verify.exact:
-        own = now.groupBy("node").agg(F.collect_set("key").alias("keys"))
-        open_, names = open_.join(own, "node").join(verify.sets, "node"), [*names, "keys", "set"]
-    side = lambda x, chunk: open_.select("key", chunk.alias("chunk"), *[F.col(c).alias(f"{x}_{c}") for c in names])
+    own = now.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    open_ = now.select("key", "node", "root", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")).join(several, "key", "left_semi")
+    open_ = open_.join(sketches, "node").join(own, "node")
+    side = lambda x, chunk: open_.select("key", chunk.alias("chunk"), *[F.col(c).alias(f"{x}_{c}") for c in ["node", "root", "size", *words, "keys"]])
     ours = side("u", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     theirs = side("v", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = ours.join(theirs, ["key", "chunk"]).filter("u_node < v_node and u_root <> v_root").filter(_near(words, percent))
-    if verify.exact:  # once for each pair, in the first of the buckets that they share
-        first = F.array_min(F.array_intersect("u_keys", "v_keys"))
-        return met.filter((F.col("key") == first) & verify.exact(F.col("u_set"), F.col("v_set"))).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
-    return verify.confirm(met.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct())
+    met = met.filter(F.col("key") == F.array_min(F.array_intersect("u_keys", "v_keys")))
+    return met.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
 
 
 def _open(now: DataFrame) -> tuple[int, int]:
@@ -108,11 +97,11 @@ def _open(now: DataFrame) -> tuple[int, int]:
     return row["m"] or 0, int(row["pairs"] or 0)
 
 
-def link(bands: DataFrame, sketches: DataFrame, percent: int, prepare: Callable[[DataFrame], Verifier], scratch: Scratch) -> DataFrame:
+def link(bands: DataFrame, sketches: DataFrame, percent: int, prepare: Callable[[DataFrame], Confirm], scratch: Scratch) -> DataFrame:
     """(node, root) for every node that a confirmed link joins to others.
 
-    bands: (key, node), distinct. sketches: see possible(). prepare: given the nodes (column node, distinct) that may be asked for, returns what
-    verifies pairs of them.
+    bands: (key, node), distinct. sketches: see possible(). prepare: given the nodes (column node, distinct) that may be asked for, returns a function
+    that keeps, of pairs (u, v), those at least percent similar.
 
     The first round tries all pairs of small buckets, and in large ones each node with the node that meets most others and one
     taken by chance. Later rounds take other centres in the large buckets that hold several components, and a last pass all other pairs."""
@@ -128,8 +117,8 @@ def link(bands: DataFrame, sketches: DataFrame, percent: int, prepare: Callable[
     first = scratch.keep(possible(first, sketches, percent), "pairs")
     scratch.drop(sized, members)
     ends = first.select(F.col("u").alias("node")).unionByName(first.select(F.col("v").alias("node"))).unionByName(large.select("node"))
-    verify = prepare(ends.distinct())
-    links = scratch.keep(verify.confirm(first), "links")
+    confirm = prepare(ends.distinct())
+    links = scratch.keep(confirm(first), "links")
     scratch.drop(first)
     if links.isEmpty() and large.isEmpty():
         return links.select(F.col("u").alias("node"), F.col("u").alias("root"))
@@ -143,7 +132,7 @@ def link(bands: DataFrame, sketches: DataFrame, percent: int, prepare: Callable[
         if n_pairs <= PAIRS * n_members:
             break
         pairs = _stars(now, [_dice(turn * CENTRES + i + 1) for i in range(CENTRES)]).distinct()
-        found = scratch.keep(verify.confirm(possible(pairs, sketches, percent)), "links")
+        found = scratch.keep(confirm(possible(pairs, sketches, percent)), "links")
         fresh = found.count()
         turn += 1
         if fresh:
@@ -152,7 +141,7 @@ def link(bands: DataFrame, sketches: DataFrame, percent: int, prepare: Callable[
         if fresh <= PROGRESS * links.count():
             now = scratch.keep(_rooted(large, roots), "rooted")
             break
-    found = scratch.keep(_untried(now, sketches, percent, verify), "links")
+    found = scratch.keep(confirm(_untried(now, sketches, percent)), "links")
     return roots if found.isEmpty() else components(links.unionByName(found), scratch)
 
 
