@@ -81,9 +81,11 @@ def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75
     own = ["qid"] if per_query else []
     words = corpus.select(*own, "pid", X.tokens(F.coalesce("text", F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
     sizes = words.groupBy(*own).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = words.select(*own, "pid", "dl", F.explode("w").alias("term")).groupBy(*own, "pid", "dl", "term").agg(F.count("*").alias("f"))
     asked = queries.select("qid", F.explode(F.array_distinct(X.tokens(F.coalesce("query", F.lit(""))))).alias("term"))
-    wanted = tf.join(asked, [*own, "term"]) if per_query else tf.join(asked.select("term").distinct(), "term", "left_semi")
+    # Only words that some query has are counted: all others end in the task that reads them.
+    every = words.select(*own, "pid", "dl", F.explode("w").alias("term"))
+    kept = every.join(asked, [*own, "term"], "left_semi") if per_query else every.join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = kept.groupBy(*own, "pid", "dl", "term").agg(F.count("*").alias("f"))
     df_of = wanted.groupBy(*own, "term").agg(F.countDistinct("pid").alias("df"))
     met = wanted.join(df_of, [*own, "term"])
     met = met.join(sizes, own) if per_query else met.crossJoin(F.broadcast(sizes))
