@@ -20,7 +20,7 @@ from siftwell.llm.scratch import Scratch, maybe_broadcast
 #: In buckets of up to so many members every pair is tried at once.
 SMALL_BUCKET = 8
 #: Centres of a large bucket in each round after the first.
-CENTRES = 4
+CENTRES = 2
 #: The last pass takes over once it has at most so many pairs for each member, or from a round whose links are fewer than
 #: this share of all. Both change the work, not the result.
 PAIRS, PROGRESS = 64, 0.002
