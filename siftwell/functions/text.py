@@ -40,12 +40,18 @@ def mask_substrings(text: Column, parts: Column) -> Column:
     return F.aggregate(parts, text, one)
 
 
+# The shape of an inline citation.
+SURNAME = r"[A-Z][a-zA-ZÀ-ÖØ-öø-ÿ-]*(?:'[A-Z][a-zA-ZÀ-ÖØ-öø-ÿ-]*)?"
+YEAR = r"\(?\s?([0-9]{4}[a-z]?)\s?\)?"
+CITATION = rf"({SURNAME}(?:,?\s| and | & {SURNAME})*(?: et al.?\s?)?),?\s*{YEAR}"
+
+
 def citations(c: Column) -> Column:
-    """Array of (author, year) of inline citations such as "Smith et al. (2010a)"."""
-    pattern = r"(\p{Lu}[\p{L}'-]+)(?: et al\.?)?,? \(?([0-9]{4}[a-z]?)\)?"
+    """Array of (author, year) of inline citations such as "Smith & Jones (2010)" or "Smith et al. (2010a)". The author is the text before
+    the year as it stands, spaces at its end included: names joined by "&" count whole, of names joined by "and" the last."""
     return F.arrays_zip(
-        F.regexp_extract_all(c, F.lit(pattern), F.lit(1)).alias("author"),
-        F.regexp_extract_all(c, F.lit(pattern), F.lit(2)).alias("year"),
+        F.regexp_extract_all(c, F.lit(CITATION), F.lit(1)).alias("author"),
+        F.regexp_extract_all(c, F.lit(CITATION), F.lit(2)).alias("year"),
     )
 
 
@@ -106,6 +112,18 @@ def tokens(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit("([A-Za-z0-9_]+)"), F.lit(1)), F.lower)
 
 
+# English words that the Robertson variant of BM25 leaves out.
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such",
+    "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
+)
+
+
+def long_tokens(c: Column) -> Column:
+    """Lower-case runs of two or more letters, digits and underscores of any script, without English stop words."""
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda t: ~t.isin(*STOP_WORDS))
+
+
 def chunk_starts(c: Column, capacity: int, overlap: int) -> Column:
     """1-based starts of chunks of `capacity` characters, each sharing `overlap` with the one before."""
     stride = capacity - overlap

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import re
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,29 +76,83 @@ def apply_scores(hits: DataFrame, names: list[str], dry_run: bool = False) -> Da
     return df.withColumns({f"score_{n}": get_score(n)() for n in names})
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75, per_query: bool = False) -> DataFrame:
-    """(qid, pid, bm25) of the pairs that share a term. Query terms count once, terms are tokens().
+def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75, per_query: bool = False, kind: str = "okapi") -> DataFrame:
+    """(qid, pid, bm25) of the pairs that share a term.
 
     queries: qid, query; corpus: pid, text. per_query: the corpus has a qid, and each query is scored among its own hits only, as
-    though they were the whole corpus."""
+    though they were the whole corpus. kind: "okapi" (terms are tokens(), each counts once in a query) or "robertson" (terms are
+    long_tokens(), each counts as often as the query has it, terms of half the passages or more weigh nothing, no factor k1 + 1)."""
+    if kind not in ("okapi", "robertson"):
+        raise ValueError(f"no kind {kind} of BM25; there are okapi, robertson")
+    plain = kind == "okapi"
+    cut = X.tokens if plain else X.long_tokens
     own = ["qid"] if per_query else []
-    words = corpus.select(*own, "pid", X.tokens(F.coalesce("text", F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
+    words = corpus.select(*own, "pid", cut(F.coalesce("text", F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
     sizes = words.groupBy(*own).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = queries.select("qid", F.explode(F.array_distinct(X.tokens(F.coalesce("query", F.lit(""))))).alias("term"))
+    asked = queries.select("qid", F.explode(cut(F.coalesce("query", F.lit("")))).alias("term"))
+    asked = asked.groupBy("qid", "term").agg((F.lit(1) if plain else F.count("*")).alias("times"))
     # Only words that some query has are counted: all others end in the task that reads them.
     every = words.select(*own, "pid", "dl", F.explode("w").alias("term"))
     kept = every.join(asked, [*own, "term"], "left_semi") if per_query else every.join(asked.select("term").distinct(), "term", "left_semi")
     wanted = kept.groupBy(*own, "pid", "dl", "term").agg(F.count("*").alias("f"))
-    df_of = wanted.groupBy(*own, "term").agg(F.countDistinct("pid").alias("df"))
+    df_of = wanted.groupBy(*own, "term").agg(F.count("*").alias("df"))
     met = wanted.join(df_of, [*own, "term"])
     met = met.join(sizes, own) if per_query else met.crossJoin(F.broadcast(sizes))
-    if not per_query:
-        met = met.join(asked, "term")
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    met = met.join(asked, ["qid", "term"] if per_query else "term")
+    odds = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
+    idf = F.log1p(odds) * (k1 + 1) if plain else F.log(F.greatest(odds, F.lit(1.0))) * F.col("times")
+    part = idf * F.col("f") / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return met.groupBy("qid", "pid").agg(F.sum(part).alias("bm25"))
 
 
+#: Rerankers: name -> function of (queries, texts), lists of one length, giving a score or a pair of logits (no, yes) each.
+RERANKERS: dict[str, Callable[[list[str], list[str]], Sequence]] = {}
+BATCH = 16
+
+
+def reranker(name: str):
+    def wrap(fn: Callable[[list[str], list[str]], Sequence]) -> Callable[[list[str], list[str]], Sequence]:
+        RERANKERS[name] = fn
+        return fn
+
+    return wrap
+
+
+@reranker("overlap")
+def overlap(queries: list[str], texts: list[str]) -> list[tuple[float, float]]:
+    """An offline stand-in for a model: logits are the logarithms of the query's distinct words that a text lacks and has, plus one."""
+    out = []
+    for q, t in zip(queries, texts, strict=True):
+        asked, held = (set(re.findall("[a-z0-9_]+", re.sub("[A-Z]", lambda m: m[0].lower(), x))) for x in (q, t))
+        out.append((math.log(len(asked - held) + 1), math.log(len(asked & held) + 1)))
+    return out
+
+
+def softmax_yes(no: float, yes: float) -> float:
+    """The share of the second of two logits."""
+    top = max(no, yes)
+    return math.exp(yes - top) / (math.exp(no - top) + math.exp(yes - top))
+
+
+def rerank(hits: DataFrame, name: str, query: str = "query", text: str = "text", into: str = "score_rerank", batch: int = BATCH) -> DataFrame:
+    """hits with the scores of a registered reranker, which is given `batch` pairs at once; logits become the probability of yes. Null
+    queries and texts are empty. Hits stay in their partitions."""
+    if name not in RERANKERS:
+        raise KeyError(f"no reranker {name}; there are {', '.join(sorted(RERANKERS))}")
+    model = RERANKERS[name]
+
+    @F.pandas_udf("double")
+    def scored(q: pd.Series, t: pd.Series) -> pd.Series:
+        asked, texts = q.fillna("").tolist(), t.fillna("").tolist()
+        out: list[float] = []
+        for i in range(0, len(asked), batch):
+            found = model(asked[i : i + batch], texts[i : i + batch])
+            out += [softmax_yes(*x) if isinstance(x, (tuple, list)) else float(x) for x in found]
+        return pd.Series(out, dtype="float64")
+
+    return hits.withColumn(into, scored(F.col(query), F.col(text)))
+
+
 def fuse(hits: DataFrame, weights: dict[str, float], top_k: int, rrf_k: int = RRF_K) -> DataFrame:
     """Weighted reciprocal-rank fusion of score columns among the first top_k hits: adds rrf and new_rank.
 

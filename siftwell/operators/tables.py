@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 from siftwell.functions import text as X
 
 
+def not_longer(df: DataFrame, column: str, n: int = 250_000) -> DataFrame:
+    """Rows whose text has at most n characters; a null text has none."""
+    return df.filter(F.coalesce(F.length(column), F.lit(0)) <= n)
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row, whether both hold the same distinct rows: (only_a, only_b, same)."""
+    sides = a.distinct().withColumn("_side", F.lit(1)).unionByName(b.distinct().withColumn("_side", F.lit(2)))
+    met = sides.groupBy(*a.columns).agg(F.sum("_side").alias("_in"))
+    return met.agg(F.count_if(F.col("_in") == 1).alias("only_a"), F.count_if(F.col("_in") == 2).alias("only_b")).withColumn("same", F.col("only_a") + F.col("only_b") == 0)
+
+
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key."""
     by = Window.partitionBy(*keys).orderBy(*order)
@@ -128,7 +140,7 @@ def split(df: DataFrame, key: str, train: float = 0.7, val: float = 0.15, seed:
 
 def random_of(df: DataFrame, group: str, key: Column, n: int) -> DataFrame:
     """n rows of each group, in order of the key's hash: adds pick from 1."""
-    by = Window.partitionBy(group).orderBy(F.md5(key.cast("binary")))
+    by = Window.partitionBy(group).orderBy(F.md5(key.cast("string").cast("binary")))
     return df.withColumn("pick", F.row_number().over(by)).filter(F.col("pick") <= n)
 
 

