@@ -8,6 +8,7 @@
    is fitted: it is the smallest at which the sample's true neighbours lie in the lists read, for the wanted share of them.
 4. Lists are cut into blocks of bounded size, so the list of a hot vector is read by many tasks; each block gives its best, and
    the best of all blocks are ranked by the exact cosine in double precision.
+5. Queries whose lists held fewer neighbours than wanted (other rows of their own id, or small lists) read all lists.
 """
 
 from __future__ import annotations
@@ -168,8 +169,9 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     blocks = counts.select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).hint("broadcast")
     held = held.join(blocks, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "embedding")
     asked = _usable(queries).filter(F.size("embedding") == size["d"])
-    asked = asked.mapInPandas(lambda f: place(f, True), kind).select("vec_id", "embedding", F.explode("list").alias("list"))
-    asked = asked.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "embedding")
+
+    def in_blocks(routed: DataFrame) -> DataFrame:
+        return routed.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "embedding")
 
     def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -196,11 +198,19 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
                         out.append((q_id, ids[near[o]], score[o]))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = (
-        asked.groupBy("list", "block")
-        .cogroup(held.groupBy("list", "block"))
-        .applyInPandas(best, "query_id bigint, vec_id bigint, score double")
-    )
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def ranked(routed: DataFrame) -> DataFrame:
+        both = in_blocks(routed).groupBy("list", "block").cogroup(held.groupBy("list", "block"))
+        found = both.applyInPandas(best, "query_id bigint, vec_id bigint, score double")
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return once.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    near = ranked(asked.mapInPandas(lambda f: place(f, True), kind).select("vec_id", "embedding", F.explode("list").alias("list")))
+    near = scratch.keep(near, "near")
+    full = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = scratch.keep(asked.join(full, "vec_id", "left_anti"), "short")
+    if short.isEmpty():
+        return near
+    lists = F.sequence(F.lit(0), F.lit(len(index.graph.centroids) - 1))
+    rest = ranked(short.select("vec_id", "embedding", F.explode(lists).alias("list")))
+    return near.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").select(*rest.columns).unionByName(rest)

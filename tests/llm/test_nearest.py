@@ -51,3 +51,22 @@ def test_hot_vector_and_awkward_rows(spark, monkeypatch):
     few = spark.createDataFrame(data[:3], "vec_id bigint, embedding array<float>")
     assert A.search(few.filter("vec_id = 0"), few, 5).count() == 2
     assert A.search(few, few.filter("false"), 5).count() == 0 and A.search(few.filter("false"), few, 5).count() == 0
+
+
+def test_queries_with_short_lists_read_all(spark, monkeypatch):
+    """Lists of about two vectors, of which a query reads one: the neighbours that are missing come from all lists."""
+    monkeypatch.setattr(A, "LIST_SIZE", 2)
+    monkeypatch.setattr(A, "REPLICAS", 1)
+    fitted = A.fit
+
+    def narrow(*args):
+        index = fitted(*args)
+        index.ratio = 1.0
+        return index
+
+    monkeypatch.setattr(A, "fit", narrow)
+    data = rows(60, 8, 4, centres=20)
+    d = spark.createDataFrame(data, "vec_id bigint, embedding array<float>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in A.search(d.filter("vec_id % 10 = 0"), d, 20).collect())
+    want = brute(data, range(0, 60, 10), 20)
+    assert got == [(q, i, v) for q in want for i, (v, _) in enumerate(want[q], 1)]
