@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.chat_format import read_back, segments
 from siftwell.llm.decontaminate import n_hit, scan
+from siftwell.llm.filter_audit import cells, interactions
+from siftwell.llm.filter_audit import judge as judge_filters
 from siftwell.llm.license_scan import TEMPLATES
 from siftwell.llm.license_scan import scan as scan_licenses
 from siftwell.llm.line_dedup import remove_lines
@@ -219,3 +221,40 @@ SELECT ds.doc_id, CAST(coalesce(h.n, 0) AS BIGINT) AS n_licenses, coalesce(h.nam
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.size("licenses").cast("bigint").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
+
+
+@_query(
+    "op13_filter_audit",
+    r"""
+WITH RECURSIVE perm AS (
+  SELECT '' AS o UNION ALL SELECT o || x FROM perm, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE NOT contains(o, x)),
+st AS (
+  SELECT o AS filter_order, CAST(k AS INTEGER) AS step, substr(o, CAST(k AS INTEGER), 1) AS f, substr(o, 1, CAST(k AS INTEGER) - 1) AS b FROM perm, range(1, 6) r(k) WHERE length(o) = 5),
+sb AS (
+  SELECT *, CASE f WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 4 WHEN 'D' THEN 8 ELSE 16 END AS own,
+    CASE WHEN contains(b, 'A') THEN 1 ELSE 0 END + CASE WHEN contains(b, 'B') THEN 2 ELSE 0 END + CASE WHEN contains(b, 'C') THEN 4 ELSE 0 END
+    + CASE WHEN contains(b, 'D') THEN 8 ELSE 0 END + CASE WHEN contains(b, 'E') THEN 16 ELSE 0 END AS ahead FROM st),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > first THEN 16 ELSE 0 END AS mask,
+    coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+r AS (
+  SELECT part, filter_order, step, f,
+    CAST(coalesce(sum(n) FILTER (mask & (own + ahead) = 0), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (mask & own <> 0 AND mask & ahead = 0), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (mask & own <> 0 AND mask & ahead <> 0), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (mask = own), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (mask & own <> 0 AND mask & ahead = 0), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (mask & own <> 0 AND mask & ahead = 0), 0) AS BIGINT) AS toxic_lost
+  FROM c, sb GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+""",
+)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions(cells(judge_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))))
