@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm.chat_format import read_back, segments
+from siftwell.llm.collocations import collocations
 from siftwell.llm.decontaminate import n_hit, scan
 from siftwell.llm.filter_audit import cells, interactions
 from siftwell.llm.filter_audit import judge as judge_filters
@@ -223,6 +224,36 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licenses").cast("bigint").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
 
 
+@_query(
+    "op11_collocations",
+    r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p),
+tot AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) v(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 10),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+x AS (SELECT lang, phrase, a, i, array_to_string(ws[1:i], ' ') AS lp, array_to_string(ws[i + 1:k], ' ') AS rp FROM c, (VALUES (1), (2)) v(i) WHERE i < k),
+s AS (
+  SELECT x.lang, x.phrase, a, i, lf.f AS l, rf.f AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(lf.f AS HUGEINT) * rf.f) AS BIGINT) AS score
+  FROM x JOIN f lf ON lf.lang = x.lang AND lf.phrase = lp JOIN f rf ON rf.lang = x.lang AND rf.phrase = rp),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) AS best FROM s),
+cov AS (
+  SELECT lang, sub, max(a) AS cover FROM (
+    SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS sub FROM c WHERE k = 3) GROUP BY lang, sub),
+z AS (
+  SELECT b.lang, b.phrase, a, l, r, score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN cov ON b.lang = cov.lang AND b.phrase = sub WHERE best = 1 AND (cover IS NULL OR 100 * cover < 50 * a))
+SELECT z.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score
+FROM z JOIN tot ON z.lang = tot.lang WHERE rank <= 2000
+""",
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 @_query(
     "op13_filter_audit",
     r"""
@@ -235,7 +266,8 @@ sb AS (
     CASE WHEN contains(b, 'A') THEN 1 ELSE 0 END + CASE WHEN contains(b, 'B') THEN 2 ELSE 0 END + CASE WHEN contains(b, 'C') THEN 4 ELSE 0 END
     + CASE WHEN contains(b, 'D') THEN 8 ELSE 0 END + CASE WHEN contains(b, 'E') THEN 16 ELSE 0 END AS ahead FROM st),
 d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-
+]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
 l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
 m AS (
   SELECT part, CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -51,15 +52,24 @@ class Scratch:
         self.live: dict[str, str] = {}
         atexit.register(self._remove, self.root)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    @contextlib.contextmanager
+    def settings(self, batch: int = BATCH):
+        """Within it, shuffle files go with their query and Arrow batches hold at most so many rows; then the session is as before."""
+        conf = self.spark.conf
+        before = {name: conf.get(name, None) for name in (CLEANUP, BATCH_SETTING)}
+        conf.set(CLEANUP, "true")
+        conf.set(BATCH_SETTING, str(min(batch, int(before[BATCH_SETTING] or 10_000))))
+        try:
+            yield
+        finally:
+            for name, value in before.items():
+                conf.unset(name) if value is None else conf.set(name, value)
+
+    def keep(self, df: DataFrame, name: str, batch: int = BATCH) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        with self.settings(batch):
             df.write.parquet(path)
-        finally:
-            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         read = self.spark.read.schema(df.schema).parquet(path)
         read.siftwell_path = path
         self.live[path] = name
