@@ -24,6 +24,7 @@ from siftwell.llm.pii import BASE
 from siftwell.llm.pii import find as find_pii
 from siftwell.llm.toxicity import fit, held_out, score
 from siftwell.llm.url_filter import judge
+from siftwell.llm.word_bpe import decode, encode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -254,6 +255,18 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+@_query("op12_word_bpe")
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    coded = decode(encode(_table(spark, sf_dir, "documents"), tokenizer), tokenizer)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 @_query(
     "op13_filter_audit",
     r"""
