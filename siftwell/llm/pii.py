@@ -23,7 +23,7 @@ from siftwell.llm.scratch import small_batches
 #: Kinds in the order that breaks ties of one start. The first four are the base; the method adds the others.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "key", "password", "token")
-#: Cues of the added kinds, found in lower and upper case and capitalised.
+#: Cues of the added kinds, found in any case.
 CUES = {
     "iban": "iban", "password": "password", "passwd": "password", "pwd": "password", "passphrase": "password",
     "token": "token", "secret": "token", "api_key": "token", "apikey": "token", "api-key": "token", "access_key": "token", "private_key": "token", "bearer": "token",
@@ -40,9 +40,11 @@ _URL = re.compile(r"://[^\s\"'<>()\[\]{}]+")
 _IBAN = re.compile(r"[ \t:=#.-]{0,8}\b([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})\b")
 _KEY = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Z0-9])")
 #: What stands behind a cue: an equals sign or a colon, and a value.
-_VALUE = re.compile(r"[\"']?[ \t]*[=:][ \t]*[\"']?([^\s,;\"']+)")
-#: Values of tokens have this shape: at least 8 characters, a digit among them.
-_TOKEN = re.compile(r"(?=[^0-9]*[0-9])[A-Za-z0-9_./+=-]{8,}")
+_BEFORE = re.compile(r"[\"']?[ \t]*[=:][ \t]*[\"']?")
+_STRETCH = re.compile(r"[^\s,;\"']*")
+_VALUE = re.compile(rf"{_BEFORE.pattern}([^\s,;\"']+)")
+#: Values of tokens consist of these characters, at least so many, a digit among them.
+_TOKEN, _TOKEN_LEAST = string.ascii_letters + string.digits + "_./+=-", 8
 
 Found = tuple[int, int] | None
 
@@ -97,10 +99,10 @@ def _phone(text: str, at: int, floor: int) -> tuple[int, Found]:
 
 
 def _url(text: str, at: int, floor: int) -> tuple[int, Found]:
-    m = _URL.match(text, at - 2)  # the anchor's last slash
-    letters = re.search(r"[A-Za-z]*$", text[max(floor, at - 7) : at - 2])[0].lower() if m else ""
+    letters = re.search(r"[A-Za-z]*$", text[max(floor, at - 7) : at - 2])[0].lower()  # at: the anchor's last slash
     scheme = max((x for x in SCHEMES if letters.endswith(x)), key=len, default=None)
-    return (m.end(), (at - 2 - len(scheme), m.start() + len(m[0].rstrip(".,;:!?")))) if scheme else (at + 1, None)
+    m = _URL.match(text, at - 2) if scheme else None  # only then, so that a stretch is not read again for each anchor in it
+    return (m.end(), (at - 2 - len(scheme), m.start() + len(m[0].rstrip(".,;:!?")))) if m else (at + 1, None)
 
 
 def _iban(text: str, at: int, floor: int) -> tuple[int, Found]:
@@ -118,26 +120,46 @@ def _password(text: str, at: int, floor: int) -> tuple[int, Found]:
     return (m.end(), m.span(1)) if m else (at + 1, None)
 
 
-def _token(text: str, at: int, floor: int) -> tuple[int, Found]:
-    m = _VALUE.match(text, at + 1)
-    return (m.end(), m.span(1)) if m and _TOKEN.fullmatch(m[1]) else (at + 1, None)
+class _Tokens:
+    """The parser of token cues, for one text. A stretch is read once: what is known of it serves every cue inside it."""
+
+    def __init__(self):
+        self.end = self.clean = self.digit = -1
+
+    def __call__(self, text: str, at: int, floor: int) -> tuple[int, Found]:
+        m = _BEFORE.match(text, at + 1)
+        if not m:
+            return at + 1, None
+        start = m.end()
+        if start >= self.end:
+            stretch = _STRETCH.match(text, start)[0]
+            self.end = start + len(stretch)
+            self.clean = start + len(stretch.rstrip(_TOKEN))  # from here on there are only characters of tokens
+            self.digit = start + max(map(stretch.rfind, string.digits))
+        ok = start >= self.clean and self.digit >= start and self.end - start >= _TOKEN_LEAST
+        return (self.end, (start, self.end)) if ok else (at + 1, None)
 
 
 #: Parsers take a text, the last character of an anchor and where the kind's last stretch ended; they return where theirs ends and the span, if valid.
 PARSERS: dict[str, Callable[[str, int, int], tuple[int, Found]]] = {
-    "email": _email, "ip": _ip, "card": _card, "phone": _phone, "url": _url, "iban": _iban, "key": _key, "password": _password, "token": _token,
+    "email": _email, "ip": _ip, "card": _card, "phone": _phone, "url": _url, "iban": _iban, "key": _key, "password": _password,
 }
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
 
+def _lowered(text: str) -> str:
+    """text in lower case, character by character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if c.isascii() else c for c in text)
+
+
 class Finder:
     def __init__(self):
         import ahocorasick
 
         self.anchors = ahocorasick.Automaton()
-        anchors = {"@": ("email",), "+": ("phone",), "://": ("url",), "AKIA": ("key",)} | dict.fromkeys(string.digits, ("ip", "card"))
-        for cue, kind in CUES.items():
-            anchors |= dict.fromkeys((cue, cue.upper(), cue.capitalize()), (kind,))
+        anchors = {"@": ("email",), "+": ("phone",), "://": ("url",), "akia": ("key",)} | dict.fromkeys(string.digits, ("ip", "card"))
+        anchors |= {cue: (kind,) for cue, kind in CUES.items()}
         for anchor, kinds in anchors.items():
             self.anchors.add_word(anchor, kinds)
         self.anchors.make_automaton()
@@ -147,11 +169,12 @@ class Finder:
         if not text:
             return []
         floor = dict.fromkeys(KINDS, 0)
+        parsers = PARSERS | {"token": _Tokens()}
         out: list[tuple[int, int, str]] = []
-        for end, kinds in self.anchors.iter(text):
+        for end, kinds in self.anchors.iter(_lowered(text)):
             for kind in kinds:
                 if end >= floor[kind]:
-                    floor[kind], span = PARSERS[kind](text, end, floor[kind])
+                    floor[kind], span = parsers[kind](text, end, floor[kind])
                     if span:
                         out.append((*span, kind))
         return sorted(out, key=lambda x: (x[0], _ORDER[x[2]], x[1]))
