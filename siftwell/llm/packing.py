@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import bisect
+import contextlib
 import functools
 import json
 import math
@@ -63,7 +64,8 @@ class Encoder:
     """Encodes texts as 32-bit ids of the tokenizer file, without special tokens around them.
 
     A plain byte-level BPE is encoded from the file's own vocabulary by a leaner encoder that gives the same ids (a test
-    compares both for every character); texts that hold one of the file's added tokens, and all other tokenizers, are encoded by the file's library.
+    compares both for every character); texts that hold one of the file's added tokens, texts that the leaner one gives up (it backtracks
+    over runs of white space, which may be too long for it), and all other tokenizers, are encoded by the file's library.
     Nothing is remembered between texts, so memory does not follow their number."""
 
     #: How byte-level pre-tokenisation splits a text; a fixed value of the format.
@@ -81,9 +83,10 @@ class Encoder:
         self.fast = tiktoken.Encoding("file", pat_str=self.SPLIT, mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is None or any(t in text for t in self.added):
-            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        if self.fast is not None and not any(t in text for t in self.added):
+            with contextlib.suppress(ValueError):
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
 
 @functools.lru_cache(maxsize=1)

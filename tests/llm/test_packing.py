@@ -23,6 +23,20 @@ def test_encoder_equals_the_tokenizer():
         assert ours.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+RUNS = [" ", "\n", "\t", "\r\n", "\u3000", "a", "1", "^", "中", "́", " a", "\n "]
+
+
+def test_long_runs_of_every_class_of_character(spark):
+    """Through the encoder and through pack: white space, letters, digits, signs, marks; also where text follows."""
+    ours, plain = P.Encoder(PATH), Tokenizer.from_file(PATH)
+    texts = [(r * 2_000_000)[:2_000_000] + end for r in RUNS for end in ("", "x")]
+    wanted = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert all(ours.encode(t).tolist() == w for t, w in zip(texts, wanted, strict=True))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    got = {r["doc_id"]: r["n"] for r in P.pack(d, PATH).groupBy("doc_id").agg({"length": "sum"}).toDF("doc_id", "n").collect()}
+    assert got == {k: len(w) + 1 for k, w in enumerate(wanted)}
+
+
 def test_encoder_equals_the_tokenizer_for_every_character():
     ours, plain = P.Encoder(PATH), Tokenizer.from_file(PATH)
     points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
