@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,61 +60,6 @@ def bibcode_matches(author: Column, year: Column, references: Column) -> Column:
     return F.filter(references, lambda r: r.startswith(F.substring(year, 1, 4)) & r.endswith(initial))
 
 
-def close_matches(pairs: DataFrame, cutoff: float = 0.6, n: int = 3) -> DataFrame:
-    """Pairs (a, b) of strings with ratio, the Ratcliff/Obershelp similarity, of at least cutoff: the n best of each a."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ratio = [difflib.SequenceMatcher(None, b, a).ratio() for a, b in zip(frame["a"], frame["b"], strict=True)]
-            out = frame[["a", "b"]].assign(ratio=ratio)
-            yield out[out["ratio"] >= cutoff]
-
-    scored = pairs.select("a", "b").mapInPandas(run, "a string, b string, ratio double")
-    by = Window.partitionBy("a").orderBy(F.desc("ratio"), F.desc("b"))
-    return scored.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= n).drop("_n")
-
-
-def resolve_titles(titles: DataFrame, canonical: DataFrame, cutoffs: tuple[float, ...] = (0.6, 0.5), block: int = 3) -> DataFrame:
-    """(title, match, how) for each distinct title: the canonical title that equals it when normalised ("exact"); else one that
-    holds half of it or half of which it holds ("half"), the most similar first; else the most similar of those in the same block of
-    first characters and length ("fuzzy"); else null ("none").
-
-    Half matches are found by equality on the halves' first `block` characters inside the other title, so no step compares all pairs."""
-    t = titles.select("title").distinct().withColumn("nt", X.normal_title(F.col("title")))
-    c = first_of(canonical.select(F.col("title").alias("match"), X.normal_title(F.col("title")).alias("nc")), ["nc"], ["match"])
-    exact = t.join(c, t["nt"] == c["nc"]).select("title", "match", F.lit(0).alias("step"), F.lit(1.0).alias("ratio"))
-    left = t.join(exact.select("title"), "title", "left_anti").filter("length(nt) >= 8")
-    grams = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 3), lambda i: F.substring(s, i, F.lit(4))))
-    long = c.filter("length(nc) >= 8")
-    halves_t, halves_c = X.halves(F.col("nt")), X.halves(F.col("nc"))
-    probe = F.array(*[F.substring(h, 1, 4) for h in halves_t])
-    other = F.array(*[F.substring(h, 1, 4) for h in halves_c])
-    a = left.withColumn("g", F.explode(F.array_distinct(probe))).join(long.withColumn("g", F.explode(grams(F.col("nc")))), "g")
-    b = left.withColumn("g", F.explode(grams(F.col("nt")))).join(long.withColumn("g", F.explode(F.array_distinct(other))), "g")
-    near = a.unionByName(b).filter(X.half_contains(F.col("nt"), F.col("nc"))).select("title", "nt", "match", "nc").distinct()
-    half = _rated(near, 0.0, 1)
-    rest = left.join(half.select("title"), "title", "left_anti")
-    head = lambda s: F.substring(s, 1, block)
-    size = lambda s: F.floor(F.length(s) / 8).cast("int")
-    spread = rest.withColumn("sz", F.explode(F.array(size("nt") - 1, size("nt"), size("nt") + 1)))
-    alike = spread.join(long, (head(spread["nt"]) == head(long["nc"])) & (spread["sz"] == size(long["nc"])))
-    fuzzy = _rated(alike.select("title", "nt", "match", "nc"), min(cutoffs), 2)
-    found = exact.unionByName(half).unionByName(fuzzy)
-    best = first_of(found, ["title"], ["step", F.desc("ratio"), "match"])
-    how = F.when(F.col("match").isNull(), "none").when(F.col("step") == 0, "exact").when(F.col("step") == 1, "half").otherwise("fuzzy")
-    return t.select("title").join(best, "title", "left").select("title", "match", how.alias("how"))
-
-
-def _rated(pairs: DataFrame, cutoff: float, step: int) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ratio = [difflib.SequenceMatcher(None, b, a).ratio() for a, b in zip(frame["nt"], frame["nc"], strict=True)]
-            out = frame[["title", "match"]].assign(ratio=ratio)
-            yield out[out["ratio"] >= cutoff]
-
-    return pairs.mapInPandas(run, "title string, match string, ratio double").withColumn("step", F.lit(step))
-
-
 # Sampling by hash: the same rows on every run and every cluster.
 
 

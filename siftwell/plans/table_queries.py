@@ -13,6 +13,7 @@ from siftwell.operators import merge as M
 from siftwell.operators import ranking as R
 from siftwell.operators import segment as G
 from siftwell.operators import tables as T
+from siftwell.operators import titles as S
 from siftwell.plans.catalog import query, table
 from siftwell.streaming import windows as SW
 
@@ -247,14 +248,33 @@ def length_proportion(spark, d):
 
 
 def _titles(spark, d) -> tuple[DataFrame, DataFrame]:
-    canonical = table(spark, d, "part").select(F.col("p_name").alias("title"))
-    noisy = table(spark, d, "part").select(F.concat(F.upper(F.substring("p_name", 1, 30)), F.when(F.col("p_partkey") % 3 == 0, F.lit(" x")).otherwise(F.lit("-"))).alias("title"))
-    return noisy, canonical
+    """Titles as they stand in a catalogue (the beginnings of documents, and short names), and noisy ones: two letters exchanged, an
+    article before or a word fewer, half of a title, other signs, short names with a letter more or less."""
+    first = table(spark, d, "documents").select("doc_id", F.substring_index(F.substring("text", 1, 70), " ", 6).alias("title")).filter("length(title) > 12")
+    name = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("title"))
+    cut = F.substring_index("title", " ", -5)
+    noisy = F.element_at(
+        F.array(
+            F.concat(F.substring("title", 2, 1), F.substring("title", 1, 1), F.expr("substring(title, 3)")),
+            F.concat(F.lit("The "), F.upper("title")), cut, F.concat(cut, F.lit("-")), F.substring("title", 1, 14), F.reverse("title"),
+        ),
+        F.pmod(F.col("doc_id"), F.lit(6)).cast("int") + 1,
+    )
+    short = F.when(F.col("k") % 2 == 0, F.substring("title", 2, 4)).otherwise(F.concat(F.lit("l"), F.substring("title", 1, 5)))
+    wanted = first.filter("doc_id % 10 < 2").select(noisy.alias("title")).unionByName(name.filter("k % 40 < 2").select(short.alias("title")))
+    return wanted, first.select("title").unionByName(name.select("title"))
 
 
 @query()
 def title_cascade(spark, d):
-    return T.resolve_titles(*_titles(spark, d))
+    return S.resolve_titles(*_titles(spark, d))
+
+
+@query()
+def similar_titles(spark, d):
+    wanted, known = _titles(spark, d)
+    normal = lambda df, name: df.select(X.normal_title(F.col("title")).alias(name))
+    return S.most_similar(normal(wanted, "a"), normal(known, "b"), 0.7).withColumn("ratio", F.round("ratio", 6))
 
 
 @query(r"""SELECT p_partkey, lower(regexp_replace(p_name, '[^\p{L}\p{N}]', '', 'g')) AS norm FROM part""")
@@ -284,7 +304,7 @@ def fuzzy_levenshtein(spark, d):
 @query()
 def close_matches(spark, d):
     t = table(spark, d, "nation").crossJoin(F.broadcast(table(spark, d, "region")))
-    return T.close_matches(t.select(F.lower("n_name").alias("a"), F.lower("r_name").alias("b")), 0.3)
+    return S.close_matches(t.select(F.lower("n_name").alias("a"), F.lower("r_name").alias("b")), 0.3)
 
 
 # Aggregates.

@@ -21,6 +21,7 @@ from siftwell.operators import ranking as R
 from siftwell.operators import search as S
 from siftwell.operators import segment as G
 from siftwell.operators import tables as T
+from siftwell.operators import titles as N
 
 
 def one(spark, *columns):
@@ -246,11 +247,11 @@ def test_losses_and_schedules(spark):
 def test_tables(spark):
     t = spark.createDataFrame([("Deep Learning!", 1), ("a study of the oceans and the seas", 2), ("zzz qqq vvv www", 3), ("graph theoretical methods applid", 4)], "title string, n int")
     c = spark.createDataFrame([("Deep learning",), ("A Study of the Oceans and the Seas, Part II",), ("Graph theoretic methods, applied",)], "title string")
-    got = {r["title"]: (r["match"], r["how"]) for r in T.resolve_titles(t, c).collect()}
+    got = {r["title"]: (r["match"], r["how"]) for r in N.resolve_titles(t, c).collect()}
     assert got["Deep Learning!"] == ("Deep learning", "exact") and got["a study of the oceans and the seas"][1] == "half"
     assert got["zzz qqq vvv www"] == (None, "none") and got["graph theoretical methods applid"][0] == "Graph theoretic methods, applied"
     pairs = spark.createDataFrame([("apple", x) for x in ("ape", "apply", "peach", "puppy")], "a string, b string")
-    assert [r["b"] for r in T.close_matches(pairs).orderBy(F.desc("ratio")).collect()] == difflib.get_close_matches("apple", ["ape", "apply", "peach", "puppy"])
+    assert [r["b"] for r in N.close_matches(pairs).orderBy(F.desc("ratio")).collect()] == difflib.get_close_matches("apple", ["ape", "apply", "peach", "puppy"])
     stored = spark.createDataFrame([("d", "x" * 100 + "old")], "doc string, text string")
     rows = spark.createDataFrame([("d", "x" * 100 + "new"), ("e", "x" * 100), ("d", "y"), (None, "y")], "doc string, text string")
     assert T.resume(stored, rows).count() == 3
