@@ -65,28 +65,20 @@ def sentences(c: Column) -> Column:
 
 
 def merge_short(sents: Column, threshold: int = 60) -> Column:
-    """Sentences joined until each has `threshold` characters; what is left at the end joins the last.
+    """Sentences gathered in a buffer as long as buffer and next sentence stay under `threshold` characters together.
 
-    A buffered sentence is joined by a space; a sentence that is long enough on its own stands as it is."""
+    A sentence that would reach it sends the buffer out and becomes the buffer; one that fits is appended with a space behind it. So nothing
+    stands between a sentence that took the buffer over and the short one after it. What goes out is stripped."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     start = F.struct(F.slice(sents, 1, 0).alias("out"), F.lit("").alias("buf"))
+    sent = lambda acc: F.when(acc["buf"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(strip(acc["buf"]))))
 
     def step(acc: Column, s: Column) -> Column:
-        joined = F.when(acc["buf"] == "", s).otherwise(F.concat(acc["buf"], F.lit(" "), s))
-        return F.when(
-            F.length(joined) >= threshold,
-            F.struct(F.concat(acc["out"], F.array(joined)).alias("out"), F.lit("").alias("buf")),
-        ).otherwise(F.struct(acc["out"].alias("out"), joined.alias("buf")))
-
-    def finish(acc: Column) -> Column:
-        n = F.size(acc["out"])
-        last = F.concat(F.element_at(acc["out"], -1), F.lit(" "), acc["buf"])
-        return (
-            F.when(acc["buf"] == "", acc["out"])
-            .when(n == 0, F.array(acc["buf"]))
-            .otherwise(F.concat(F.slice(acc["out"], F.lit(1), n - 1), F.array(last)))
-        )
-
-    return F.aggregate(sents, start, step, finish)
+        fits = F.length(acc["buf"]) + F.length(s) < threshold
+        kept = F.struct(acc["out"].alias("out"), F.concat(acc["buf"], s, F.lit(" ")).alias("buf"))
+        return F.when(fits, kept).otherwise(F.struct(sent(acc).alias("out"), s.alias("buf")))
+
+    return F.aggregate(sents, start, step, sent)
 
 
 def normal_title(c: Column) -> Column:

@@ -16,7 +16,8 @@ from siftwell.functions import vectors as V
 PLACES = 9
 HIGHER_IS_BETTER = {"IP": True, "COSINE": True, "L2": False}
 #: Bytes of query vectors that are shipped to every task at once; more queries go in several blocks.
-QUERY_BYTES = 64 << 20
+QUERY_BYTES, NATIVE_BYTES = 64 << 20, 16 << 20
+#: Queries and passages of one matrix product.
 _BLOCK = 1024
 
 
@@ -35,7 +36,10 @@ def _ranked(scored: DataFrame, k: int, metric: str) -> DataFrame:
 
 
 def top_k_native(queries: DataFrame, passages: DataFrame, k: int, metric: str = "IP", dated: bool = False) -> DataFrame:
-    """As top_k, in built-in expressions only: the plain statement of the semantics, for small tables."""
+    """As top_k, in built-in expressions only: the plain statement of the semantics, for queries that can be broadcast (16 MB, checked)."""
+    n, width = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    if n * (8 * (width or 0) + 16) > NATIVE_BYTES:
+        raise ValueError("too many queries to broadcast; top_k takes any number")
     p = passages.select("pid", F.col("vector").alias("pv"), *(["pubdate"] if dated else []))
     q = queries.select("qid", F.col("vector").alias("qv"), *([F.col("pubdate").alias("qdate")] if dated else []))
     on = (F.col("pid") != F.col("qid")) if not dated else (F.col("pid") != F.col("qid")) & (F.col("pubdate") <= F.col("qdate"))
@@ -54,63 +58,119 @@ def _scores(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0.0))
 
 
+class LocalBest:
+    """The k best passages of each query among those that one task sees, by matrix products of blocks.
+
+    With dates, the queries stand in order of theirs: a block of passages meets only queries that are not older than its earliest passage,
+    and none at all if that is later than every query. products counts scores computed, skipped the blocks that met no query."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, metric: str, when: np.ndarray | None = None):
+        order = np.argsort(when, kind="stable") if when is not None else np.arange(len(ids))
+        self.ids, self.matrix, self.when = ids[order], matrix[order], None if when is None else when[order]
+        self.k, self.metric, self.sign = k, metric, 1.0 if HIGHER_IS_BETTER[metric] else -1.0
+        self.keys = np.full((len(ids), k), -np.inf)
+        self.found = np.zeros((len(ids), k), np.int64)
+        self.scores = np.zeros((len(ids), k))
+        self.blocks = self.skipped = self.products = 0
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, dates: np.ndarray | None = None) -> None:
+        if dates is not None:  # in order of date, so that blocks are narrow
+            order = np.argsort(dates, kind="stable")
+            ids, vectors, dates = ids[order], vectors[order], dates[order]
+        for i in range(0, len(ids), _BLOCK):
+            part = slice(i, i + _BLOCK)
+            first = 0 if dates is None else int(np.searchsorted(self.when, dates[i], "left"))
+            self.blocks += 1
+            self.skipped += first == len(self.ids)
+            for j in range(first, len(self.ids), _BLOCK):
+                self._score(slice(j, min(j + _BLOCK, len(self.ids))), ids[part], vectors[part], None if dates is None else dates[part])
+
+    def _score(self, rows: slice, ids: np.ndarray, vectors: np.ndarray, dates: np.ndarray | None) -> None:
+        scores = _scores(self.matrix[rows], vectors, self.metric)
+        self.products += scores.size
+        keys = self.sign * np.round(scores, PLACES)
+        bad = (ids[None, :] == self.ids[rows, None]) | np.isnan(keys)
+        if dates is not None:
+            bad |= ~(dates[None, :] <= self.when[rows, None])
+        keys[bad] = -np.inf
+        better = ((keys >= self.keys[rows, -1:]) & ~bad).any(0)  # the others can enter no query's k best
+        if not better.any():
+            return
+        keys = np.concatenate([self.keys[rows], keys[:, better]], 1)
+        found = np.concatenate([self.found[rows], np.broadcast_to(ids[better], (len(scores), int(better.sum())))], 1)
+        scores = np.concatenate([self.scores[rows], scores[:, better]], 1)
+        order = np.lexsort((found, -keys), axis=1)[:, : self.k]
+        self.keys[rows], self.found[rows], self.scores[rows] = (np.take_along_axis(x, order, 1) for x in (keys, found, scores))
+
+    def rows(self) -> pd.DataFrame:
+        q, place = np.nonzero(self.keys > -np.inf)
+        return pd.DataFrame({"qid": self.ids[q], "pid": self.found[q, place], "score": self.scores[q, place]})
+
+
+def by_date(passages: DataFrame, parts: int) -> DataFrame:
+    """Passages laid out by date: written like this, row groups and blocks that are later than all queries are passed over."""
+    return passages.repartitionByRange(parts, "pubdate").sortWithinPartitions("pubdate")
+
+
 def top_k(queries: DataFrame, passages: DataFrame, k: int, metric: str = "IP", dated: bool = False) -> DataFrame:
     """(qid, rank, pid, score): each query's k best passages, ties to the smaller pid. No passage meets a query of its own id.
 
     queries: qid, vector and, if dated, pubdate; passages: pid, vector, pubdate. dated: only passages published no later than
     the query count, before the k are taken, so a query may get fewer. Passages stream through matrix products with blocks of
-    queries; a task keeps only its k best of each query, and one window over these ends it. Null vectors do not take part.
+    queries; a task keeps only its k best of each query, and one window over these ends it. Passages later than every query are left out
+    by the scan, and blocks (see by_date) meet only queries that may take one of theirs. Null vectors do not take part.
     """
+    found = _over_blocks(queries, passages, k, metric, dated, False)
+    return _ranked(found, k, metric).select("qid", "rank", "pid", "score")
+
+
+def top_k_work(queries: DataFrame, passages: DataFrame, k: int, metric: str = "IP", dated: bool = False) -> DataFrame:
+    """(blocks, skipped, products) of each task of top_k: blocks of passages, those that met no query, scores computed."""
+    return _over_blocks(queries, passages, k, metric, dated, True)
+
+
+def _over_blocks(queries: DataFrame, passages: DataFrame, k: int, metric: str, dated: bool, work: bool) -> DataFrame:
     dates = ["pubdate"] if dated else []
     q = queries.select("qid", "vector", *dates).filter("vector is not null")
-    n, width = q.agg(F.count("*"), F.max(F.size("vector"))).first()
-    if not n:
-        return top_k_native(queries, passages, k, metric, dated)
-    blocks = -(-n * (8 * width + 16) // QUERY_BYTES)
+    if dated:
+        q = q.filter("pubdate is not null")
+    last = F.max("pubdate") if dated else F.lit(None)
+    n, width, last = q.agg(F.count("*"), F.max(F.size("vector")), last).first()
+    if dated:
+        passages = passages.filter(F.col("pubdate") <= F.lit(last).cast(passages.schema["pubdate"].dataType))
+    blocks = max(1, -(-n * (8 * (width or 0) + 16) // QUERY_BYTES))
     parts = []
     for b in range(blocks):
         own = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        parts.append(_local_best(own.toPandas(), passages, k, metric, dated))
+        parts.append(_local_best(own.toPandas(), passages, k, metric, dated, work))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    return _ranked(found, k, metric).select("qid", "rank", "pid", "score")
+    return found
 
 
-def _local_best(frame: pd.DataFrame, passages: DataFrame, k: int, metric: str, dated: bool) -> DataFrame:
+def _local_best(frame: pd.DataFrame, passages: DataFrame, k: int, metric: str, dated: bool, work: bool = False) -> DataFrame:
     ids = frame["qid"].to_numpy()
-    matrix = np.stack(frame["vector"].to_numpy()).astype(np.float64)
+    matrix = np.stack(frame["vector"].to_numpy()).astype(np.float64) if len(frame) else np.zeros((0, 1))
     when = frame["pubdate"].to_numpy() if dated else None
     shared = passages.sparkSession.sparkContext.broadcast((ids, matrix, when))
-    sign = 1.0 if HIGHER_IS_BETTER[metric] else -1.0
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q, q_when = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(q_ids)
+        best = LocalBest(q_ids, q, k, metric, q_when)
         for frame in frames:
-            for i in range(0, len(frame), 4 * _BLOCK):
-                part = frame.iloc[i : i + 4 * _BLOCK]
-                p_ids = part["pid"].to_numpy()
-                p = np.stack(part["vector"].to_numpy()).astype(np.float64)
-                for j in range(0, len(q), _BLOCK):
-                    s = _scores(q[j : j + _BLOCK], p, metric)
-                    bad = (p_ids[None, :] == q_ids[j : j + _BLOCK, None]) | np.isnan(s)
-                    if dated:
-                        bad |= ~(part["pubdate"].to_numpy()[None, :] <= q_when[j : j + _BLOCK, None])
-                    for r in range(len(s)):
-                        ok = np.flatnonzero(~bad[r])
-                        old_ids, old = best[j + r]
-                        new_ids, new = np.concatenate([old_ids, p_ids[ok]]), np.concatenate([old, s[r, ok]])
-                        order = np.lexsort((new_ids, -sign * np.round(new, PLACES)))[:k]
-                        best[j + r] = new_ids[order], new[order]
-        for q_id, (p_ids, s) in zip(q_ids, best, strict=True):
-            if len(p_ids):
-                yield pd.DataFrame({"qid": q_id, "pid": p_ids, "score": s})
+            if len(frame) and len(q_ids):
+                best.add(frame["pid"].to_numpy(), np.stack(frame["vector"].to_numpy()).astype(np.float64), frame["pubdate"].to_numpy() if dated else None)
+        yield pd.DataFrame({"blocks": [best.blocks], "skipped": [best.skipped], "products": [best.products]}) if work else best.rows()
 
     source = passages.select("pid", "vector", *(["pubdate"] if dated else [])).filter("vector is not null")
     kinds = {f.name: f.dataType for f in source.schema.fields}
     schema = T.StructType([T.StructField("qid", kinds["pid"]), T.StructField("pid", kinds["pid"]), T.StructField("score", T.DoubleType())])
-    return source.mapInPandas(run, schema)
+    return source.mapInPandas(run, "blocks bigint, skipped bigint, products bigint" if work else schema)
+
+
+#: Passages of a cell that one task scores.
+CELL_ROWS = 100_000
 
 
 class ClusteredIndex:
@@ -130,14 +190,40 @@ class ClusteredIndex:
         return cls(path, np.array(model.clusterCenters()))
 
     def search(self, queries: DataFrame, k: int, probes: int = 4, metric: str = "IP") -> DataFrame:
-        """As top_k, over the `probes` cells nearest to each query."""
+        """As top_k, over the `probes` cells nearest to each query. Queries stay distributed: each goes to the blocks of its cells, a block
+        holding so many rows that one product takes little memory."""
         spark = queries.sparkSession
-        q = queries.select("qid", "vector").toPandas()
-        d = ((np.stack(q["vector"].to_numpy())[:, None, :] - self.centroids[None]) ** 2).sum(2)
-        near = np.argsort(d, 1, kind="stable")[:, :probes]
-        out = None
-        for cell in sorted(set(near.ravel().tolist())):
-            own = q[(near == cell).any(1)]
-            part = _local_best(own, spark.read.parquet(self.path).filter(F.col("cell") == cell), k, metric, False)
-            out = part if out is None else out.unionByName(part)
-        return _ranked(out, k, metric).select("qid", "rank", "pid", "score")
+        passages = spark.read.parquet(self.path).filter("vector is not null")
+        counts = passages.groupBy("cell").count()
+        blocks = F.greatest(F.ceil(F.col("count") / CELL_ROWS), F.lit(1)).cast("int")
+        sizes = counts.select("cell", blocks.alias("blocks"))
+        centroids = spark.sparkContext.broadcast(self.centroids)
+
+        def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                q = np.stack(frame["vector"].to_numpy()).astype(np.float64)
+                d = _scores(q, centroids.value, "L2")
+                yield frame.assign(cell=list(np.argsort(d, 1, kind="stable")[:, :probes].astype(np.int32)))
+
+        kind = queries.schema["qid"].dataType.simpleString()
+        q = queries.select("qid", F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null")
+        q = q.mapInPandas(near, f"qid {kind}, vector array<double>, cell array<int>").withColumn("cell", F.explode("cell"))
+        q = q.join(sizes, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        n, width = q.agg(F.count("*"), F.max(F.size("vector"))).first()
+        parts = max(1, -(-n * (8 * (width or 0) + 16) // QUERY_BYTES))  # all queries may ask for one cell
+        q = q.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int"))
+        p = passages.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("pid"), F.col("blocks")).cast("int"))
+        p = p.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        key = ["cell", "block", "part"]
+
+        def best(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            if own.empty or rows.empty:
+                return pd.DataFrame({"qid": pd.Series(dtype="int64"), "pid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            found = LocalBest(own["qid"].to_numpy(), np.stack(own["vector"].to_numpy()), k, metric)
+            found.add(rows["pid"].to_numpy(), np.stack(rows["vector"].to_numpy()).astype(np.float64))
+            return found.rows()
+
+        of = p.schema["pid"].dataType.simpleString()
+        sides = q.select(*key, "qid", "vector").groupBy(*key).cogroup(p.select(*key, "pid", "vector").groupBy(*key))
+        found = sides.applyInPandas(best, f"qid {kind}, pid {of}, score double")
+        return _ranked(found, k, metric).select("qid", "rank", "pid", "score")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import vectors as V
+from siftwell.operators import graph as GR
 from siftwell.operators import learn as L
 from siftwell.operators import merge as M
 from siftwell.operators import ranking as R
@@ -82,6 +83,19 @@ def knn_topk_native(spark, d):
     return _shown(S.top_k_native(_queries(spark, d), _passages(spark, d), K))
 
 
+@query(_top(k=10, by="cosine") + _SHOW)
+def graph_search(spark, d):
+    """A walk through graphs that keeps half as many passages as a shard holds: on these tables it finds all of the true ones."""
+    built = GR.build(_passages(spark, d), m=24, ef_construction=96, metric="COSINE")
+    return _shown(GR.search(built, _queries(spark, d), 10, ef_search=400, metric="COSINE"))
+
+
+@query(_top(k=10, by="l2", desc=False, where="pubdate <= qdate AND qdate < 40") + _SHOW)
+def search_early(spark, d):
+    """Queries that are all early: the passages after the last of them are never read."""
+    return _shown(S.top_k(_queries(spark, d).filter("pubdate < 40"), _passages(spark, d), 10, "L2", dated=True))
+
+
 _TARGETS = """t AS (SELECT qid, [ql, ql, (ql + 3) % 10] AS targets FROM q),
 m AS (SELECT h.qid, h.rank, targets, CASE WHEN row_number() OVER (PARTITION BY h.qid, doc ORDER BY rank) = 1 THEN 1 ELSE 0 END AS first,
   list_contains(targets, doc) AS wanted FROM h JOIN t ON h.qid = t.qid),

@@ -381,10 +381,10 @@ def histogram(spark, d):
 
 @query(
     r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.?!]\s)(\S)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
-f AS (SELECT doc_id, list_reduce(list_transform(s, lambda x: {'done': []::VARCHAR[], 'buf': x}), lambda a, b: CASE WHEN length(a.buf) + (a.buf <> '')::INT + length(b.buf) >= 60
-  THEN {'done': list_append(a.done, a.buf || CASE WHEN a.buf = '' THEN '' ELSE ' ' END || b.buf), 'buf': ''}
-  ELSE {'done': a.done, 'buf': a.buf || CASE WHEN a.buf = '' THEN '' ELSE ' ' END || b.buf} END, {'done': []::VARCHAR[], 'buf': ''}) AS f FROM s)
-SELECT doc_id, CASE WHEN f.buf = '' THEN f.done WHEN len(f.done) = 0 THEN [f.buf] ELSE list_append(f.done[1:len(f.done) - 1], f.done[len(f.done)] || ' ' || f.buf) END AS merged FROM f"""
+f AS (SELECT doc_id, list_reduce(list_transform(s, lambda x: {'done': []::VARCHAR[], 'buf': x}), lambda a, b: CASE WHEN length(a.buf) + length(b.buf) < 60
+  THEN {'done': a.done, 'buf': a.buf || b.buf || ' '}
+  ELSE {'done': CASE WHEN a.buf = '' THEN a.done ELSE list_append(a.done, regexp_replace(a.buf, '^\s+|\s+$', '', 'g')) END, 'buf': b.buf} END, {'done': []::VARCHAR[], 'buf': ''}) AS f FROM s)
+SELECT doc_id, CASE WHEN f.buf = '' THEN f.done ELSE list_append(f.done, regexp_replace(f.buf, '^\s+|\s+$', '', 'g')) END AS merged FROM f"""
 )
 def merge_short_sentences(spark, d):
     s = F.filter(F.transform(X.sentences(F.col("text")), X.strip), lambda s: s != "")

@@ -153,15 +153,15 @@ def test_expansion(spark):
 
 
 def fold(sents, threshold):
-    out, buf = [], ""
+    """Gathered as long as all characters, with a space behind each gathered sentence, stay under the threshold."""
+    out, held = [], ""
     for s in sents:
-        buf = f"{buf} {s}" if buf else s
-        if len(buf) >= threshold:
-            out.append(buf)
-            buf = ""
-    if buf:
-        out = [*out[:-1], f"{out[-1]} {buf}"] if out else [buf]
-    return out
+        if len(held + s) < threshold:
+            held = f"{held}{s} "
+            continue
+        out += [held.strip()] * (held != "")
+        held = s
+    return out + [held.strip()] * (held != "")
 
 
 def test_text(spark):
@@ -169,6 +169,10 @@ def test_text(spark):
     for _ in range(20):
         s = ["x" * rng.randint(1, 30) for _ in range(rng.randint(0, 8))]
         assert one(spark, X.merge_short(F.array(*[F.lit(x) for x in s]).cast("array<string>"), 20))[0] == fold(s, 20)
+    long = "A sentence of more than sixty characters stands alone in here, truly."
+    s = F.array(*[F.lit(x) for x in ("Short one.", long, "Tiny.", "End.")])
+    assert one(spark, X.merge_short(s))[0] == ["Short one.", long, "Tiny.End."]
+    assert one(spark, X.merge_short(F.array(F.lit("a" * 30), F.lit("b" * 40), F.lit("c."), F.lit("d."))))[0] == ["a" * 30, "b" * 40 + "c. d."]
     text = "One. Two?  Three! 4.5 is no end. "
     assert "".join(one(spark, X.sentences(F.lit(text)))[0]) == text
     assert one(spark, X.clean_query(F.lit(" a [REF] (  ) b\n c ")))[0] == "a b c"
