@@ -7,10 +7,9 @@
    are counted, and the result stays the same.
 3. Texts shrink to runs: the longest stretches whose neighbouring words pass as pairs. Equal runs are summed, so a
    passage that thousands of documents share is looked at once.
-4. The candidates are the phrases of the runs that pass. They are dealt to blocks by their hash; each block is compiled
-   into an Aho-Corasick automaton of phrases between delimiters, and scans the runs that hold one of its phrases. A block with
-   many runs is scanned by several tasks. Every occurrence lies in one run and every phrase in one block, so the summed
-   matches, overlapping ones included, are the exact counts. The work grows with the runs, not with runs times blocks.
+4. The distinct runs are scanned in shards of a bounded number: the phrases of a shard that pass are its candidates and are compiled into an
+   Aho-Corasick automaton, each between delimiters; its matches, overlapping ones included, are counted with the weights of
+   their runs. Every occurrence lies in one run, so the counts of all shards add up to the exact ones, and the work is in proportion to the runs.
 5. Thresholds, scores and the ranking are joins and windows over the counted phrases.
 """
 
@@ -18,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.scratch import Scratch, maybe_broadcast
-from siftwell.llm.wordhash import mix64
+from siftwell.llm.scratch import Scratch
+from siftwell.llm.wordhash import mix64, word_spans
 
 #: Rows of the sketch, and the binary logarithms of the least and the largest number of counters in one. The largest sketch takes
 #: 128 MB of a worker while it is built and 16 MB when broadcast, whatever the corpus.
@@ -35,17 +35,13 @@ ROWS, LEAST_BITS, MOST_BITS = 2, 16, 26
 COUNTERS = 1 << 16
 #: Summed in two steps where there are more tasks than this.
 FAN_IN = 64
-#: Tokens that are hashed together, words that a task remembers, distinct rows that it holds before it gives them out.
-BLOCK, REMEMBERED, HELD = 100_000, 300_000, 200_000
-#: Phrases of one automaton, and runs that one task scans with it.
-PER_AUTOMATON, PER_SCAN = 50_000, 200_000
+#: Bytes of text that are hashed together, distinct rows that a task holds before it gives them out, runs of one automaton.
+BLOCK, HELD, SHARD = 1 << 19, 400_000, 100_000
 #: Longer runs are cut into overlapping parts; a phrase belongs to the part that its first word belongs to.
 RUN_WORDS = 32
-#: Bytes of a text that are split together, up to the next delimiter.
-PART_BYTES = 1 << 20
 
 #: Stands between pieces: a delimiter, so it is no word.
-BREAK = b"."
+BREAK = b" . "
 _UPPER = bytes(range(65, 91))
 _DELIMITERS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_UPPER + _DELIMITERS + b"\t", _UPPER.lower() + b"\n" * len(_DELIMITERS) + b" ")
@@ -53,87 +49,68 @@ _ROW = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 _NEXT = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _parts(text: str) -> Iterator[list[bytes]]:
+def _parts(text: str) -> Iterator[bytes]:
     data, at = text.encode().translate(_TABLE), 0
-    while len(data) - at > PART_BYTES and (cut := data.find(b"\n", at + PART_BYTES)) >= 0:
-        yield data[at:cut].replace(b"\n", b" . ").split()
+    while len(data) - at > 2 * BLOCK and (cut := data.find(b"\n", at + BLOCK)) >= 0:
+        yield data[at:cut].replace(b"\n", BREAK)
         at = cut + 1
-    yield data[at:].replace(b"\n", b" . ").split()
+    yield data[at:].replace(b"\n", BREAK)
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """The words of many texts of one language, BREAK between pieces and texts. batches: (lang, text)."""
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """The words of many texts of one language between spaces, BREAK between pieces and texts. batches: (lang, text)."""
     held: dict[str, list[bytes]] = {}
-    total = 0
+    size: Counter = Counter()
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for part in _parts(text):
-                own = held.setdefault(lang, [])
-                own += part
-                own.append(BREAK)
-                total += len(part) + 1
-                if len(own) >= BLOCK:
-                    total -= len(own)
-                    yield lang, held.pop(lang)
-                elif total > 8 * BLOCK:
-                    yield from held.items()
-                    held, total = {}, 0
-    yield from held.items()
-
-
-class _Words(dict):
-    """Hashes of words; 0 for BREAK. Forgets all when it holds too many."""
-
-    def __init__(self, lang: str):
-        import xxhash
-
-        super().__init__()
-        self.digest, self.seed = xxhash.xxh64_intdigest, xxhash.xxh64_intdigest(lang.encode())
-        self[BREAK] = 0
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-            self[BREAK] = 0
-        value = self[word] = self.digest(word, self.seed) | 1
-        return value
-
-
-class Hasher:
-    def __init__(self):
-        self.by_lang: dict[str, _Words] = {}
-
-    def phrases(self, lang: str, tokens: list[bytes], longest: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Hashes of the tokens, and for 2 to longest words the hash of the phrase that starts at each token and whether there is one."""
-        if len(self.by_lang) > 4 and lang not in self.by_lang:
-            self.by_lang.clear()
-        words = self.by_lang.get(lang) or self.by_lang.setdefault(lang, _Words(lang))
-        own = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
-        value, there, out = own, own != 0, []
-        word = there
-        for k in range(1, longest):
-            value = mix64(value[:-1] * _NEXT + own[k:])
-            there = there[:-1] & word[k:]
-            out.append((value, there))
-        return own, out
+                held.setdefault(lang, []).append(part)
+                size[lang] += len(part)
+                if size[lang] >= BLOCK:
+                    del size[lang]
+                    yield lang, BREAK.join(held.pop(lang))
+            if size.total() > 16 * BLOCK or len(size) > 1000:
+                yield from ((k, BREAK.join(v)) for k, v in held.items())
+                held, size = {}, Counter()
+    yield from ((k, BREAK.join(v)) for k, v in held.items())
 
 
-def _places(values: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (values * _ROW[row] >> np.uint64(64 - bits)).astype(np.int64)
+class Phrases(NamedTuple):
+    """Where the words of a block start and end, and for 2 to n words the hash of the phrase that starts at each word and whether there is one."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    of: list[tuple[np.ndarray, np.ndarray]]
+
 
+def phrases_of(lang: str, data: bytes, longest: int) -> Phrases:
+    import xxhash
 
-def _positive(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(1)).astype(np.int64)
+    words, starts, ends = word_spans(data)
+    own = words != word_spans(BREAK.strip())[0][0]
+    words = words ^ np.uint64(xxhash.xxh64_intdigest(lang.encode()))
+    value, there, out = words, own, []
+    for k in range(1, longest):
+        value = mix64(value[:-1] * _NEXT + words[k:])
+        there = there[:-1] & own[k:]
+        out.append((value, there))
+    return Phrases(starts, ends, out)
+
+
+def _places(values: np.ndarray, row: int, bits: int) -> np.ndarray:
+    return (values * _ROW[row] >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _passing(phrases: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray, bits: int) -> list[np.ndarray]:
     """For each length of phrase, where one starts that may reach the threshold: its own bits are set, and both shorter ones in it pass."""
     out: list[np.ndarray] = []
     for values, there in phrases:
-        passes = there & (out[-1][:-1] & out[-1][1:] if out else True)
+        at = np.flatnonzero(there & (out[-1][:-1] & out[-1][1:]) if out else there)
         for row in range(ROWS):
-            at = _places(values, row, bits)
-            passes &= (table[row][at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            place = _places(values[at], row, bits)
+            at = at[(table[row][place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
+        passes = np.zeros(len(values), bool)
+        passes[at] = True
         out.append(passes)
     return out
 
@@ -146,13 +123,19 @@ def sketch(texts: DataFrame, longest: int, least: int, bits: int) -> np.ndarray:
         from pyspark import TaskContext
 
         counters = np.zeros((ROWS, 1 << bits), kind)
-        hasher = Hasher()
-        for lang, tokens in blocks(batches):
-            for values, there in hasher.phrases(lang, tokens, longest)[1]:
-                values = values[there]
+        for lang, data in blocks(batches):
+            for values, there in phrases_of(lang, data, longest).of:
+                values, n = np.unique(values[there], return_counts=True)
+                n = np.minimum(n, least)
                 for row in range(ROWS):
-                    at, n = np.unique(_places(values, row, bits), return_counts=True)
-                    counters[row][at] = np.minimum(counters[row][at] + n, least)
+                    at = _places(values, row, bits)
+                    # Places that meet within a block count one after another, not at once.
+                    order = np.argsort(at)
+                    at, own = at[order], n[order]
+                    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
+                    own = np.add.reduceat(own, first) if len(at) else own
+                    at = at[first]
+                    counters[row][at] = np.minimum(counters[row][at] + own, least)
         task = TaskContext.get().partitionId()
         width = min(COUNTERS, 1 << bits)
         for block, part in enumerate(counters.reshape(-1, width)):
@@ -177,160 +160,133 @@ def sketch(texts: DataFrame, longest: int, least: int, bits: int) -> np.ndarray:
     parts = texts.mapInArrow(add, "block int, task int, counts binary")
     if n > FAN_IN:
         parts = parts.groupBy("block", F.pmod("task", F.lit(FAN_IN)).alias("part")).applyInPandas(summed, "block int, task int, counts binary")
+    found = parts.groupBy("block").applyInPandas(reached, "block int, bits binary").toArrow()  # as many bytes as the table below
     table = np.zeros((ROWS, max(1, (1 << bits) >> 3)), np.uint8)
     flat = table.reshape(-1)
-    for row in parts.groupBy("block").applyInPandas(reached, "block int, bits binary").toLocalIterator():
-        own = np.frombuffer(row["bits"], np.uint8)
-        flat[row["block"] * len(own) : (row["block"] + 1) * len(own)] = own
+    for block, part in zip(found.column("block").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        flat[block * len(part) : (block + 1) * len(part)] = np.frombuffer(part, np.uint8)
     return table
 
 
+def _text(parts: list[bytes]) -> pa.Array:
+    return pa.array(parts, pa.binary()).cast(pa.string())
+
+
 def words(texts: DataFrame) -> DataFrame:
     """(lang, phrase, f) for every single word; a task sums its own words first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
-        for lang, tokens in blocks(batches):
-            held.setdefault(lang, Counter()).update(tokens)
+        for lang, data in blocks(batches):
+            held.setdefault(lang, Counter()).update(data.split())
             if sum(map(len, held.values())) > HELD:
-                yield given(held)
+                yield from given(held)
                 held = {}
-        yield given(held)
+        yield from given(held)
 
-    def given(held: dict[str, Counter]) -> pa.RecordBatch:
-        rows = [(lang, w.decode(), n) for lang, own in held.items() for w, n in own.items() if w != BREAK]
-        columns = list(zip(*rows, strict=True)) or [[]] * 3
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "phrase", "f"])
+    def given(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, own in held.items():
+            own.pop(BREAK.strip(), None)
+            yield pa.record_batch([pa.array([lang] * len(own), pa.string()), _text(list(own)), pa.array(list(own.values()), pa.int64())], ["lang", "phrase", "f"])
 
     return texts.mapInArrow(count, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _cut_runs(tokens: list[bytes], pairs: np.ndarray, longest: int) -> Iterator[tuple[int, bytes]]:
-    """Stretches of tokens in which every two neighbours pass: (code points in which a phrase of this part may start, or 0 for all of
-    them; the words)."""
-    edges = np.diff(np.concatenate(([0], pairs.astype(np.int8), [0])))
-    for i, j in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True):
-        if j - i < RUN_WORDS + longest:
-            yield 0, b" ".join(tokens[i : j + 1])
-            continue
-        for at in range(i, j, RUN_WORDS):
-            part = tokens[at : min(at + RUN_WORDS + longest - 1, j + 1)]
-            own = len(b" ".join(part[:RUN_WORDS]).decode()) + 1 if at + RUN_WORDS < j else 0
-            yield own, b" ".join(part)
+def _cut_run(data: bytes, starts: np.ndarray, ends: np.ndarray, longest: int) -> Iterator[tuple[int, bytes]]:
+    """The parts of a long run, by its words: (code points in which a phrase of this part may start, or 0 for all of them; the words)."""
+    last = len(starts) - 1
+    for at in range(0, last, RUN_WORDS):
+        part = data[starts[at] : ends[min(at + RUN_WORDS + longest - 2, last)]]
+        yield len(data[starts[at] : starts[at + RUN_WORDS]].decode()) if at + RUN_WORDS < last else 0, part
 
 
 def runs(texts: DataFrame, table, longest: int, bits: int) -> DataFrame:
-    """(lang, run, own, weight): what of the texts may hold a candidate, equal stretches summed. A run starts and ends with a space."""
+    """(lang, run, own, weight): what of the texts may hold a candidate, equal stretches summed; own as in _cut_run."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held = Hasher(), Counter()
-        for lang, tokens in blocks(batches):
-            pairs = _passing(hasher.phrases(lang, tokens, 2)[1], table.value, bits)[0]
-            held.update((lang, own, run) for own, run in _cut_runs(tokens, pairs, longest))
-            if len(held) > HELD:
-                yield given(held)
-                held = Counter()
-        yield given(held)
-
-    def given(held: Counter) -> pa.RecordBatch:
-        langs, own, run = list(zip(*held, strict=True)) or [[]] * 3
-        arrays = [pa.array(langs, pa.string()), pa.array([f" {r.decode()} " for r in run], pa.string()), pa.array(own, pa.int32()), pa.array(list(held.values()), pa.int64())]
-        return pa.record_batch(arrays, ["lang", "run", "own", "weight"])
+        held: dict[str, tuple[Counter, Counter]] = {}
+        for lang, data in blocks(batches):
+            data = b" ".join(data.split())
+            starts, ends, of = phrases_of(lang, data, 2)
+            edges = np.diff(np.concatenate(([0], _passing(of, table.value, bits)[0].astype(np.int8), [0])))
+            i, j = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+            short = j - i < RUN_WORDS + longest
+            whole, parts = held.setdefault(lang, (Counter(), Counter()))
+            whole.update(map(data.__getitem__, map(slice, starts[i[short]].tolist(), ends[j[short]].tolist())))
+            for a, b in zip(i[~short].tolist(), j[~short].tolist(), strict=True):
+                parts.update(_cut_run(data, starts[a : b + 1], ends[a : b + 1], longest))
+            if sum(len(w) + len(p) for w, p in held.values()) > HELD:
+                yield from given(held)
+                held = {}
+        yield from given(held)
+
+    def given(held: dict[str, tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for lang, (whole, parts) in held.items():
+            run = [*whole, *(r for _, r in parts)]
+            own = [0] * len(whole) + [o for o, _ in parts]
+            arrays = [pa.array([lang] * len(run), pa.string()), _text(run), pa.array(own, pa.int32()), pa.array([*whole.values(), *parts.values()], pa.int64())]
+            yield pa.record_batch(arrays, ["lang", "run", "own", "weight"])
 
     cuts = texts.mapInArrow(cut, "lang string, run string, own int, weight bigint")
     return cuts.groupBy("lang", "run", "own").agg(F.sum("weight").alias("weight"))
 
 
-def _phrases_of(batch: pa.RecordBatch, hasher: Hasher, table: np.ndarray, longest: int, bits: int):
-    """For the runs of each language in a batch (lang, run, ...): their rows, tokens, hashes of tokens, phrases, and which of these pass."""
-    langs = np.array(batch.column(0).to_pylist(), object)
-    texts = np.array(batch.column(1).to_pylist(), object)
-    for lang in dict.fromkeys(langs):
-        rows = np.flatnonzero(langs == lang)
-        tokens = " . ".join(texts[rows]).encode().split()
-        own, phrases = hasher.phrases(lang, tokens, longest)
-        yield lang, rows, tokens, own, phrases, _passing(phrases, table, bits)
-
-
-def candidates(found: DataFrame, table, longest: int, bits: int) -> DataFrame:
-    """(lang, phrase, hash, seen): the phrases of the runs whose upper bounds pass; seen: their places in distinct runs, or more."""
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held = Hasher(), Counter()
-        for batch in batches:
-            for lang, _, tokens, _, phrases, passing in _phrases_of(batch, hasher, table.value, longest, bits):
-                for k, ((values, _), passes) in enumerate(zip(phrases, passing, strict=True), 2):
-                    at = np.flatnonzero(passes)
-                    held.update((lang, v, b" ".join(tokens[i : i + k])) for i, v in zip(at.tolist(), _positive(values[at]).tolist(), strict=True))
-            if len(held) > HELD:
-                yield given(held)
-                held = Counter()
-        yield given(held)
-
-    def given(held: Counter) -> pa.RecordBatch:
-        langs, values, names = list(zip(*held, strict=True)) or [[]] * 3
-        arrays = [pa.array(langs, pa.string()), pa.array([p.decode() for p in names], pa.string()), pa.array(values, pa.int64()), pa.array(list(held.values()), pa.int64())]
-        return pa.record_batch(arrays, ["lang", "phrase", "hash", "seen"])
-
-    picked = found.select("lang", "run").mapInArrow(pick, "lang string, phrase string, hash bigint, seen bigint")
-    return picked.groupBy("lang", "phrase", "hash").agg(F.sum("seen").alias("seen"))
-
-
-def _routed(found: DataFrame, table, longest: int, bits: int, n_blocks: int) -> DataFrame:
-    """The runs, each once for every block that holds one of its phrases."""
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            for _, rows, _, own, phrases, passing in _phrases_of(batch, hasher, table.value, longest, bits):
-                of = np.cumsum(own == 0)
-                keys = [of[: len(passes)][passes] * n_blocks + _positive(values[passes]) % n_blocks for (values, _), passes in zip(phrases, passing, strict=True)]
-                keys = np.unique(np.concatenate(keys))
-                part = batch.take(pa.array(rows[keys // n_blocks]))
-                yield pa.record_batch([*part.columns, pa.array((keys % n_blocks).astype(np.int32))], [*part.schema.names, "block"])
-
-    return found.select("lang", "run", "own", "weight").mapInArrow(route, "lang string, run string, own int, weight bigint, block int")
+def _candidates(lang: str, own: list[str], table: np.ndarray, longest: int, bits: int) -> list[str]:
+    """The distinct phrases of the runs whose upper bounds pass."""
+    data = BREAK.join(r.encode() for r in own)
+    starts, ends, of = phrases_of(lang, data, longest)
+    out: list[str] = []
+    for k, ((values, _), passes) in enumerate(zip(of, _passing(of, table, bits), strict=True), 1):
+        at = np.flatnonzero(passes)
+        at = at[np.unique(values[at], return_index=True)[1]]
+        out += [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at + k].tolist(), strict=True)]
+    return out
 
 
-def _scan(own: pd.DataFrame, phrases: list[str]) -> list[int]:
-    """Occurrences of each phrase in the runs, overlapping ones included."""
+def _scan(own: list[str], limits: np.ndarray, weights: np.ndarray, phrases: list[str]) -> np.ndarray:
+    """Occurrences of each phrase in the runs, overlapping ones included; of a run with a limit, those that start within it."""
     import ahocorasick
 
+    counts = np.zeros(len(phrases), np.int64)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    lengths = []
     for k, phrase in enumerate(phrases):  # between delimiters, so that no match starts or ends inside a word
         automaton.add_word(f" {phrase} ", k)
-        lengths.append(len(phrase) + 2)
     automaton.make_automaton()
-    counts = [0] * len(phrases)
-    for run, limit, weight in zip(own["run"], own["own"].tolist(), own["weight"].tolist(), strict=True):
-        for end, k in automaton.iter(run):
-            if not limit or end - lengths[k] + 1 < limit:
-                counts[k] += weight
+    if not phrases:
+        return counts
+    ends, found = np.array(list(automaton.iter(" \n ".join(["", *own, ""]))), np.int64).reshape(-1, 2).T  # no word holds a line end
+    sizes = np.array([len(r) for r in own], np.int64) + 3
+    first = 3 + np.cumsum(sizes) - sizes  # where each run starts
+    run = np.searchsorted(first, ends, "right") - 1
+    begin = ends - np.array([len(p) for p in phrases], np.int64)[found] - first[run]
+    inside = (limits[run] == 0) | (begin < limits[run])
+    np.add.at(counts, found[inside], weights[run[inside]])
     return counts
 
 
-def counted(found: DataFrame, wanted: DataFrame, n_wanted: int, table, longest: int, bits: int) -> DataFrame:
-    """(lang, phrase, f): the exact counts of the candidates."""
-    n_blocks = -(-n_wanted // PER_AUTOMATON)
-    wanted = wanted.withColumn("block", (F.col("hash") % n_blocks).cast("int"))
-    load = wanted.groupBy("lang", "block").agg(F.sum("seen").alias("seen"))
-    load = load.select("lang", "block", F.ceil(F.col("seen") / PER_SCAN).cast("int").alias("tasks"))
-    load = maybe_broadcast(load, n_blocks * 64, 48)
-    key = ["lang", "block", "salt"]
-    scanned = _routed(found, table, longest, bits, n_blocks).join(load, ["lang", "block"])
-    scanned = scanned.withColumn("salt", F.pmod(F.xxhash64("run", "own"), F.col("tasks")).cast("int"))
-    wanted = wanted.join(load, ["lang", "block"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+def counted(found: DataFrame, table, longest: int, bits: int) -> DataFrame:
+    """(lang, phrase, f): the exact counts of the candidates in the runs."""
+    shard = SHARD
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for i in range(0, batch.num_rows, shard):
+                held.append(batch.slice(i, shard))
+                if sum(b.num_rows for b in held) >= shard:
+                    yield from given(held)
+                    held = []
+        yield from given(held)
 
-    def scan(own: pd.DataFrame, phrases: pd.DataFrame) -> pd.DataFrame:
-        names = [] if own.empty else phrases["phrase"].tolist()
-        found = zip(names, _scan(own, names) if names else [], strict=True)
-        rows = [(phrases["lang"].iloc[0], name, f) for name, f in found if f]
-        return pd.DataFrame(rows, columns=["lang", "phrase", "f"])
+    def given(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame = pa.Table.from_batches(held).to_pandas() if held else pd.DataFrame({"lang": []})
+        for lang, rows in frame.groupby("lang"):
+            own = rows["run"].tolist()
+            names = _candidates(lang, own, table.value, longest, bits)
+            counts = _scan(own, rows["own"].to_numpy(np.int64), rows["weight"].to_numpy(np.int64), names)
+            yield pa.record_batch([pa.array([lang] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(counts)], ["lang", "phrase", "f"])
 
-    scanned = scanned.select(*key, "run", "own", "weight").groupBy(*key).cogroup(wanted.select(*key, "phrase").groupBy(*key))
-    matches = scanned.applyInPandas(scan, "lang string, phrase string, f bigint")
-    return matches.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return found.mapInArrow(scan, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def _sub_phrases(k: Column, least: Column | int, most: Column) -> Column:
@@ -380,9 +336,9 @@ def collocations(
     with scratch.settings():
         table = spark.sparkContext.broadcast(sketch(texts, longest, least, bits))
     found = scratch.keep(runs(texts, table, longest, bits), "runs")
-    wanted = scratch.keep(candidates(found, table, longest, bits), "candidates", batch=10_000)
-    phrases = scratch.keep(counted(found, wanted, max(1, wanted.count()), table, longest, bits).filter(F.col("f") >= least), "phrases", batch=10_000)
-    scratch.drop(found, wanted)
+    phrases = counted(found.select("lang", "run", "own", "weight"), table, longest, bits).filter(F.col("f") >= least)
+    phrases = scratch.keep(phrases, "phrases", batch=10_000)
+    scratch.drop(found)
     best = scored(phrases, single.filter(F.col("f") >= least), cover_percent)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = best.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top)

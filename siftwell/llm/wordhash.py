@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,28 +47,44 @@ def _blocks(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of data, whose words are separated by the byte 0x20 only, in order."""
-    parts = []
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of data, whose words are separated by the byte 0x20 only, in order, and where it starts and ends."""
+    b = np.frombuffer(data, np.uint8)
+    if not len(b):
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    word = b != 32
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    starts = edge[word[edge]]
+    ends = edge[~word[edge]]
+    if word[0]:
+        starts = np.concatenate(([0], starts))
+    if word[-1]:
+        ends = np.concatenate((ends, [len(b)]))
+    up, down = _POWERS.get(len(b) + 1)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * down[starts]), starts, ends
+
+
+def all_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_spans, in blocks, so that only the result follows the length of data. A word that fills several blocks has hash 0."""
+    parts, at = [], 0
     for block in _blocks(data):
-        b = np.frombuffer(block, np.uint8)
-        if not len(b):
-            continue
-        word = b != 32
-        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
-        starts = edge[word[edge]]
-        ends = edge[~word[edge]]
-        if word[0]:
-            starts = np.concatenate(([0], starts))
-        if word[-1]:
-            ends = np.concatenate((ends, [len(b)]))
-        if not len(starts):
-            continue
-        up, down = _POWERS.get(len(b) + 1)
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        parts.append(mix64((sums[ends] - sums[starts]) * down[starts]))
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        if len(block) > 4 * BLOCK:
+            spans = [m.span() for m in re.finditer(rb"[^ ]+", block)]
+            hashes = np.array([word_spans(block[a:b])[0][0] if b - a <= BLOCK else 0 for a, b in spans], np.uint64)
+            starts, ends = np.array(spans, np.int64).reshape(-1, 2).T
+        else:
+            hashes, starts, ends = word_spans(block)
+        parts.append((hashes, starts + at, ends + at))
+        at += len(block)
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return hashes, starts, ends
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """The hashes of word_spans; a long text is hashed in blocks."""
+    return np.concatenate([word_spans(block)[0] for block in _blocks(data)])
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:

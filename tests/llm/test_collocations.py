@@ -50,10 +50,9 @@ def rows(spark, docs, **kw):
     return sorted(tuple(r) for r in C.collocations(d, **kw).collect())
 
 
-@pytest.mark.parametrize("per_automaton, per_scan, kw", [(50_000, 200_000, {}), (17, 25, {}), (40, 60, {"longest": 4, "least": 8, "cover_percent": 70, "top": 15})])
-def test_matches_brute_force(spark, monkeypatch, per_automaton, per_scan, kw):
-    monkeypatch.setattr(C, "PER_AUTOMATON", per_automaton)
-    monkeypatch.setattr(C, "PER_SCAN", per_scan)
+@pytest.mark.parametrize("shard, kw", [(100_000, {}), (25, {}), (60, {"longest": 4, "least": 8, "cover_percent": 70, "top": 15})])
+def test_matches_brute_force(spark, monkeypatch, shard, kw):
+    monkeypatch.setattr(C, "SHARD", shard)
     docs = corpus(4, 150)
     docs += docs[:20]  # repeated rows count again
     names = {"cover_percent": "cover"}
@@ -73,13 +72,14 @@ def test_long_runs_are_cut_so_that_each_phrase_lies_in_one_part():
     rng = random.Random(1)
     for n in (2, 30, 34, 35, 36, 64, 66, 67, 68, 69, 200):
         words = [rng.choice(["a", "ö", "bb"]) for _ in range(n)]
-        tokens = [w.encode() for w in words] + [C.BREAK]
+        data, at = " ".join(words).encode(), C.word_spans(" ".join(words).encode())
         for longest in (2, 3, 4):
-            pairs = np.array([True] * (n - 1) + [False])
             phrases = sorted({" ".join(words[i : i + k]) for k in range(2, longest + 1) for i in range(n - k + 1)})
-            frame = __import__("pandas").DataFrame([(f" {r.decode()} ", own, 2) for own, r in C._cut_runs(tokens, pairs, longest)], columns=["run", "own", "weight"])
+            own, parts = zip(*C._cut_run(data, at[1], at[2], longest), strict=True)
+            parts = [p.decode() for p in parts]
             real = Counter(" ".join(words[i : i + k]) for k in range(2, longest + 1) for i in range(n - k + 1))
-            assert dict(zip(phrases, C._scan(frame, phrases), strict=True)) == {p: 2 * c for p, c in real.items()}
+            got = C._scan(parts, np.array(own), np.full(len(own), 2), phrases)
+            assert dict(zip(phrases, got.tolist(), strict=True)) == {p: 2 * c for p, c in real.items()}
 
 
 def test_scores_beyond_64_bits(spark):
