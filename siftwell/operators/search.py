@@ -68,9 +68,8 @@ class LocalBest:
         order = np.argsort(when, kind="stable") if when is not None else np.arange(len(ids))
         self.ids, self.matrix, self.when = ids[order], matrix[order], None if when is None else when[order]
         self.k, self.metric, self.sign = k, metric, 1.0 if HIGHER_IS_BETTER[metric] else -1.0
-        self.keys = np.full((len(ids), k), -np.inf)
-        self.found = np.zeros((len(ids), k), np.int64)
-        self.scores = np.zeros((len(ids), k))
+        #: Of each block of queries: keys (higher is better), ids and scores of what was found, best first, k columns at most.
+        self.best = [(np.zeros((len(ids[j : j + _BLOCK]), 0)), np.zeros((len(ids[j : j + _BLOCK]), 0), np.int64), np.zeros((len(ids[j : j + _BLOCK]), 0))) for j in range(0, len(ids), _BLOCK)]
         self.blocks = self.skipped = self.products = 0
 
     def add(self, ids: np.ndarray, vectors: np.ndarray, dates: np.ndarray | None = None) -> None:
@@ -82,10 +81,12 @@ class LocalBest:
             first = 0 if dates is None else int(np.searchsorted(self.when, dates[i], "left"))
             self.blocks += 1
             self.skipped += first == len(self.ids)
-            for j in range(first, len(self.ids), _BLOCK):
-                self._score(slice(j, min(j + _BLOCK, len(self.ids))), ids[part], vectors[part], None if dates is None else dates[part])
+            for b in range(first // _BLOCK, len(self.best)):
+                self._score(b, max(first - b * _BLOCK, 0), ids[part], vectors[part], None if dates is None else dates[part])
 
-    def _score(self, rows: slice, ids: np.ndarray, vectors: np.ndarray, dates: np.ndarray | None) -> None:
+    def _score(self, b: int, first: int, ids: np.ndarray, vectors: np.ndarray, dates: np.ndarray | None) -> None:
+        """Block b of the queries, from the first that is young enough, with a block of passages."""
+        rows = slice(b * _BLOCK + first, (b + 1) * _BLOCK)
         scores = _scores(self.matrix[rows], vectors, self.metric)
         self.products += scores.size
         keys = self.sign * np.round(scores, PLACES)
@@ -93,18 +94,27 @@ class LocalBest:
         if dates is not None:
             bad |= ~(dates[None, :] <= self.when[rows, None])
         keys[bad] = -np.inf
-        better = ((keys >= self.keys[rows, -1:]) & ~bad).any(0)  # the others can enter no query's k best
+        old = [x[first:] for x in self.best[b]]
+        full = old[0].shape[1] >= self.k
+        better = ((keys >= old[0][:, -1:] if full else True) & ~bad).any(0)  # the others can enter no query's k best
         if not better.any():
             return
-        keys = np.concatenate([self.keys[rows], keys[:, better]], 1)
-        found = np.concatenate([self.found[rows], np.broadcast_to(ids[better], (len(scores), int(better.sum())))], 1)
-        scores = np.concatenate([self.scores[rows], scores[:, better]], 1)
+        own = keys[:, better], np.broadcast_to(ids[better], (len(scores), int(better.sum()))), scores[:, better]
+        keys, found, scores = (np.concatenate(x, 1) for x in zip(old, own, strict=True))
         order = np.lexsort((found, -keys), axis=1)[:, : self.k]
-        self.keys[rows], self.found[rows], self.scores[rows] = (np.take_along_axis(x, order, 1) for x in (keys, found, scores))
+        new = [np.take_along_axis(x, order, 1) for x in (keys, found, scores)]
+        if first:  # the older queries above keep what they have
+            fill = (-np.inf, 0, 0.0)
+            above = [np.pad(x[:first], ((0, 0), (0, y.shape[1] - x.shape[1])), constant_values=v) for x, y, v in zip(self.best[b], new, fill, strict=True)]
+            new = [np.concatenate(x, 0) for x in zip(above, new, strict=True)]
+        self.best[b] = tuple(new)
 
     def rows(self) -> pd.DataFrame:
-        q, place = np.nonzero(self.keys > -np.inf)
-        return pd.DataFrame({"qid": self.ids[q], "pid": self.found[q, place], "score": self.scores[q, place]})
+        parts = []
+        for b, (keys, found, scores) in enumerate(self.best):
+            q, place = np.nonzero(keys > -np.inf)
+            parts.append(pd.DataFrame({"qid": self.ids[b * _BLOCK + q], "pid": found[q, place], "score": scores[q, place]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"qid": self.ids[:0], "pid": self.ids[:0], "score": np.zeros(0)})
 
 
 def by_date(passages: DataFrame, parts: int) -> DataFrame:

@@ -12,6 +12,7 @@ from siftwell.operators import merge as M
 from siftwell.operators import ranking as R
 from siftwell.operators import search as S
 from siftwell.operators import tables as T
+from siftwell.operators import training as TR
 from siftwell.plans.catalog import query, table
 
 K = 20
@@ -384,6 +385,18 @@ def mixed_negatives(spark, d):
     return L.mixed_negatives(_negatives(spark, d), L.random_negatives(_queries(spark, d), _passages(spark, d), 4))
 
 
+@query()
+def adapter_training(spark, d):
+    """The history of a short training: queries of one label, negatives mined anew by the weights of the moment."""
+    queries = _queries(spark, d).select("qid", "vector", F.when(F.col("qid") % 200 == 0, "val").otherwise("train").alias("split"), "label")
+    passages = _passages(spark, d)
+    near = S.top_k(queries, passages, 200, "IP").join(passages.select("pid", "doc"), "pid").join(queries.select("qid", "label"), "qid")
+    positives = near.filter("doc = label").withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).filter("n <= 2").select("qid", "pid")
+    dim = len(passages.first()["vector"])
+    _, history = TR.train(L.Adapter.new(dim, 32), lambda now: TR.mine(now, queries, passages, positives, 2), TR.Config(epochs=2, batches=2))
+    return spark.createDataFrame(history, TR.HISTORY)
+
+
 _MARGINS = _NEG + """, x AS (SELECT qid, max(score) AS hard FROM (SELECT n.qid, h.score FROM n JOIN h ON n.qid = h.qid AND n.pid = h.pid) GROUP BY qid),
 y AS (SELECT h.qid, list(h.score ORDER BY h.rank) AS sims FROM h WHERE doc IN (ql, (ql + 3) % 10) AND rank <= 400 GROUP BY h.qid),
 z AS (SELECT y.qid, list_transform(sims, lambda v: round(v - hard, 6)) AS margins FROM x JOIN y ON x.qid = y.qid)"""
