@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,3 +30,13 @@ def query(sql: str | None = None, name: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder name where the whole cluster can write: below spark.checkpoint.dir; on one machine a temporary folder if that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='siftwell-')}"
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -14,7 +14,10 @@ from siftwell.operators import ranking as R
 from siftwell.operators import segment as G
 from siftwell.operators import tables as T
 from siftwell.operators import titles as S
-from siftwell.plans.catalog import query, table
+from siftwell.plans.catalog import folder, query, table
+from siftwell.sources import plans as P
+from siftwell.sources import tensors
+from siftwell.sources.commits import CommitTable
 from siftwell.streaming import windows as SW
 
 # Sources, sinks and maintenance.
@@ -749,3 +752,34 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*
 def window_session(spark, d):
     w = SW.sessions(table(spark, d, "events"), "30 minutes")
     return w.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n")
+
+
+# Sinks that read back what they wrote.
+
+
+@query("SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings WHERE vec_id >= 0")
+def tensor_table(spark, d):
+    """All vectors as array files and back, without the columns that nobody asks for."""
+    path = folder(spark, "tensors")
+    tensors.write(table(spark, d, "embeddings"), path)
+    back = tensors.read(spark, path, ["vec_id", "label", "embedding"]).filter("vec_id >= 0")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return back.select("vec_id", "label", F.size("embedding").alias("dim"), F.round(total, 6).alias("total"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n, sum(o_orderkey) AS keys FROM orders GROUP BY o_orderstatus")
+def committed_batches(spark, d):
+    """Orders appended in batches, one of them twice and one without its commit: each counts once."""
+    store, orders = CommitTable(spark, folder(spark, "orders")), table(spark, d, "orders")
+    for batch in (0, 1, 0, 2):
+        store.append(f"batch-{batch}", orders.filter(F.col("o_orderkey") % 3 == batch))
+    orders.limit(5).write.parquet(f"{store.root}/data/unfinished")
+    return store.read().groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").cast("decimal(38,0)").alias("keys"))
+
+
+@query()
+def executed_plan(spark, d):
+    """The operators of a join with aggregation, with the rows that each gave; times differ from run to run and are left out."""
+    joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = P.operators(P.analyze(joined.groupBy("o_orderpriority").agg(F.sum("l_quantity").alias("quantity"))))
+    return spark.createDataFrame([(i, depth, node, n) for i, (depth, node, n, _) in enumerate(rows)], "place int, depth int, node string, rows bigint")
