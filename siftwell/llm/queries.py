@@ -24,7 +24,7 @@ from siftwell.llm.pii import BASE
 from siftwell.llm.pii import find as find_pii
 from siftwell.llm.toxicity import fit, held_out, score
 from siftwell.llm.url_filter import judge
-from siftwell.llm.word_bpe import decode, encode
+from siftwell.llm.word_bpe import encode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -258,7 +258,7 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_word_bpe")
 def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    coded = decode(encode(_table(spark, sf_dir, "documents"), tokenizer), tokenizer)
+    coded = encode(_table(spark, sf_dir, "documents"), tokenizer, decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

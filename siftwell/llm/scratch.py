@@ -65,11 +65,11 @@ class Scratch:
             for name, value in before.items():
                 conf.unset(name) if value is None else conf.set(name, value)
 
-    def keep(self, df: DataFrame, name: str, batch: int = BATCH) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, batch: int = BATCH, codec: str | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
         with self.settings(batch):
-            df.write.parquet(path)
+            df.write.options(**({"compression": codec} if codec else {})).parquet(path)
         read = self.spark.read.schema(df.schema).parquet(path)
         read.siftwell_path = path
         self.live[path] = name

@@ -2,9 +2,10 @@
 
 1. Texts are split at white space by Spark and the distinct words counted; each is encoded once, by the tokenizer file's library.
    That is exact for tokenizers that drop white space and never join what stands on both sides of it (checked, see `require_words`).
-2. Most words of a text are among the few hundred thousand most frequent ones. These are broadcast (their number and length are
-   bounded) and stand for themselves as numbers. All other words travel with their position to the word table
-   and their ids travel back, so no frequent word is ever shuffled.
+2. Most words of a text are among the million most frequent ones. Their hashes and ids are broadcast (their number and length are
+   bounded) and they stand for themselves as numbers. All other words travel with their position to the word table
+   and their ids travel back, so no frequent word is ever shuffled. No other word has the hash of a frequent one: that is checked
+   against the whole table of words, and what meets is not taken as frequent.
 3. Ids are put together by position: from the number of a frequent word, else from the row that came back for that position.
 4. Decoding joins ids with the table of pieces, which is as long as the vocabulary and so broadcast.
 """
@@ -15,7 +16,6 @@ import functools
 import json
 import os
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +26,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from siftwell.llm.scratch import Scratch
+from siftwell.llm.wordhash import all_spans
 
-#: White space that every splitter and normaliser of words agrees on.
-SPACE = r"[\x20\x09-\x0D]+"
+#: White space that every splitter and normaliser of words agrees on, as a pattern and as bytes that become spaces.
+SPACE, _SPACES = r"[\x20\x09-\x0D]+", bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 #: Words that are broadcast, at most, and the code points of one.
-FREQUENT, FREQUENT_CHARS = 1 << 19, 64
-#: Ids that are put together or decoded at once, and texts of a batch that goes back.
+FREQUENT, FREQUENT_CHARS = 1 << 20, 64
+#: Ids that are decoded at once, and texts of a batch that goes back.
 IDS, TEXTS = 1 << 22, 256
 
+_CODEC = pa.Codec("zstd", compression_level=3)
+
 
 def require_words(tokenizer: str) -> None:
     """An error unless encoding a text is the same as encoding its words one by one, and decoding joins pieces by spaces."""
@@ -62,22 +65,26 @@ def _tokenizer(path: str):
 
 
 def word_table(texts: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, n, ids) of every distinct word of texts (text)."""
+    """(word, n, hash, ids) of every distinct word of texts (text)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _tokenizer(tokenizer).encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
-            ids = pa.array([e.ids for e in found], pa.list_(pa.int32()))
-            yield pa.record_batch([batch.column(0), batch.column(1), ids], ["word", "n", "ids"])
+            words = batch.column(0).to_pylist()
+            found = [e.ids for e in _tokenizer(tokenizer).encode_batch_fast(words, add_special_tokens=False)]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+            flat = pa.array([i for x in found for i in x], pa.int32())
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            hashes = pa.array(all_spans(" ".join(words).encode())[0].view(np.int64))
+            yield pa.record_batch([batch.column(0), batch.column(1), hashes, ids], ["word", "n", "hash", "ids"])
 
     found = texts.select(F.explode(F.split("text", SPACE)).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
-    return found.mapInArrow(encode, "word string, n bigint, ids array<int>")
+    return found.mapInArrow(encode, "word string, n bigint, hash bigint, ids array<int>")
 
 
 def _frequent(table: DataFrame) -> tuple[pa.Table, DataFrame]:
-    """The most frequent words, FREQUENT of them at most, and the rest of the table. They are cut off by classes of frequency,
-    so that no more than those wanted reach the driver."""
-    short = F.length("word") <= FREQUENT_CHARS
+    """The most frequent words (hash, ids), FREQUENT of them at most, and the rest of the table (word, ids). They are cut off by
+    classes of frequency, so that no more than those wanted reach the driver."""
+    short = (F.length("word") <= FREQUENT_CHARS) & (F.col("hash") != 0)
     ranked = table.withColumn("class", F.when(short, F.floor(F.log2("n") * 16).cast("int")).otherwise(-1))
     least, total = 1 << 30, 0
     for row in ranked.filter("class >= 0").groupBy("class").count().orderBy(F.desc("class")).collect():  # about 1,000 classes at most
@@ -85,26 +92,32 @@ def _frequent(table: DataFrame) -> tuple[pa.Table, DataFrame]:
         if total > FREQUENT:
             break
         least = row["class"]
-    often = ranked.filter(F.col("class") >= least).select("word", "ids").toArrow()
-    return often, ranked.filter(F.col("class") < least).select("word", "ids")
+    often, others = ranked.filter(F.col("class") >= least), ranked.filter(F.col("class") < least)
+    twice = often.groupBy("hash").count().filter("count > 1").select("hash")
+    clash = [r["hash"] for r in others.select("hash").join(often.select("hash"), "hash", "left_semi").union(twice).distinct().collect()]
+    keep = ~F.col("hash").isin(clash) if clash else F.lit(True)
+    words = often.filter(keep).select("n", "hash", "ids").toArrow().sort_by([("n", "descending"), ("hash", "ascending")])
+    return words.select(["hash", "ids"]), ranked.filter((F.col("class") < least) | ~keep).select("word", "ids")
 
 
 class Frequent:
-    """Numbers of the frequent words, from 1, and their ids by number; 0 is any other word."""
+    """Numbers of the frequent words, from 1 by frequency, and their ids by number; 0 is any other word."""
 
     def __init__(self, table: pa.Table):
-        words = table.column("word").to_pylist()
-        self.numbers = {w.encode(): k for k, w in enumerate(words, 1)}
+        hashes = table.column("hash").to_numpy().view(np.uint64)
+        self.order = np.argsort(hashes).astype(np.uint32)
+        self.sorted = hashes[self.order]
         ids = table.column("ids").combine_chunks()
         lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
-        self.lengths = np.concatenate(([0], lengths)).astype(np.int64)
-        self.starts = np.concatenate(([0, 0], np.cumsum(lengths)[:-1])).astype(np.int64)[: len(self.lengths)]
+        self.lengths = np.concatenate(([0], lengths)).astype(np.int32)
+        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int32)
         self.flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
 
-    def code(self, text: str) -> np.ndarray:
-        words = text.encode().split()  # bytes split at the white space of SPACE
-        get = self.numbers.get
-        return np.fromiter((get(w, 0) for w in words), np.uint32, len(words))
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.sorted):
+            return np.zeros(len(hashes), np.uint32)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.order[at] + np.uint32(1), np.uint32(0))
 
 
 class _Shared:
@@ -126,13 +139,31 @@ def _frequent_of(shared: _Shared) -> Frequent:
     return _BUILT["words"]
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    """Byte by byte of all numbers: most high ones are 0 and the low ones repeat."""
-    return zlib.compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def _pack(numbers: np.ndarray) -> bytes:
+    """Byte by byte of all numbers: the high ones are mostly 0, since frequent words have low numbers."""
+    planes = numbers.view(np.uint8).reshape(-1, 4).T
+    return len(numbers).to_bytes(8, "little") + _CODEC.compress(planes.tobytes(), asbytes=True)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(_CODEC.decompress(data[8:], 4 * n, asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)
+
+
+def _numbered(texts: list[str], frequent: Frequent) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts between spaces, the number of each word, where it starts and ends, and before which word each text begins."""
+    coded = [t.encode().translate(_SPACES) for t in texts]
+    data = b" ".join(coded)
+    hashes, starts, ends = all_spans(data)
+    begin = np.cumsum([0] + [len(c) + 1 for c in coded])
+    return data, frequent.numbers(hashes), starts, ends, np.searchsorted(starts, begin)
+
+
+def _by_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for i in range(0, whole.num_rows, TEXTS):
+            yield whole.slice(i, TEXTS)
 
 
 def _rare_words(texts: DataFrame, shared: _Shared) -> DataFrame:
@@ -140,21 +171,15 @@ def _rare_words(texts: DataFrame, shared: _Shared) -> DataFrame:
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _frequent_of(shared).numbers
-        for whole in batches:
-            for i in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(i, TEXTS)
-                at, places, words = [], [], []
-                for k, text in enumerate(batch.column(2).to_pylist()):
-                    found = [(p, w) for p, w in enumerate(text.encode().split()) if w not in numbers]
-                    at += [k] * len(found)
-                    places += [p for p, _ in found]
-                    words += [w.decode() for _, w in found]
-                rows = pa.array(at, pa.int64())
-                yield pa.record_batch(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(places, pa.int32()), pa.array(words, pa.string())],
-                    ["doc_id", "same", "pos", "word"],
-                )
+        frequent = _frequent_of(shared)
+        for batch in _by_texts(batches):
+            data, numbers, starts, ends, begin = _numbered(batch.column(2).to_pylist(), frequent)
+            at = np.flatnonzero(numbers == 0)
+            of = np.searchsorted(begin, at, "right") - 1
+            words = pa.array([data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary()).cast(pa.string())
+            rows = pa.array(of)
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - begin[of]).astype(np.int32)), words]
+            yield pa.record_batch(columns, ["doc_id", "same", "pos", "word"])
 
     return texts.mapInArrow(pick, f"doc_id {kind}, same bigint, pos int, word string")
 
@@ -165,11 +190,10 @@ def _coded(texts: DataFrame, shared: _Shared) -> DataFrame:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = _frequent_of(shared)
-        for whole in batches:
-            for i in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(i, TEXTS)
-                codes = pa.array([_pack(frequent.code(t)) for t in batch.column(2).to_pylist()], pa.binary())
-                yield pa.record_batch([batch.column(0), batch.column(1), codes], ["doc_id", "same", "codes"])
+        for batch in _by_texts(batches):
+            _, numbers, _, _, begin = _numbered(batch.column(2).to_pylist(), frequent)
+            codes = pa.array([_pack(numbers[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
+            yield pa.record_batch([batch.column(0), batch.column(1), codes], ["doc_id", "same", "codes"])
 
     return texts.mapInArrow(code, f"doc_id {kind}, same bigint, codes binary")
 
@@ -181,7 +205,7 @@ def _assembled(coded: list[np.ndarray], rare: pa.Array, frequent: Frequent) -> p
     ids = rows.field("ids")
     begin = np.concatenate(([0], np.cumsum([len(c) for c in coded]))).astype(np.int64)
     numbers = np.concatenate(coded) if coded else np.zeros(0, np.uint32)
-    lengths, starts = frequent.lengths[numbers], frequent.starts[numbers]
+    lengths, starts = frequent.lengths[numbers].astype(np.int64), frequent.starts[numbers].astype(np.int64)
     at = rows.field("pos").to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(begin[:-1], of_text)
     own = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
     lengths[at] = own
@@ -193,8 +217,9 @@ def _assembled(coded: list[np.ndarray], rare: pa.Array, frequent: Frequent) -> p
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[where], pa.int32()))
 
 
-def encode(documents: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, ids): the ids that the tokenizer file's library gives for each whole text, without added, cut or padded ones.
+def encode(documents: DataFrame, tokenizer: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids): the ids that the tokenizer file's library gives for each whole text, without added, cut or padded ones; if decoded,
+    with text as `decode` gives it for these ids, in the same pass.
 
     A null text is empty; an empty text, or one of white space only, has no ids. One row comes back for each row, repeated ones and
     those without doc_id included; other columns are not read. Very long texts and words are encoded whole. No documents: no rows.
@@ -206,26 +231,27 @@ def encode(documents: DataFrame, tokenizer: str) -> DataFrame:
     # Rows that agree in both have the same words at the same positions, so that their ids are looked up once.
     texts = texts.select("doc_id", F.xxhash64("text").alias("same"), "text")
     kind = texts.schema["doc_id"].dataType.simpleString()
-    table = scratch.keep(word_table(texts, tokenizer), "words")
+    table = scratch.keep(word_table(texts, tokenizer), "words", codec="zstd")
     often, others = _frequent(table)
     shared = _Shared(spark, often)
     rare = _rare_words(texts, shared).join(others, "word")
     rare = rare.groupBy("doc_id", "same").agg(F.collect_set(F.struct("pos", "ids")).alias("rare"))
-    rare = scratch.keep(rare, "rare")
+    rare = scratch.keep(rare, "rare", codec="zstd")
     scratch.only(rare)
     coded = _coded(texts, shared)
     same = coded["doc_id"].eqNullSafe(rare["doc_id"]) & (coded["same"] == rare["same"])
     both = coded.join(rare, same, "left").select(coded["doc_id"], "codes", "rare")
 
+    known = spark.sparkContext.broadcast(pieces(tokenizer))
+
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = _frequent_of(shared)
-        for whole in batches:
-            for i in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(i, TEXTS)
-                ids = _assembled([_unpack(c) for c in batch.column(1).to_pylist()], batch.column(2), frequent)
-                yield pa.record_batch([batch.column(0), ids], ["doc_id", "ids"])
+        for batch in _by_texts(batches):
+            ids = _assembled([_unpack(c) for c in batch.column(1).to_pylist()], batch.column(2), frequent)
+            out = pa.record_batch([batch.column(0), ids], ["doc_id", "ids"])
+            yield from _with_text([out], 1, known.value) if decoded else [out]
 
-    return both.mapInArrow(assemble, f"doc_id {kind}, ids array<int>")
+    return both.mapInArrow(assemble, f"doc_id {kind}, ids array<int>{', text string' if decoded else ''}")
 
 
 def pieces(tokenizer: str) -> pa.Array:
@@ -246,26 +272,30 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     place = encoded.columns.index("ids")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
-        for whole in batches:
-            counts = np.cumsum(pc.fill_null(pc.list_value_length(whole.column(place)), 0).to_numpy(zero_copy_only=False))
-            at = 0
-            while at < whole.num_rows:
-                done = counts[at - 1] if at else 0
-                end = max(at + 1, int(np.searchsorted(counts, done + IDS, "right")))
-                batch = whole.slice(at, end - at)
-                at = end
-                ids = batch.column(place)
-                lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-                flat = ids.flatten()
-                inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
-                found = table.take(pc.if_else(inside, flat, pa.scalar(None, flat.type)))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), found)
-                yield pa.record_batch([*batch.columns, _joined(lists, ids)], [*batch.schema.names, "text"])
+        yield from _with_text(batches, place, known.value)
 
     return encoded.mapInArrow(join, StructType([*encoded.schema.fields, StructField("text", StringType())]))
 
 
+def _with_text(batches, place: int, table: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The batches and the text of the ids in the column at place, IDS of them at a time or one row."""
+    for whole in batches:
+        counts = np.cumsum(pc.fill_null(pc.list_value_length(whole.column(place)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < whole.num_rows:
+            done = counts[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(counts, done + IDS, "right")))
+            batch = whole.slice(at, end - at)
+            at = end
+            ids = batch.column(place)
+            lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+            flat = ids.flatten()
+            inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
+            found = table.take(pc.if_else(inside, flat, pa.scalar(None, flat.type)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), found)
+            yield pa.record_batch([*batch.columns, _joined(lists, ids)], [*batch.schema.names, "text"])
+
+
 def _joined(lists: pa.ListArray, ids: pa.Array) -> pa.Array:
     """The strings of each list, joined by spaces without the nulls; null where ids is."""
     present = lists.flatten()

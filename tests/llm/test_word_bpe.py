@@ -38,8 +38,10 @@ def test_matches_the_library(spark, monkeypatch, frequent):
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "of none"), (None, "of none"), (None, None), (3, texts[3]), (3, "other text, same id"), (4, texts[3])]
     d = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' AS word", "doc_id AS same", "1 AS pos", "text AS ids", "2 AS codes")
     got = W.decode(W.encode(d, PATH), PATH).collect()
-    expected = [(i, ids, text) for (i, _), (ids, text) in zip(rows, library([t for _, t in rows]), strict=True)]
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    both = W.encode(d, PATH, decoded=True).collect()
+    assert sorted(map(tuple, both), key=key) == sorted(map(tuple, got), key=key)
+    expected = [(i, ids, text) for (i, _), (ids, text) in zip(rows, library([t for _, t in rows]), strict=True)]
     assert sorted(((r["doc_id"], r["ids"], r["text"]) for r in got), key=key) == sorted(expected, key=key)
 
 
@@ -91,5 +93,28 @@ def test_codes_round_trip():
 
     for codes in (np.zeros(0, np.uint32), np.array([0, 1, 255, 256, 70_000, 2**32 - 1], np.uint32)):
         assert W._unpack(W._pack(codes)).tolist() == codes.tolist()
-    empty = W.Frequent(pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))}))
-    assert empty.code("a b").tolist() == [0, 0] and empty.lengths.tolist() == [0]
+    empty = W.Frequent(pa.table({"hash": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))}))
+    assert empty.numbers(np.array([5], np.uint64)).tolist() == [0] and empty.lengths.tolist() == [0]
+
+
+def test_words_whose_hashes_meet_are_not_taken_as_frequent(spark):
+    rows = [("a", 9, 5, [1]), ("b", 8, 6, [2]), ("c", 7, 6, [3]), ("d" * 70, 50, 5, [4]), ("e", 3, 7, [5])]
+    often, others = W._frequent(spark.createDataFrame(rows, "word string, n bigint, hash bigint, ids array<int>"))
+    assert often.to_pylist() == [{"hash": 7, "ids": [5]}]
+    assert sorted(r["word"] for r in others.collect()) == ["a", "b", "c", "d" * 70]
+
+
+def test_spans_in_blocks_are_those_of_the_whole(monkeypatch):
+    import numpy as np
+
+    from siftwell.llm import wordhash as H
+
+    rng = random.Random(3)
+    data = " ".join(rng.choice(["a", "wörd", "x" * 5, " "]) for _ in range(800)).encode() + b" " + b"y" * 900 + b" end"
+    whole = H.word_spans(data)
+    monkeypatch.setattr(H, "BLOCK", 100)
+    hashes, starts, ends = H.all_spans(data)
+    assert np.array_equal(starts, whole[1]) and np.array_equal(ends, whole[2])
+    long = ends - starts > 100
+    assert np.array_equal(hashes[~long], whole[0][~long]) and (hashes[long] == 0).all() and long.sum() == 1
+    assert [len(x) for x in H.all_spans(b"")] == [0, 0, 0]
