@@ -82,24 +82,40 @@ def breakpoints(vectors: DataFrame, group: str, position: str, vector: str, kind
     return d.withColumn("threshold", threshold).withColumn("cut", F.coalesce(value > F.col("threshold"), F.lit(False))).select(group, position, "distance", "threshold", "cut")
 
 
+def _moved(left: list[int], right: list[int], near: int) -> tuple[float, int]:
+    """The cheapest way to turn the boundaries left into right, neither having one of the other's: (cost, moves). A boundary that comes
+    or goes costs 1, one that moves by d < near places costs d / near; of equal costs, fewer moves. Boundaries that are
+    near or more apart do not touch each other, so each cluster is solved by itself."""
+    both = sorted([(p, 0) for p in left] + [(q, 1) for q in right])
+    cost, moves, at = 0.0, 0, 0
+    while at < len(both):
+        end = at + 1
+        while end < len(both) and both[end][0] - both[end - 1][0] < near:
+            end += 1
+        x, y = ([p for p, side in both[at:end] if side == s] for s in (0, 1))
+        at = end
+        # Moves never cross: of two crossing ones the straight pair costs no more.
+        row = [(float(j), 0) for j in range(len(y) + 1)]
+        for i, p in enumerate(x):
+            new = [(i + 1.0, 0)]
+            for j, q in enumerate(y):
+                ways = [(row[j + 1][0] + 1, row[j + 1][1]), (new[j][0] + 1, new[j][1])]
+                if abs(p - q) < near:
+                    ways.append((row[j][0] + abs(p - q) / near, row[j][1] + 1))
+                new.append(min(ways))
+            row = new
+        cost, moves = cost + row[-1][0], moves + row[-1][1]
+    return cost, moves
+
+
 def boundary_similarity(a: list[int], b: list[int], near: int = 2) -> float:
-    """Boundary similarity of two segmentations, given by segment lengths: 1 less the share of boundaries that differ, where boundaries up to
-    near - 1 places apart count as moved, by distance."""
+    """Boundary similarity of two segmentations, given by segment lengths: 1 less the cost of the fewest edits (see _moved) over the
+    boundaries that are equal, move, come or go."""
     x, y = set(np.cumsum(a)[:-1].tolist()), set(np.cumsum(b)[:-1].tolist())
     same = x & y
-    left, right = sorted(x - same), sorted(y - same)
-    moved = 0.0
-    pairs = 0
-    for p in list(left):
-        close = [q for q in right if abs(q - p) < near]
-        if close:
-            q = min(close, key=lambda q: abs(q - p))
-            moved += abs(q - p) / near
-            pairs += 1
-            left.remove(p)
-            right.remove(q)
-    total = len(same) + pairs + len(left) + len(right)
-    return 1.0 if not total else 1.0 - (len(left) + len(right) + moved) / total
+    cost, moves = _moved(sorted(x - same), sorted(y - same), near)
+    total = len(same) + len(x - same) + len(y - same) - moves
+    return 1.0 if not total else 1.0 - cost / total
 
 
 def compare(segmentations: DataFrame, near: int = 2) -> DataFrame:
