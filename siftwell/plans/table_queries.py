@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import dates as D
 from siftwell.functions import text as X
 from siftwell.functions import vectors as V
+from siftwell.operators import extract as E
 from siftwell.operators import learn as L
 from siftwell.operators import merge as M
 from siftwell.operators import ranking as R
@@ -783,3 +784,31 @@ def executed_plan(spark, d):
     joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = P.operators(P.analyze(joined.groupBy("o_orderpriority").agg(F.sum("l_quantity").alias("quantity"))))
     return spark.createDataFrame([(i, depth, node, n) for i, (depth, node, n, _) in enumerate(rows)], "place int, depth int, node string, rows bigint")
+
+
+@query()
+def extraction_chain(spark, d):
+    """Whether each document's first line is a sentence, and the years that its parentheses name: calls with conditions between them."""
+    first = table(spark, d, "documents").select("doc_id", F.coalesce(F.substring_index("text", "\n", 1), F.lit("")).alias("sentence"))
+    found = E.chain(first, E.citation_steps(), concurrency=4)
+    return found.select("doc_id", "valid", F.size("substrings").alias("n"), "masked", F.array_join("trace", ", ").alias("trace"))
+
+
+_ENDS = "list_transform(string_split(regexp_replace(text, '([.?!]\\s)(\\S)', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: length(s))"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, {_ENDS} AS a, length(text) AS n FROM documents WHERE length(text) > 0),
+w AS (SELECT doc_id, a, list_concat(list_transform(range(1, n // 200 + 1), lambda i: CAST(200 AS BIGINT)), CASE WHEN n % 200 > 0 THEN [n % 200] ELSE [] END) AS b FROM s),
+c AS (SELECT doc_id, list_transform(range(1, len(a)), lambda i: list_sum(a[1:i])) AS x, list_transform(range(1, len(b)), lambda i: list_sum(b[1:i])) AS y FROM w),
+o AS (SELECT doc_id, len(list_intersect(x, y)) AS same, len(x) + len(y) AS total FROM c)
+SELECT doc_id, round(CASE WHEN total = 0 THEN 1.0 ELSE CAST(same AS DOUBLE) / (total - same) END, 9) AS similarity FROM o"""
+)
+def boundary_similarity(spark, d):
+    """Sentence ends against cuts at every 200 characters; with near = 1 no boundary moves, which SQL can state."""
+    text = table(spark, d, "documents").filter("length(text) > 0")
+    n = F.length("text")
+    whole = F.when(n >= 200, F.array_repeat(F.lit(200), F.floor(n / 200).cast("int"))).otherwise(F.array().cast("array<int>"))
+    rest = F.when(n % 200 > 0, F.array(n % 200)).otherwise(F.array().cast("array<int>"))
+    lengths = text.select("doc_id", F.transform(X.sentences(F.col("text")), lambda s: F.length(s)).alias("lengths_a"), F.concat(whole, rest).alias("lengths_b"))
+    return G.compare(lengths, near=1).select("doc_id", F.round("boundary_similarity", 9).alias("similarity"))
