@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.scratch import Scratch, maybe_broadcast, small_batches
-from siftwell.llm.stars import Confirm, link
+from siftwell.llm.stars import Confirm, Elements, link
 from siftwell.llm.wordhash import mix64, shingles, word_hashes
 
 #: Rows and bands: a pair of similarity 0.8 shares no band with a probability of (1 - 0.8^5)^25 = 0.00005.
@@ -158,6 +158,18 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(confirm, "u binary, v binary")
 
 
+def _elements(sets: DataFrame) -> DataFrame:
+    """(node, size, element) of sets (fp, hashes)."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "x"])
+
+    own = sets.select("fp", "hashes").mapInArrow(unpack, "node binary, x array<bigint>")
+    return own.select("node", F.size("x").alias("size"), F.explode("x").alias("element"))
+
+
 def classify(documents: DataFrame, n_words: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """Each row of documents as (doc_id, n_shingles, component_id, kept); other columns are not read.
 
@@ -176,14 +188,15 @@ def classify(documents: DataFrame, n_words: int = 5, percent: int = 80, scratch:
     classes = scratch.keep(classes, "classes")
     sketches = classes.select(F.col("fp").alias("node"), F.col("n_shingles").alias("size"), *[F.get("bits", F.lit(j)).alias(f"w{j}") for j in range(WORDS)])
 
-    def prepare(nodes: DataFrame) -> Confirm:
+    def prepare(nodes: DataFrame) -> tuple[Confirm, Elements]:
         chosen = scratch.keep(classes.select("fp", "doc_id").join(nodes, classes["fp"] == nodes["node"], "left_semi"), "chosen")
         n_chosen = chosen.count()
         ids = maybe_broadcast(chosen.select(F.col("doc_id").alias("chosen_id")).distinct(), n_chosen, 32)
         sets = _sets(documents.join(ids, documents["doc_id"].eqNullSafe(ids["chosen_id"]), "left_semi"), n_words)
         sets = sets.join(maybe_broadcast(chosen.select("fp"), n_chosen, 48), "fp", "left_semi").dropDuplicates(["fp"])
         sets = scratch.keep(sets, "sets")
-        return lambda pairs: _linked(pairs, sets, percent)
+        of = lambda nodes: _elements(sets.join(nodes.withColumnRenamed("node", "fp"), "fp", "left_semi"))
+        return (lambda pairs: _linked(pairs, sets, percent)), of
 
     bands = classes.select(F.explode("bands").alias("key"), F.col("fp").alias("node"))
     roots = scratch.keep(link(bands, sketches, percent, prepare, scratch), "roots")

@@ -2,16 +2,18 @@
 
 Small buckets propose every pair. In a large bucket edges from a few centres to the members that are not in their component
 are proposed, so pairs grow with the members, not with their square. Rounds repeat with other centres while the pairs that they
-would leave are many; then every pair of a bucket that is still in two components is tried. An exact bound on bitmaps of
-the sets passes over pairs that cannot be linked, before anything large is read for them. So in the end no pair is left
-untried, and the rounds only save work.
+would leave are many and they find links. What is then still in two components of one bucket meets through the elements of the sets:
+two sets of the wanted similarity share an element among the first few of each in one order of all elements (prefix
+filter), and the order puts first what only one component holds, then what is rare. So no pair that can be linked is left untried, members that
+are alike in their bands only never meet, and the rounds only save work. An exact bound on bitmaps of the sets passes over pairs that cannot
+be linked, before anything large is read for them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.components import components
@@ -24,11 +26,13 @@ CENTRES = 2
 #: The last pass takes over once it has at most so many pairs for each member, or from a round whose links are fewer than
 #: this share of all. Both change the work, not the result.
 PAIRS, PROGRESS = 64, 0.002
-#: Members of a large bucket that a task pairs with the others at once.
+#: Members that hold one element and that a task pairs with the others at once.
 CHUNK = 512
 
 
+#: Of pairs (u, v) those that are similar enough; of nodes (node) the elements of their sets (node, size, element).
 Confirm = Callable[[DataFrame], DataFrame]
+Elements = Callable[[DataFrame], DataFrame]
 
 
 def _dice(seed: int) -> Column:
@@ -73,20 +77,30 @@ def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(_near(words, percent)).select("u", "v")
 
 
-def _untried(now: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of a bucket in two components that may be linked, each from the first of the buckets that its nodes share. A
-    large bucket is dealt over chunks, each met by all of it."""
+def _untried(now: DataFrame, sketches: DataFrame, percent: int, elements: Elements, scratch: Scratch) -> DataFrame:
+    """The pairs (u, v) of two components that may be linked, among the nodes of buckets that hold several components.
+
+    Of sets of x and y elements that reach the similarity, at least percent * x / 100 elements are common, so one of them is among the
+    first x - that + 1 of either set, in whatever order of all elements. An element that many hold is dealt over chunks."""
     several = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    words = _words(sketches)
-    own = now.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    open_ = now.select("key", "node", "root", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")).join(several, "key", "left_semi")
-    open_ = open_.join(sketches, "node").join(own, "node")
-    side = lambda x, chunk: open_.select("key", chunk.alias("chunk"), *[F.col(c).alias(f"{x}_{c}") for c in ["node", "root", "size", *words, "keys"]])
+    nodes = scratch.keep(now.join(several, "key", "left_semi").select("node", "root").distinct(), "open")
+    held = scratch.keep(elements(nodes.select("node")).join(nodes, "node").select("node", "root", "size", "element"), "elements")
+    known = held.groupBy("element").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    known = known.select("element", F.when(F.col("low") == F.col("high"), 0).otherwise(F.col("n")).alias("n"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "element"))
+    first = held.join(known, "element").withColumn("place", place)
+    first = first.filter((F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100 - 1e-9) + 1) & (F.col("n") > 0))
+    first = scratch.keep(first.select("element", "node", "root", "size"), "prefixes")
+    scratch.drop(held)
+    chunks = first.groupBy("element").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.min("root").alias("low"), F.max("root").alias("high"))
+    met = first.join(chunks.filter("low <> high").select("element", "chunks"), "element")
+    side = lambda x, chunk: met.select("element", chunk.alias("chunk"), *[F.col(c).alias(f"{x}_{c}") for c in ("node", "root", "size")])
     ours = side("u", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     theirs = side("v", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = ours.join(theirs, ["key", "chunk"]).filter("u_node < v_node and u_root <> v_root").filter(_near(words, percent))
-    met = met.filter(F.col("key") == F.array_min(F.array_intersect("u_keys", "v_keys")))
-    return met.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    pairs = ours.join(theirs, ["element", "chunk"]).filter("u_node < v_node and u_root <> v_root")
+    pairs = pairs.filter(100 * F.least("u_size", "v_size") >= percent * F.greatest("u_size", "v_size"))
+    pairs = pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct()
+    return possible(pairs, sketches, percent)
 
 
 def _open(now: DataFrame) -> tuple[int, int]:
@@ -97,14 +111,14 @@ def _open(now: DataFrame) -> tuple[int, int]:
     return row["m"] or 0, int(row["pairs"] or 0)
 
 
-def link(bands: DataFrame, sketches: DataFrame, percent: int, prepare: Callable[[DataFrame], Confirm], scratch: Scratch) -> DataFrame:
+def link(bands: DataFrame, sketches: DataFrame, percent: int, prepare: Callable[[DataFrame], tuple[Confirm, Elements]], scratch: Scratch) -> DataFrame:
     """(node, root) for every node that a confirmed link joins to others.
 
-    bands: (key, node), distinct. sketches: see possible(). prepare: given the nodes (column node, distinct) that may be asked for, returns a function
-    that keeps, of pairs (u, v), those at least percent similar.
+    bands: (key, node), distinct. sketches: see possible(). prepare: given the nodes (column node, distinct) that may be asked for, returns the
+    functions for pairs and for elements.
 
     The first round tries all pairs of small buckets, and in large ones each node with the node that meets most others and one
-    taken by chance. Later rounds take other centres in the large buckets that hold several components, and a last pass all other pairs."""
+    taken by chance. Later rounds take other centres in the large buckets that hold several components, and a last pass all pairs left."""
     sized = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v")).filter("n > 1")
     sized = scratch.keep(sized, "buckets")
     more = sized.filter("n > 2").select("key", "n")
@@ -117,7 +131,7 @@ def link(bands: DataFrame, sketches: DataFrame, percent: int, prepare: Callable[
     first = scratch.keep(possible(first, sketches, percent), "pairs")
     scratch.drop(sized, members)
     ends = first.select(F.col("u").alias("node")).unionByName(first.select(F.col("v").alias("node"))).unionByName(large.select("node"))
-    confirm = prepare(ends.distinct())
+    confirm, elements = prepare(ends.distinct())
     links = scratch.keep(confirm(first), "links")
     scratch.drop(first)
     if links.isEmpty() and large.isEmpty():
@@ -141,7 +155,7 @@ def link(bands: DataFrame, sketches: DataFrame, percent: int, prepare: Callable[
         if fresh <= PROGRESS * links.count():
             now = scratch.keep(_rooted(large, roots), "rooted")
             break
-    found = scratch.keep(confirm(_untried(now, sketches, percent)), "links")
+    found = scratch.keep(confirm(_untried(now, sketches, percent, elements, scratch)), "links")
     return roots if found.isEmpty() else components(links.unionByName(found), scratch)
 
 

@@ -96,10 +96,51 @@ def test_last_pass_tries_pairs_without_a_centre(spark, monkeypatch):
     sketches = spark.createDataFrame([(i, 10, 1 << (i // 12)) for i in range(n)], "node bigint, size bigint, w0 bigint")
     for chunk in (512, 7):
         monkeypatch.setattr(stars, "CHUNK", chunk)
-        roots = stars.link(bands, sketches, 80, lambda nodes: lambda pairs: pairs.join(linked, ["u", "v"], "left_semi"), Scratch(spark))
+        # Nodes 0 and 1, 2 and 3 ... have equal sets; only some of these pairs are confirmed.
+        elements = lambda nodes: nodes.selectExpr("node", "10 AS size", "explode(sequence(0, 9)) AS e").selectExpr("node", "size", "node div 2 * 10 + e AS element")
+        confirm = lambda pairs: pairs.join(linked, ["u", "v"], "left_semi")
+        roots = stars.link(bands, sketches, 80, lambda nodes: (confirm, elements), Scratch(spark))
         assert {r["node"]: r["root"] for r in roots.collect()} == {i + j: i for i in range(0, n, 12) for j in (0, 1)}
 
 
+def test_last_pass_finds_all_links_of_one_bucket(spark, monkeypatch):
+    """Sets of many sizes, all in one bucket: some nearly equal, many that share half of their elements. Rounds are switched off."""
+    import random
+
+    from siftwell.llm import stars
+
+    monkeypatch.setattr(stars, "PAIRS", 1 << 40)
+    rng = random.Random(8)
+    common = list(range(30))
+    sets = []
+    for i in range(40):
+        base = set(rng.sample(common, rng.randint(5, 25))) | {1000 + 50 * i + j for j in range(rng.randint(1, 30))}
+        for _ in range(rng.randint(1, 5)):
+            sets.append({x for x in base if rng.random() < 0.95} | ({9000 + len(sets)} if rng.random() < 0.5 else set()))
+    n = len(sets)
+    exact = [(u, v) for u in range(n) for v in range(u + 1, n) if 100 * len(sets[u] & sets[v]) >= 80 * len(sets[u] | sets[v])]
+    root = list(range(n))
+    for _ in range(n):
+        for u, v in exact:
+            root[u] = root[v] = min(root[u], root[v])
+    bands = spark.createDataFrame([("a", i) for i in range(n)], "key string, node bigint")
+    sketches = spark.createDataFrame([(i, len(x), 0) for i, x in enumerate(sets)], "node bigint, size bigint, w0 bigint")
+    held = spark.createDataFrame([(i, len(x), y) for i, x in enumerate(sets) for y in x], "node bigint, size int, element bigint")
+    linked = spark.createDataFrame(exact, "u bigint, v bigint")
+    tried = []
+
+    def confirm(pairs):
+        tried.append(pairs.count())
+        return pairs.join(linked, ["u", "v"], "left_semi")
+
+    for chunk in (512, 3):
+        monkeypatch.setattr(stars, "CHUNK", chunk)
+        roots = stars.link(bands, sketches, 80, lambda nodes: (confirm, lambda own: held.join(own, "node", "left_semi")), Scratch(spark))
+        got = {r["node"]: r["root"] for r in roots.collect()}
+        assert [got.get(i, i) for i in range(n)] == root
+    assert tried[1] == tried[3] < n * (n - 1) / 2 / 4  # far fewer pairs than all
+
+
 def test_bitmaps_rule_out_no_linked_pair():
     import numpy as np
 
