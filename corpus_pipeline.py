@@ -23,14 +23,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One line of each component of near-equal lines of 20 characters or more stays. A document that loses its last words goes."""
+    """One line of each component of equal or near-equal lines stays; shorter ones than 20 characters must be equal. A document that
+    loses its last words goes."""
     left = remove_lines(docs, min_chars=20)
     emptied = (F.col("n_removed") > 0) & (F.regexp_replace("text", r"\s+", "") == "")
     return left.filter(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group stays: five-word shingles, similarity of 0.8 or more, as all stages on word shingles take them (the four words of
+    op7_near_dedup are that query's contract)."""
     return deduplicate(docs, n_words=5, percent=80)
 
 
@@ -54,7 +56,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each result is written and read back before the next stage."""
+    """The stages applied to documents; each result is written and read back before the next stage.
+
+    Null and empty texts pass all stages and are packed as their end id. Of rows that repeat a doc_id and its text one stays, unless they have no
+    words: such rows all stay. A null doc_id is kept like any other; ties fall to the smallest doc_id. No documents: no rows. Stages keep all columns
+    until the last, whose columns are those of the pieces."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
