@@ -29,8 +29,8 @@ from siftwell.llm.scratch import Scratch
 from siftwell.llm.wordhash import mix64, word_spans
 
 #: Rows of the sketch, and the binary logarithms of the least and the largest number of counters in one. The largest sketch takes
-#: 128 MB of a worker while it is built and 16 MB when broadcast, whatever the corpus.
-ROWS, LEAST_BITS, MOST_BITS = 2, 16, 26
+#: 128 MB of a worker while it is built and 32 MB when broadcast, whatever the corpus.
+ROWS, LEAST_BITS, MOST_BITS = 2, 16, 27
 #: Counters that travel as one row.
 COUNTERS = 1 << 16
 #: Summed in two steps where there are more tasks than this.
@@ -115,14 +115,59 @@ def _passing(phrases: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray, bi
     return out
 
 
+class Counters:
+    """ROWS arrays of 2 ** bits counters that stop at least: two in a byte, if 4 bits are enough for each."""
+
+    def __init__(self, bits: int, least: int):
+        self.bits, self.least, self.packed = bits, least, least < 16
+        self.data = np.zeros((ROWS, (1 << bits) >> self.packed), self.kind(least))
+
+    @staticmethod
+    def kind(least: int) -> type:
+        return np.uint8 if least < 256 else np.uint32
+
+    @staticmethod
+    def most_bits(least: int) -> int:
+        """As many as take the room of 2 ** MOST_BITS packed ones."""
+        return MOST_BITS - (0 if least < 16 else 1 if least < 256 else 3)
+
+    def add(self, row: int, at: np.ndarray, n: np.ndarray) -> None:
+        """at: distinct places."""
+        data = self.data[row]
+        if not self.packed:
+            data[at] = np.minimum(data[at] + n, self.least)
+            return
+        for shift in (0, 4):
+            own = (at & 1) == shift >> 2
+            place = at[own] >> 1
+            old = data[place]
+            new = np.minimum((old >> shift & 15) + n[own], self.least).astype(np.uint8)
+            data[place] = old & (0xF0 >> shift) | new << shift
+
+    def blocks(self) -> Iterator[tuple[int, bytes]]:
+        """Numbers and contents of the blocks that count anything."""
+        for block, part in enumerate(self.data.reshape(-1, min(COUNTERS, self.data.shape[1]))):
+            if part.any():
+                yield block, part.tobytes()
+
+    @staticmethod
+    def read(block: bytes, least: int) -> np.ndarray:
+        data = np.frombuffer(block, Counters.kind(least))
+        return np.stack([data & 15, data >> 4], 1).reshape(-1) if least < 16 else data
+
+    @staticmethod
+    def write(counts: np.ndarray, least: int) -> bytes:
+        data = counts.astype(Counters.kind(least))
+        return (data[0::2] | data[1::2] << 4 if least < 16 else data).tobytes()
+
+
 def sketch(texts: DataFrame, longest: int, least: int, bits: int) -> np.ndarray:
     """ROWS arrays of 2 ** bits bits, packed: whether the phrases of that counter reach least together."""
-    kind = np.uint8 if least <= 255 else np.uint32
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counters = np.zeros((ROWS, 1 << bits), kind)
+        counters = Counters(bits, least)
         for lang, data in blocks(batches):
             for values, there in phrases_of(lang, data, longest).of:
                 values, n = np.unique(values[there], return_counts=True)
@@ -134,22 +179,19 @@ def sketch(texts: DataFrame, longest: int, least: int, bits: int) -> np.ndarray:
                     at, own = at[order], n[order]
                     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
                     own = np.add.reduceat(own, first) if len(at) else own
-                    at = at[first]
-                    counters[row][at] = np.minimum(counters[row][at] + own, least)
+                    counters.add(row, at[first], own)
         task = TaskContext.get().partitionId()
-        width = min(COUNTERS, 1 << bits)
-        for block, part in enumerate(counters.reshape(-1, width)):
-            if part.any():
-                yield pa.record_batch([pa.array([block], pa.int32()), pa.array([task], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "task", "counts"])
+        for block, part in counters.blocks():
+            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([task], pa.int32()), pa.array([part], pa.binary())], ["block", "task", "counts"])
 
     def total(frame: pd.DataFrame) -> np.ndarray:
-        out = np.zeros(len(frame["counts"].iloc[0]) // kind().itemsize, np.int64)
+        out = np.zeros(1, np.int64)
         for part in frame["counts"]:
-            out = np.minimum(out + np.frombuffer(part, kind), least)
+            out = np.minimum(out + Counters.read(part, least), least)
         return out
 
     def summed(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": frame["block"].iloc[:1], "task": [0], "counts": [total(frame).astype(kind).tobytes()]})
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "task": [0], "counts": [Counters.write(total(frame), least)]})
 
     def reached(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": frame["block"].iloc[:1], "bits": [np.packbits(total(frame) >= least, bitorder="little").tobytes()]})
@@ -332,7 +374,7 @@ def collocations(
     texts = documents.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     single = scratch.keep(words(texts), "words")
     n_words = single.agg(F.sum("f")).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, n_words.bit_length()))
+    bits = min(Counters.most_bits(least), max(LEAST_BITS, n_words.bit_length()))
     with scratch.settings():
         table = spark.sparkContext.broadcast(sketch(texts, longest, least, bits))
     # In order, so that runs that begin alike meet in one automaton: fewer patterns, and fewer counts of the same phrase from many tasks.

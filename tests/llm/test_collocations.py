@@ -61,8 +61,8 @@ def test_matches_brute_force(spark, monkeypatch, shard, kw):
 
 
 def test_a_sketch_that_is_far_too_small_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(C, "LEAST_BITS", 4)
-    monkeypatch.setattr(C, "MOST_BITS", 4)
+    monkeypatch.setattr(C, "LEAST_BITS", 7)
+    monkeypatch.setattr(C, "MOST_BITS", 7)
     monkeypatch.setattr(C, "FAN_IN", 2)
     docs = corpus(9, 60)
     assert rows(spark, docs) == brute(docs)
@@ -82,6 +82,21 @@ def test_long_runs_are_cut_so_that_each_phrase_lies_in_one_part():
             assert dict(zip(phrases, got.tolist(), strict=True)) == {p: 2 * c for p, c in real.items()}
 
 
+@pytest.mark.parametrize("least", [2, 10, 15, 16, 200, 255, 256, 70_000])
+def test_counters_stop_at_the_threshold(least):
+    rng = np.random.default_rng(least)
+    counters, plain = C.Counters(8, least), np.zeros((C.ROWS, 256), np.int64)
+    for _ in range(40):
+        at = rng.choice(256, 60, replace=False)
+        n = np.minimum(rng.integers(1, 2 * least, 60), least)
+        for row in range(C.ROWS):
+            counters.add(row, at, n)
+            plain[row, at] = np.minimum(plain[row, at] + n, least)
+        read = np.concatenate([C.Counters.read(b, least) for _, b in counters.blocks()]) if counters.data.any() else []
+        assert read.tolist() == plain.reshape(-1).tolist()
+    assert C.Counters.read(C.Counters.write(plain[0], least), least).tolist() == plain[0].tolist()
+
+
 def test_scores_beyond_64_bits(spark):
     big = 4 * 10**12
     phrases = spark.createDataFrame([("en", "a b", big - 1), ("en", "b c", 10)], "lang string, phrase string, f bigint")
