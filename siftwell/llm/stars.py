@@ -90,17 +90,19 @@ def _untried(now: DataFrame, sketches: DataFrame, percent: int, elements: Elemen
     place = F.row_number().over(Window.partitionBy("node").orderBy("n", "element"))
     first = held.join(known, "element").withColumn("place", place)
     first = first.filter((F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100 - 1e-9) + 1) & (F.col("n") > 0))
-    first = scratch.keep(first.select("element", "node", "root", "size"), "prefixes")
+    words = _words(sketches)
+    first = first.select("element", "node", "root", F.col("size").alias("own")).join(sketches, "node")
+    first = scratch.keep(first, "prefixes")
     scratch.drop(held)
     chunks = first.groupBy("element").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.min("root").alias("low"), F.max("root").alias("high"))
     met = first.join(chunks.filter("low <> high").select("element", "chunks"), "element")
-    side = lambda x, chunk: met.select("element", chunk.alias("chunk"), *[F.col(c).alias(f"{x}_{c}") for c in ("node", "root", "size")])
+    side = lambda x, chunk: met.select("element", chunk.alias("chunk"), *[F.col(c).alias(f"{x}_{c}") for c in ("node", "root", "own", "size", *words)])
     ours = side("u", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     theirs = side("v", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pairs = ours.join(theirs, ["element", "chunk"]).filter("u_node < v_node and u_root <> v_root")
-    pairs = pairs.filter(100 * F.least("u_size", "v_size") >= percent * F.greatest("u_size", "v_size"))
-    pairs = pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct()
-    return possible(pairs, sketches, percent)
+    # Ruled out by size and bitmap inside the join, before anything is written or made distinct.
+    pairs = pairs.filter(100 * F.least("u_own", "v_own") >= percent * F.greatest("u_own", "v_own")).filter(_near(words, percent))
+    return pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct()
 
 
 def _open(now: DataFrame) -> tuple[int, int]:
