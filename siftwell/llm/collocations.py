@@ -37,6 +37,8 @@ COUNTERS = 1 << 16
 FAN_IN = 64
 #: Bytes of text that are hashed together, distinct rows that a task holds before it gives them out, runs of one automaton.
 BLOCK, HELD, SHARD = 1 << 19, 400_000, 100_000
+#: Counted phrases that a task sums over its shards before it gives them out.
+COUNTED = 600_000
 #: Longer runs are cut into overlapping parts; a phrase belongs to the part that its first word belongs to.
 RUN_WORDS = 32
 
@@ -312,21 +314,31 @@ def counted(found: DataFrame, table, longest: int, bits: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        sums: dict[str, Counter] = {}
         for batch in batches:
             for i in range(0, batch.num_rows, shard):
                 held.append(batch.slice(i, shard))
                 if sum(b.num_rows for b in held) >= shard:
-                    yield from given(held)
+                    add(held, sums)
                     held = []
-        yield from given(held)
-
-    def given(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    if sum(map(len, sums.values())) > COUNTED:
+                        yield from given(sums)
+                        sums = {}
+        add(held, sums)
+        yield from given(sums)
+
+    def add(held: list[pa.RecordBatch], sums: dict[str, Counter]) -> None:
+        """Counts one shard."""
         frame = pa.Table.from_batches(held).to_pandas() if held else pd.DataFrame({"lang": []})
         for lang, rows in frame.groupby("lang"):
             own = rows["run"].tolist()
             names = _candidates(lang, own, table.value, longest, bits)
             counts = _scan(own, rows["own"].to_numpy(np.int64), rows["weight"].to_numpy(np.int64), names)
-            yield pa.record_batch([pa.array([lang] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(counts)], ["lang", "phrase", "f"])
+            sums.setdefault(lang, Counter()).update(dict(zip(names, counts.tolist(), strict=True)))
+
+    def given(sums: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, own in sums.items():
+            yield pa.record_batch([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["lang", "phrase", "f"])
 
     return found.mapInArrow(scan, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
