@@ -15,6 +15,8 @@ SETTING = "spark.checkpoint.dir"
 #: Spark removes a query's shuffle files at its end; else they stay until the driver happens to collect its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: The temporary folder of each application that has no setting.
+_OWN: dict[str, str] = {}
 
 BATCH_SETTING, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
@@ -26,8 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError(f"{SETTING} must name a folder that all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='siftwell-')}"
-        spark.conf.set(SETTING, named)
+        app = spark.sparkContext.applicationId
+        named = _OWN[app] if app in _OWN else _OWN.setdefault(app, f"file://{tempfile.mkdtemp(prefix='siftwell-')}")
     return named.rstrip("/")
 
 
