@@ -33,8 +33,17 @@ def scaled(a: Column, by: Column) -> Column:
 
 def normalized(a: Column) -> Column:
     """Of length one; a zero vector stays as it is."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
+    # Vector and norm are bound by outer lambdas: else they would be computed again for each element.
+    by = lambda v, n: F.transform(v, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
+    of = F.transform(F.array(a), lambda v: F.get(F.transform(F.array(norm(v)), lambda n: by(v, n)), F.lit(0)))
+    return F.get(of, F.lit(0))
+
+
+def rounded(x: Column | str, places: int) -> Column:
+    """A double rounded half up; what rounds to zero keeps its sign, as in SQL engines that round in floating point."""
+    x = F.col(x) if isinstance(x, str) else x
+    near = F.round(x, places)
+    return F.when(near == 0, x * F.lit(0.0)).otherwise(near)
 
 
 def added(a: Column, b: Column) -> Column:

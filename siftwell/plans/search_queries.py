@@ -55,7 +55,7 @@ _SHOW = "SELECT qid, CAST(rank AS INTEGER) AS rank, pid, round(score, 6) AS scor
 
 
 def _shown(hits: DataFrame) -> DataFrame:
-    return hits.select("qid", "rank", "pid", F.round("score", 6).alias("score"))
+    return hits.select("qid", "rank", "pid", V.rounded("score", 6).alias("score"))
 
 
 @query(_top() + _SHOW)
@@ -71,7 +71,7 @@ def knn_l2(spark, d):
 @query(_top(by="cosine") + "SELECT qid, CAST(rank AS INTEGER) AS rank, pid, round(1 - score, 6) AS distance FROM h")
 def knn_cosine_distance(spark, d):
     h = _hits(spark, d, metric="COSINE")
-    return h.select("qid", "rank", "pid", F.round(1 - F.col("score"), 6).alias("distance"))
+    return h.select("qid", "rank", "pid", V.rounded(1 - F.col("score"), 6).alias("distance"))
 
 
 @query(_top(where="pubdate <= qdate") + _SHOW)
@@ -210,7 +210,7 @@ _SCORES = """, c AS (SELECT qid, rank, pid, doc, 1.0 / rank AS score_reciprocal_
 @query(_top() + _SCORES + "SELECT qid, CAST(rank AS INTEGER) AS rank, pid, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("score_reciprocal_rank", "score_retrieval_count", "score_log_citations", "score_negative_log_years_old", "score_similarity")) + " FROM c")
 def apply_metrics_all(spark, d):
     s = _scored(spark, d)
-    return s.select("qid", "rank", "pid", *[F.round(c, 6).alias(c) for c in s.columns if c.startswith("score_")])
+    return s.select("qid", "rank", "pid", *[V.rounded(c, 6).alias(c) for c in s.columns if c.startswith("score_")])
 
 
 _RRF = """, r AS (SELECT qid, rank, pid, doc, row_number() OVER (PARTITION BY qid ORDER BY score_log_citations DESC, rank) AS r1,
@@ -337,7 +337,7 @@ b AS (SELECT s.qid, s.doc, s.pid, s.score, row_number() OVER (PARTITION BY s.qid
 
 @query(_BEST + " SELECT qid, doc, pid, round(score, 6) AS score FROM b WHERE rank = 1")
 def best_passage_per_target(spark, d):
-    return L.best_passages(_queries(spark, d), _passages(spark, d)).select("qid", "doc", "pid", F.round("score", 6).alias("score"))
+    return L.best_passages(_queries(spark, d), _passages(spark, d)).select("qid", "doc", "pid", V.rounded("score", 6).alias("score"))
 
 
 @query(_BEST + " SELECT qid, doc, CAST(rank AS INTEGER) AS rank, pid FROM b WHERE rank <= 3")
@@ -406,7 +406,7 @@ def _margins(spark, d) -> DataFrame:
     neg = _negatives(spark, d).groupBy("qid").agg(F.max("score").alias("hard"))
     h = _hits(spark, d, 400).join(_queries(spark, d).select("qid", "targets"), "qid").filter(F.array_contains("targets", F.col("doc")))
     sims = h.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "score"))).alias("x"))
-    return sims.join(neg, "qid").select("qid", F.transform("x", lambda s: F.round(s["score"] - F.col("hard"), 6)).alias("margins"))
+    return sims.join(neg, "qid").select("qid", F.transform("x", lambda s: V.rounded(s["score"] - F.col("hard"), 6)).alias("margins"))
 
 
 @query(_MARGINS + " SELECT qid, margins FROM z")
@@ -424,7 +424,7 @@ def margin_diffs(spark, d):
     m = _margins(spark, d)
     later = F.slice("margins", F.lit(2), F.greatest(F.size("margins") - 1, F.lit(0)))
     earlier = F.slice("margins", F.lit(1), F.greatest(F.size("margins") - 1, F.lit(0)))
-    return m.select("qid", F.zip_with(earlier, later, lambda a, b: F.round(a - b, 6)).alias("diffs"))
+    return m.select("qid", F.zip_with(earlier, later, lambda a, b: V.rounded(a - b, 6)).alias("diffs"))
 
 
 @query(
@@ -468,7 +468,7 @@ SELECT CAST(pos AS INTEGER) AS pos, round(avg(x), 6) AS mean, round(stddev_pop(x
 )
 def vector_mean(spark, d):
     m = L.mean_vector(table(spark, d, "embeddings"), "embedding")
-    return m.select("pos", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+    return m.select("pos", V.rounded("mean", 6).alias("mean"), V.rounded("std", 6).alias("std"))
 
 
 @query(
@@ -477,7 +477,7 @@ m AS (SELECT avg(x) AS mean, var_samp(x) AS var FROM v GROUP BY pos) SELECT roun
 )
 def vector_var_trace(spark, d):
     m = L.mean_vector(table(spark, d, "embeddings"), "embedding")
-    return m.agg(F.round(F.sum("var"), 6).alias("var_trace"), F.round(F.sqrt(F.sum(F.col("mean") * F.col("mean"))), 6).alias("mean_norm"))
+    return m.agg(V.rounded(F.sum("var"), 6).alias("var_trace"), V.rounded(F.sqrt(F.sum(F.col("mean") * F.col("mean"))), 6).alias("mean_norm"))
 
 
 @query(
@@ -486,7 +486,7 @@ def vector_var_trace(spark, d):
 def cosine_pairs(spark, d):
     q, p = _queries(spark, d).select("qid", F.col("vector").alias("qv")), _passages(spark, d).select("pid", F.col("vector").alias("pv"))
     h = _hits(spark, d, 1).join(q, "qid").join(p, "pid")
-    return h.select("qid", "pid", F.round("score", 6).alias("ip"), F.round(V.cosine(F.col("qv"), F.col("pv")), 6).alias("cosine"))
+    return h.select("qid", "pid", V.rounded("score", 6).alias("ip"), V.rounded(V.cosine(F.col("qv"), F.col("pv")), 6).alias("cosine"))
 
 
 @query(
@@ -495,7 +495,7 @@ def cosine_pairs(spark, d):
 )
 def l2_normalize(spark, d):
     e = table(spark, d, "embeddings")
-    return e.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.transform(V.normalized(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    return e.select("vec_id", V.rounded(V.norm(F.col("embedding")), 6).alias("norm"), F.transform(V.normalized(F.col("embedding")), lambda x: V.rounded(x, 6)).alias("unit"))
 
 
 @query(
@@ -505,7 +505,7 @@ SELECT vec_id, list_transform(y, lambda x: round(x / sqrt(list_inner_product(y,
 def diff_vector_apply(spark, d):
     difference = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i / F.lit(640.0))
     e = table(spark, d, "embeddings")
-    return e.select("vec_id", F.transform(V.shifted(F.col("embedding"), difference), lambda x: F.round(x, 6)).alias("shifted"))
+    return e.select("vec_id", F.transform(V.shifted(F.col("embedding"), difference), lambda x: V.rounded(x, 6)).alias("shifted"))
 
 
 @query(
@@ -516,7 +516,7 @@ def mean_difference_vector(spark, d):
     q = _queries(spark, d)
     best = L.best_passages(q, _passages(spark, d)).join(q.select("qid", F.col("vector").alias("qv")), "qid")
     m = L.mean_vector(best.select(V.subtracted(F.col("vector"), F.col("qv")).alias("diff")), "diff")
-    return m.select("pos", F.round("mean", 6).alias("mean"))
+    return m.select("pos", V.rounded("mean", 6).alias("mean"))
 
 
 @query()
@@ -524,7 +524,7 @@ def all_but_top(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     mean, parts, _ = L.principal(e, "embedding")
     out = L.without_top(e, "embedding", mean, parts, 2, "reduced")
-    return out.select("vec_id", F.transform("reduced", lambda x: F.round(x, 6)).alias("reduced"))
+    return out.select("vec_id", F.transform("reduced", lambda x: V.rounded(x, 6)).alias("reduced"))
 
 
 @query(
@@ -534,7 +534,7 @@ SELECT vec_id, list_concat([round(sqrt(list_inner_product(e, e)), 6)], list_tran
 )
 def to_spherical(spark, d):
     e = table(spark, d, "embeddings")
-    return e.select("vec_id", F.transform(V.to_spherical(F.col("embedding")), lambda x: F.round(x, 6)).alias("spherical"))
+    return e.select("vec_id", F.transform(V.to_spherical(F.col("embedding")), lambda x: V.rounded(x, 6)).alias("spherical"))
 
 
 @query(

@@ -354,3 +354,15 @@ def test_small_operators(spark):
     assert tuple(T.same_rows(a, b).first()) == (0, 0, True) and tuple(T.same_rows(a, b.filter("k = 1")).first()) == (1, 0, False)
     batches = spark.createDataFrame([(0, 1.0, 0.5, 1), (0, 4.0, None, 2), (1, None, None, 3)], "epoch int, loss double, similarity double, size int")
     assert sorted(map(tuple, L.epoch_means(batches).collect())) == [(0, 3.0, 0.5, 3), (1, None, None, 3)]
+
+
+def test_small_negatives_round_to_negative_zero(spark):
+    """As SQL rounds them; a comparison of digests sees the sign."""
+    values = F.array(*[F.lit(x) for x in (-4e-7, 4e-7, -6e-7, 0.0, math.inf)])
+    got = one(spark, F.transform(values, lambda x: V.rounded(x, 6)).alias("x"), V.rounded(F.lit(None).cast("double"), 6).alias("none"))
+    assert [str(x) for x in got["x"]] == ["-0.0", "0.0", "-1e-06", "0.0", "inf"] and got["none"] is None
+
+
+def test_normalized_takes_the_norm_once(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, []), (4, None)], "i int, v array<double>")
+    assert [r["n"] for r in rows.orderBy("i").select(V.normalized(F.col("v")).alias("n")).collect()] == [[0.6, 0.8], [0.0, 0.0], [], None]
