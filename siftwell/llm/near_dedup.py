@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.scratch import Scratch, maybe_broadcast, small_batches
+from siftwell.llm.scratch import Scratch, maybe_broadcast, small_batches, spread
 from siftwell.llm.stars import Confirm, Elements, link
 from siftwell.llm.wordhash import mix64, shingles, word_hashes
 
@@ -158,8 +158,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(confirm, "u binary, v binary")
 
 
-def _elements(sets: DataFrame) -> DataFrame:
-    """(node, size, element) of sets (fp, hashes)."""
+def _elements(sets: DataFrame, n_sets: int) -> DataFrame:
+    """(node, size, element) of sets (fp, hashes); n_sets: about so many."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +167,7 @@ def _elements(sets: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "x"])
 
     own = sets.select("fp", "hashes").mapInArrow(unpack, "node binary, x array<bigint>")
-    return own.select("node", F.size("x").alias("size"), F.explode("x").alias("element"))
+    return spread(own, n_sets, "node").select("node", F.size("x").alias("size"), F.explode("x").alias("element"))
 
 
 def classify(documents: DataFrame, n_words: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
@@ -195,7 +195,7 @@ def classify(documents: DataFrame, n_words: int = 5, percent: int = 80, scratch:
         sets = _sets(documents.join(ids, documents["doc_id"].eqNullSafe(ids["chosen_id"]), "left_semi"), n_words)
         sets = sets.join(maybe_broadcast(chosen.select("fp"), n_chosen, 48), "fp", "left_semi").dropDuplicates(["fp"])
         sets = scratch.keep(sets, "sets")
-        of = lambda nodes: _elements(sets.join(nodes.withColumnRenamed("node", "fp"), "fp", "left_semi"))
+        of = lambda nodes: _elements(sets.join(nodes.withColumnRenamed("node", "fp"), "fp", "left_semi"), n_chosen)
         return (lambda pairs: _linked(pairs, sets, percent)), of
 
     bands = classes.select(F.explode("bands").alias("key"), F.col("fp").alias("node"))

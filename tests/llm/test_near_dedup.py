@@ -154,3 +154,34 @@ def test_bitmaps_rule_out_no_linked_pair():
         same = len(np.intersect1d(a, b))
         differ = sum(bin(int(x) & (2**64 - 1)).count("1") for x in bitmap(a) ^ bitmap(b))
         assert differ <= len(a) + len(b) - 2 * same
+
+
+def test_last_pass_writes_no_elements_and_joins_by_slices(spark, monkeypatch):
+    """All pairs of one bucket are left to the last pass; slices of any size give the links of brute force, and elements are never written."""
+    from siftwell.llm import stars
+
+    monkeypatch.setattr(stars, "PAIRS", 1 << 40)
+    rng = random.Random(5)
+    sets = {}
+    for i in range(12):
+        base = [rng.randrange(10**6) for _ in range(20 + 3 * i)]
+        for j, edits in enumerate((0, 1, 2, 4)):
+            sets[4 * i + j] = set(base[edits:]) | {rng.randrange(10**6) for _ in range(edits)}
+    alike = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    want = {i: min(j for j in sets if j // 4 == i // 4) for i in sets if any(j != i and alike(sets[i], sets[j]) for j in sets)}
+    held = spark.createDataFrame([(n, len(x), e) for n, x in sets.items() for e in x], "node bigint, size int, element bigint").cache()
+    bands = spark.createDataFrame([(0, n) for n in sets], "key bigint, node bigint")
+    sketches = spark.createDataFrame([(n, 10**6, 0) for n in sets], "node bigint, size bigint, w0 bigint")
+
+    good = spark.createDataFrame([(u, v) for u in sets for v in sets if u < v and alike(sets[u], sets[v])], "u bigint, v bigint").cache()
+    confirm = lambda pairs: pairs.join(good, ["u", "v"], "left_semi")
+
+    for size in (64, 1 << 20):
+        monkeypatch.setattr(stars, "SLICE", size)
+        scratch = Scratch(spark)
+        kept, keep = [], scratch.keep
+        monkeypatch.setattr(scratch, "keep", lambda df, name, **how: (kept.append(name), keep(df, name, **how))[1])
+        roots = stars.link(bands, sketches, 80, lambda nodes: (confirm, lambda own: held.join(own, "node", "left_semi")), scratch)
+        got = {r["node"]: r["root"] for r in roots.collect()}
+        assert {n: r // 4 for n, r in got.items()} == {n: r // 4 for n, r in want.items()}
+        assert "elements" not in kept and (kept.count("slice") > 1) == (size == 64)
