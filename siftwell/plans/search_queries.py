@@ -337,12 +337,12 @@ b AS (SELECT s.qid, s.doc, s.pid, s.score, row_number() OVER (PARTITION BY s.qid
 
 @query(_BEST + " SELECT qid, doc, pid, round(score, 6) AS score FROM b WHERE rank = 1")
 def best_passage_per_target(spark, d):
-    return L.best_passages(_queries(spark, d), _passages(spark, d)).select("qid", "doc", "pid", V.rounded("score", 6).alias("score"))
+    return L.best_passages(_queries(spark, d), _passages(spark, d), vectors=False).select("qid", "doc", "pid", V.rounded("score", 6).alias("score"))
 
 
 @query(_BEST + " SELECT qid, doc, CAST(rank AS INTEGER) AS rank, pid FROM b WHERE rank <= 3")
 def top_positives(spark, d):
-    return L.best_passages(_queries(spark, d), _passages(spark, d), 3).select("qid", "doc", "rank", "pid")
+    return L.best_passages(_queries(spark, d), _passages(spark, d), 3, False).select("qid", "doc", "rank", "pid")
 
 
 _NEG = _top(k=400) + ", n AS (SELECT qid, pid, doc, row_number() OVER (PARTITION BY qid ORDER BY rank) AS new_rank FROM h WHERE doc NOT IN (ql, (ql + 3) % 10) QUALIFY new_rank <= 5)"
@@ -364,7 +364,7 @@ def hard_negatives(spark, d):
 SELECT b.qid, b.pid AS positive, n.pid AS negative FROM b JOIN n ON b.qid = n.qid WHERE b.rank <= 3"""
 )
 def triplets(spark, d):
-    return L.triplets(L.best_passages(_queries(spark, d), _passages(spark, d), 3), _negatives(spark, d))
+    return L.triplets(L.best_passages(_queries(spark, d), _passages(spark, d), 3, False), _negatives(spark, d))
 
 
 @query(
@@ -442,10 +442,8 @@ def negative_weights(spark, d):
     f"""WITH {_PAIRS} SELECT qid, count(*) AS n, round(avg(CASE WHEN doc IN (ql, (ql + 3) % 10) THEN 1 - cosine ELSE greatest(0, cosine - 0.1) END), 6) AS loss FROM s GROUP BY qid"""
 )
 def cosine_embedding_loss(spark, d):
-    p = _passages(spark, d)
-    s = S.top_k(_queries(spark, d), p, 1 << 30, "COSINE").join(p.select("pid", "doc"), "pid").join(_queries(spark, d).select("qid", "targets"), "qid")
-    loss = L.cosine_loss(F.col("score"), F.array_contains("targets", F.col("doc")))
-    return s.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.avg(loss), 6).alias("loss"))
+    losses = L.cosine_losses(_queries(spark, d), _passages(spark, d))
+    return losses.select("qid", "n", F.round("loss", 6).alias("loss"))
 
 
 @query(

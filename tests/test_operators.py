@@ -366,3 +366,26 @@ def test_small_negatives_round_to_negative_zero(spark):
 def test_normalized_takes_the_norm_once(spark):
     rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, []), (4, None)], "i int, v array<double>")
     assert [r["n"] for r in rows.orderBy("i").select(V.normalized(F.col("v")).alias("n")).collect()] == [[0.6, 0.8], [0.0, 0.0], [], None]
+
+
+def test_best_passages_and_cosine_losses_over_blocks(spark, vectors, monkeypatch):
+    """Blocks of any size give what plain expressions give; the rows that leave the tasks grow with the queries, not with the pairs."""
+    q = vectors.filter("pid in (1, 2, 3)").select(F.col("pid").alias("qid"), "vector", F.array(F.lit(0), F.lit(3), F.lit(3), F.lit(9)).alias("targets"))
+    rows, asked = vectors.collect(), q.collect()
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    cosine = lambda a, b: dot(a, b) / math.sqrt(dot(a, a) * dot(b, b))
+    want, losses = [], {}
+    for a in asked:
+        for doc in (0, 3):
+            near = sorted((-round(dot(a["vector"], p["vector"]), 9), p["pid"]) for p in rows if p["doc"] == doc and p["pid"] != a["qid"])
+            want += [(a["qid"], doc, i + 1, pid) for i, (_, pid) in enumerate(near[:4])]
+        near = [(cosine(a["vector"], p["vector"]), p["doc"]) for p in rows if p["pid"] != a["qid"]]
+        losses[a["qid"]] = sum(1 - s if d in (0, 3) else max(0.0, s - 0.1) for s, d in near) / len(near)
+    for size in (64, 64 << 20):
+        monkeypatch.setattr(S, "QUERY_BYTES", size)
+        best = L.best_passages(q, vectors, 4, vectors=False)
+        assert sorted(tuple(r)[:4] for r in best.collect()) == sorted(want)
+        got = {r["qid"]: (r["n"], r["loss"]) for r in L.cosine_losses(q, vectors).collect()}
+        assert got == {k: (59, pytest.approx(v)) for k, v in losses.items()}
+    lost = vectors.unionByName(spark.createDataFrame([(99, None, 9, 0)], vectors.schema))
+    assert [(r["qid"], r["pid"], r["score"]) for r in L.best_passages(q, lost, 1, False).filter("doc = 9").orderBy("qid").collect()] == [(i, 99, None) for i in (1, 2, 3)]
