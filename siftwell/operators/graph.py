@@ -161,6 +161,8 @@ def search(
     deal = F.sequence(F.lit(0), F.lit(parts - 1))
     of = {"pid": graph.schema["pid"].dataType.simpleString(), "qid": q.schema["qid"].dataType.simpleString()}
 
+    sign = 1.0 if S.HIGHER_IS_BETTER[metric] else -1.0
+
     def best(own: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(own) and len(nodes):
@@ -173,7 +175,10 @@ def search(
                 found, computed = walk(x, near, query, ef)
                 at = np.array([i for _, i in found if ids[i] != qid], np.int64)
                 scores = S._scores(vector[None], plain[at], metric)[0]
-                rows += [(qid, p, float(s), computed) for p, s in zip(ids[at], scores, strict=True) if not np.isnan(s)]
+                at, scores = at[~np.isnan(scores)], scores[~np.isnan(scores)]
+                # No more than k of a shard can be among the k best of all; a walk keeps many more.
+                first = np.lexsort((ids[at], -sign * np.round(scores, S.PLACES)))[:k]
+                rows += [(qid, p, s, computed) for p, s in zip(ids[at[first]].tolist(), scores[first].tolist(), strict=True)]
         return pd.DataFrame(rows, columns=["qid", "pid", "score", "computed"])
 
     # Every shard is walked, so each query goes to each of them: rows of queries times shards, never of passages.

@@ -107,3 +107,12 @@ def test_dated_search_without_queries_or_dates(spark, passages, queries):
     assert S.top_k(queries.withColumn("pubdate", F.lit(None).cast("int")), passages, 3, "IP", True).count() == 0
     with pytest.raises(ValueError):
         S.top_k_native(spark.range(0, 300_000).select(F.col("id").alias("qid"), F.array(*[F.lit(1.0)] * 16).alias("vector")), passages, 3)
+
+
+def test_a_shard_gives_no_more_than_k_of_a_query(spark, passages, queries, monkeypatch):
+    """A walk keeps ef_search passages of each query; only k of them may leave the task."""
+    seen, ranked = [], S._ranked
+    monkeypatch.setattr(S, "_ranked", lambda found, k, metric: (seen.append(found.groupBy("qid").count().agg({"count": "max"}).first()[0]), ranked(found, k, metric))[1])
+    graph = G.build(passages, 8, 32, "L2", shards=2)
+    near = G.search(graph, queries, 5, ef_search=200, metric="L2")
+    assert near.count() == 5 * queries.count() and seen[0] <= 2 * 5
