@@ -17,6 +17,8 @@ PLACES = 9
 HIGHER_IS_BETTER = {"IP": True, "COSINE": True, "L2": False}
 #: Bytes of query vectors that are shipped to every task at once; more queries go in several blocks.
 QUERY_BYTES, NATIVE_BYTES = 64 << 20, 16 << 20
+#: Pairs that built-in expressions score in a reasonable time: each component of each of them is looked at one by one.
+NATIVE_PAIRS = 1 << 24
 #: Queries and passages of one matrix product.
 _BLOCK = 1024
 
@@ -47,6 +49,13 @@ def top_k_native(queries: DataFrame, passages: DataFrame, k: int, metric: str =
     return _ranked(scored.filter("score is not null"), k, metric).select("qid", "rank", "pid", "score")
 
 
+def top_k_sized(queries: DataFrame, passages: DataFrame, k: int, metric: str = "IP", dated: bool = False) -> DataFrame:
+    """As top_k, in built-in expressions while queries and pairs are few enough for them, else by its matrix products."""
+    n, width = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    small = n * (8 * (width or 0) + 16) <= NATIVE_BYTES and n * passages.count() <= NATIVE_PAIRS
+    return (top_k_native if small else top_k)(queries, passages, k, metric, dated)
+
+
 def _scores(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
     if metric == "IP":
         return q @ p.T

@@ -116,3 +116,13 @@ def test_a_shard_gives_no_more_than_k_of_a_query(spark, passages, queries, monke
     graph = G.build(passages, 8, 32, "L2", shards=2)
     near = G.search(graph, queries, 5, ef_search=200, metric="L2")
     assert near.count() == 5 * queries.count() and seen[0] <= 2 * 5
+
+
+@pytest.mark.parametrize("limit", ["NATIVE_PAIRS", "NATIVE_BYTES"])
+def test_large_products_go_by_matrices(spark, passages, queries, monkeypatch, limit):
+    want = sorted((r["qid"], r["rank"], r["pid"]) for r in S.top_k_native(queries, passages, 5).collect())
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan(S.top_k_sized(queries, passages, 5))
+    monkeypatch.setattr(S, limit, 100)
+    found = S.top_k_sized(queries, passages, 5)
+    assert "MapInPandas" in plan(found) and sorted((r["qid"], r["rank"], r["pid"]) for r in found.collect()) == want
