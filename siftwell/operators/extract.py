@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import re
 import threading
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -43,38 +44,87 @@ def _plain(value: object) -> object:
     return [_plain(v) for v in value] if isinstance(value, list | tuple) else value
 
 
-class _Calls:
-    """Runs calls with a deadline. A thread cannot be ended from outside: one that is late is left to itself and counted."""
-
-    def __init__(self, timeout: float):
-        self.timeout, self.late, self.lock = timeout, 0, threading.Lock()
-
-    def __call__(self, fn: Callable[[State], object], state: State) -> tuple[str, object]:
-        with self.lock:
-            if self.late >= ABANDONED:
-                return "timeout", None
-        box: list = []
-        done = threading.Event()
-
-        def run() -> None:
+class _Rows:
+    """Runs the steps of rows in `concurrency` threads, which make the calls themselves and only note when each began. The task's own thread
+    watches the deadlines. A thread cannot be ended from outside: one that is late is left to itself and counted, and its row goes on in another."""
+
+    def __init__(self, steps: list[Step], timeout: float, concurrency: int):
+        self.steps, self.made = steps, [s.make() for s in steps]
+        self.timeout, self.concurrency, self.late = timeout, concurrency, 0
+        self.changed = threading.Condition()
+
+    def __call__(self, states: list[State]) -> list[State]:
+        """Each state with its answers and the trace."""
+        self.todo = deque((state | {"trace": []}, 0) for state in states)
+        self.done: list[State] = [work[0] for work in self.todo]
+        self.left, self.problem = len(self.todo), None
+        self.begun: dict[threading.Thread, tuple[float, State, int]] = {}
+        with self.changed:
+            for _ in range(min(self.concurrency, self.left)):
+                self._start()
+            while self.left and self.problem is None:
+                now = time.monotonic()
+                for thread, (since, state, at) in list(self.begun.items()):
+                    if now - since >= self.timeout:
+                        del self.begun[thread]
+                        self.late += 1
+                        self._answer(state, at, "timeout", None)
+                        self.todo.appendleft((state, at + 1))
+                        self._start()
+                first = min((since for since, _, _ in self.begun.values()), default=now)
+                self.changed.wait(max(first + self.timeout - now, 0.001))
+        if self.problem is not None:
+            raise self.problem
+        return self.done
+
+    def _start(self) -> None:
+        threading.Thread(target=self._work, args=(self.begun,), daemon=True).start()
+
+    def _answer(self, state: State, at: int, said: str, answer: object) -> None:
+        state[self.steps[at].name] = answer
+        state["trace"].append(f"{self.steps[at].name}: {said}")
+
+    def _work(self, begun: dict) -> None:
+        me = threading.current_thread()
+        while True:
+            with self.changed:
+                if begun is not self.begun or not self.todo or self.problem is not None:
+                    return
+                state, at = self.todo.popleft()
             try:
-                box.append(("ok", _plain(fn(state))))
-            except Exception as problem:
-                box.append((f"error: {type(problem).__name__}", None))
-            with self.lock:
-                if done.is_set():
-                    self.late -= 1
-                done.set()
-
-        thread = threading.Thread(target=run, daemon=True)
-        thread.start()
-        thread.join(self.timeout)
-        with self.lock:
-            if not done.is_set():
-                done.set()
-                self.late += 1
-                return "timeout", None
-        return box[0]
+                for i in range(at, len(self.steps)):
+                    if not self._step(me, begun, state, i):
+                        return
+            except BaseException as problem:
+                with self.changed:
+                    self.problem = problem
+                    self.changed.notify()
+                return
+            with self.changed:
+                self.left -= 1
+                if not self.left:
+                    self.changed.notify()
+
+    def _step(self, me: threading.Thread, begun: dict, state: State, at: int) -> bool:
+        """Whether the row is still this thread's."""
+        if not self.steps[at].when({n: v for n, v in state.items() if n != "trace"}):
+            self._answer(state, at, "skipped", None)
+            return True
+        with self.changed:
+            if self.late >= ABANDONED:
+                self._answer(state, at, "timeout", None)
+                return True
+            begun[me] = (time.monotonic(), state, at)
+        try:
+            said, answer = "ok", _plain(self.made[at]({n: v for n, v in state.items() if n != "trace"}))
+        except Exception as problem:
+            said, answer = f"error: {type(problem).__name__}", None
+        with self.changed:
+            if begun.pop(me, None) is None:
+                self.late -= 1
+                return False
+        self._answer(state, at, said, answer)
+        return True
 
 
 def chain(df: DataFrame, steps: list[Step], timeout: float = 300.0, concurrency: int = 8) -> DataFrame:
@@ -86,21 +136,11 @@ def chain(df: DataFrame, steps: list[Step], timeout: float = 300.0, concurrency:
     names = base.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = [s.make() for s in steps]
-        call = _Calls(timeout)
-
-        def one(row: tuple) -> State:
-            state = {n: _plain(v) for n, v in zip(names, row, strict=True)}
-            trace = []
-            for step, fn in zip(steps, made, strict=True):
-                said, state[step.name] = call(fn, dict(state)) if step.when(state) else ("skipped", None)
-                trace.append(f"{step.name}: {said}")
-            return state | {"trace": trace}
-
-        with ThreadPoolExecutor(concurrency) as pool:
-            for frame in frames:
-                done = list(pool.map(one, frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None)))
-                yield frame.assign(**{f.name: pd.Series([d[f.name] for d in done], index=frame.index, dtype=object) for f in added.fields})
+        rows = _Rows(steps, timeout, concurrency)
+        for frame in frames:
+            values = frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None)
+            done = rows([{n: _plain(v) for n, v in zip(names, row, strict=True)} for row in values])
+            yield frame.assign(**{f.name: pd.Series([d[f.name] for d in done], index=frame.index, dtype=object) for f in added.fields})
 
     return base.mapInPandas(run, T.StructType([*base.schema.fields, *added.fields]))
 
@@ -121,6 +161,13 @@ def _rule(pattern: str) -> Callable[[], Callable[[State], object]]:
     return lambda: lambda state: [m[0] for m in re.finditer(pattern, state["sentence"])]
 
 
+def is_sentence(text: str | None) -> bool:
+    """Whether a letter stands somewhere before a last sign that ends a sentence. Looked at from the end: a pattern that tries every letter as
+    the first one takes the square of a long line's length."""
+    text = (text or "").rstrip()
+    return text.endswith((".", "?", "!")) and re.search("[A-Za-z]", text[:-1]) is not None
+
+
 def masked(sentence: str, substrings: list[str]) -> str:
     """The sentence with each substring replaced by [REF]: as it stands, else without the spaces around it."""
     for s in substrings:
@@ -137,7 +184,7 @@ def citation_steps(
     """Steps over a column sentence: valid, then, for valid ones, the citing substrings, and where there are any the (author, year) pairs and
     the masked sentence."""
     return [
-        Step("valid", valid or (lambda: lambda s: bool(s["sentence"] and re.search(r"[A-Za-z].*[.?!]\s*$", s["sentence"], re.S))), "boolean"),
+        Step("valid", valid or (lambda: lambda s: is_sentence(s["sentence"])), "boolean"),
         Step("substrings", substrings or _rule(PARENTHESES), "array<string>", lambda s: s["valid"] is True),
         Step("citations", pairs or (lambda: lambda s: [{"author": a.strip(), "year": y} for x in s["substrings"] for a, y in re.findall(AUTHOR_YEAR, x)]), CITATIONS, lambda s: bool(s["substrings"])),
         Step("masked", lambda: lambda s: masked(s["sentence"], s["substrings"]), "string", lambda s: bool(s["substrings"])),

@@ -65,3 +65,27 @@ def test_calls_run_side_by_side_but_not_more(spark):
 
 def test_masking():
     assert E.masked("a (B 1) c", [" (B 1) "]) == "a[REF]c" and E.masked("a (B 1)", [" (B 1) "]) == "a [REF]" and E.masked("a B c B", ["B"]) == "a [REF] c [REF]" and E.masked("a", ["", "zz"]) == "a"
+
+
+def test_threads_are_not_made_for_each_call(monkeypatch):
+    """Calls run in the threads that hold the rows; a late one costs one thread more, and its row goes on."""
+    started = []
+    start = threading.Thread.start
+    monkeypatch.setattr(threading.Thread, "start", lambda self: (started.append(self), start(self))[1])
+    slow = threading.Event()
+    steps = [E.Step("a", lambda: lambda s: slow.wait(20) if s["id"] == 7 else s["id"], "int"), E.Step("b", lambda: lambda s: (s["a"] or 0) + 1, "int")]
+    rows = E._Rows(steps, 0.5, 4)
+    for _ in range(3):
+        done = rows([{"id": i} for i in range(500)] if not started else [{"id": i} for i in range(100, 300)])
+    assert len(started) <= 3 * 4 + 1 and [d["b"] for d in done] == list(range(101, 301))
+    late = E._Rows(steps, 0.3, 2)([{"id": 6}, {"id": 7}, {"id": 8}])
+    assert [(d["a"], d["b"], d["trace"]) for d in late] == [(6, 7, ["a: ok", "b: ok"]), (None, 1, ["a: timeout", "b: ok"]), (8, 9, ["a: ok", "b: ok"])]
+    slow.set()
+
+
+def test_long_lines_are_judged_in_linear_time():
+    valid = E.citation_steps()[0].make()
+    began = time.time()
+    assert not valid({"sentence": "word. " * 20_000 + "end"}) and valid({"sentence": "word " * 20_000 + "end?\n "})
+    assert time.time() - began < 5
+    assert [valid({"sentence": s}) for s in ("a.", ".a", "1.", "A 1 ! \n", "é.", None, "", ".", "a.\nb")] == [True, False, False, True, False, False, False, False, False]
