@@ -185,3 +185,26 @@ def test_last_pass_writes_no_elements_and_joins_by_slices(spark, monkeypatch):
         got = {r["node"]: r["root"] for r in roots.collect()}
         assert {n: r // 4 for n, r in got.items()} == {n: r // 4 for n, r in want.items()}
         assert "elements" not in kept and (kept.count("slice") > 1) == (size == 64)
+
+
+def test_last_pass_of_buckets_that_bitmaps_tell_apart_takes_no_elements(spark, monkeypatch):
+    """Such buckets meet by themselves; one of more than CROWD members, or that the bitmaps tell nothing about, meets through elements."""
+    from siftwell.llm import stars
+
+    monkeypatch.setattr(stars, "PAIRS", 1 << 40)
+    n = 60
+    bands = spark.createDataFrame([(k, i) for k in range(2) for i in range(n)], "key bigint, node bigint")
+    linked = spark.createDataFrame([(i, i + 1) for i in range(0, n, 2)], "u bigint, v bigint")
+    confirm = lambda pairs: pairs.join(linked, ["u", "v"], "left_semi")
+    asked = []
+
+    def elements(nodes):
+        asked.append(1)
+        return nodes.selectExpr("node", "10 AS size", "explode(sequence(0, 9)) AS e").selectExpr("node", "size", "node div 2 * 10 + e AS element")
+
+    for crowd, told, need in ((1024, True, 0), (59, True, 1), (1024, False, 1)):
+        monkeypatch.setattr(stars, "CROWD", crowd)
+        sketches = spark.createDataFrame([(i, 10, 1023 << (i // 2) if told else 0) for i in range(n)], "node bigint, size bigint, w0 bigint")
+        asked.clear()
+        roots = stars.link(bands, sketches, 80, lambda nodes: (confirm, elements), Scratch(spark))
+        assert {r["node"]: r["root"] for r in roots.collect()} == {i: i // 2 * 2 for i in range(n)} and len(asked) == need
