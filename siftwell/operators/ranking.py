@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,24 +88,118 @@ def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75
     long_tokens(), each counts as often as the query has it, terms of half the passages or more weigh nothing, no factor k1 + 1)."""
     if kind not in ("okapi", "robertson"):
         raise ValueError(f"no kind {kind} of BM25; there are okapi, robertson")
-    plain = kind == "okapi"
-    cut = X.tokens if plain else X.long_tokens
+    cut = X.tokens if kind == "okapi" else X.long_tokens
     own = ["qid"] if per_query else []
-    words = corpus.select(*own, "pid", cut(F.coalesce("text", F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
-    sizes = words.groupBy(*own).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    rows = corpus.select(*own, "pid", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = rows.select(*own, F.size(cut(F.col("text"))).alias("dl")).groupBy(*own).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    repeated = not rows.groupBy(*own, "pid").count().filter("count > 1").isEmpty()
+    if repeated:  # rows of one passage and one length count as one text
+        same = rows.groupBy(*own, "pid", F.size(cut(F.col("text"))).alias("dl"))
+        rows = same.agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+        words = rows.select(*own, "pid", "dl", cut(F.col("text")).alias("w"))
+    else:
+        words = rows.select(*own, "pid", cut(F.col("text")).alias("w")).select(*own, "pid", F.size("w").alias("dl"), "w")
     asked = queries.select("qid", F.explode(cut(F.coalesce("query", F.lit("")))).alias("term"))
-    asked = asked.groupBy("qid", "term").agg((F.lit(1) if plain else F.count("*")).alias("times"))
+    asked = asked.groupBy("qid", "term").agg((F.lit(1) if kind == "okapi" else F.count("*")).cast("int").alias("times"))
+    if per_query:
+        scored = _bm25_own(words, sizes, asked, k1, b, kind)
+    elif asked.count() <= BM25_TERMS:
+        scored = _bm25_shipped(words, sizes, asked, k1, b, kind)
+    else:
+        scored = _bm25_joined(words, sizes, asked, k1, b, kind)
+    return scored.groupBy("qid", "pid").agg(F.sum("bm25").alias("bm25")) if repeated else scored
+
+
+#: Words of all queries together that go to the tasks as they are; of more, words of passages meet them in joins.
+BM25_TERMS = 1 << 19
+#: Terms of scores that a task sums at once, at most.
+BM25_SUMS = 1 << 21
+
+
+def _idf(n: Column, df: Column, times: Column, k1: float, kind: str) -> Column:
+    odds = (n - df + 0.5) / (df + 0.5)
+    return F.log1p(odds) * (k1 + 1) if kind == "okapi" else F.log(F.greatest(odds, F.lit(1.0))) * times
+
+
+def _bm25_own(words: DataFrame, sizes: DataFrame, asked: DataFrame, k1: float, b: float, kind: str) -> DataFrame:
+    """Each passage meets its own query's words in one row, so words of passages are neither dealt nor sorted: its counts stay arrays."""
+    terms = asked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("term", "times"))).alias("terms"))
+    met = words.join(terms, "qid").select("qid", "pid", "dl", "w", F.col("terms.term").alias("t"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found, times = [], [], []
+            for i, (w, t) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                place = {term: j for j, term in enumerate(t)}
+                had = Counter(place[x] for x in w if x in place)
+                if had:
+                    at.append(i)
+                    found.append(sorted(had))
+                    times.append([had[j] for j in found[-1]])
+            kept = batch.select([0, 1, 2]).take(pa.array(at, pa.int64()))
+            ints = pa.list_(pa.int32())
+            yield pa.record_batch([*kept.columns, pa.array(found, ints), pa.array(times, ints)], ["qid", "pid", "dl", "at", "f"])
+
+    types = {c: words.schema[c].dataType.simpleString() for c in ("qid", "pid")}
+    packed = met.mapInArrow(count, f"qid {types['qid']}, pid {types['pid']}, dl int, at array<int>, f array<int>")
+    whole = terms.select("qid", F.posexplode("terms").alias("at", "x")).select("qid", "at", F.lit(0).alias("c"), F.col("x.times").alias("times"))
+    held = packed.select("qid", F.explode("at").alias("at")).select("qid", "at", F.lit(1).alias("c"), F.lit(0).alias("times"))
+    each = whole.unionByName(held).groupBy("qid", "at").agg(F.sum("c").alias("df"), F.max("times").alias("times")).join(sizes, "qid")
+    each = each.select("qid", "avgdl", "at", _idf(F.col("n"), F.col("df"), F.col("times"), k1, kind).alias("idf"))
+    weights = each.groupBy("qid", "avgdl").agg(F.array_sort(F.collect_list(F.struct("at", "idf"))).alias("weights"))
+    weights = weights.select("qid", "avgdl", F.col("weights.idf").alias("idf"))
+    base = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
+    parts = F.zip_with("at", "f", lambda i, f: F.get(F.col("idf"), i) * f / (f + base))
+    return packed.join(weights, "qid").select("qid", "pid", F.aggregate(parts, F.lit(0.0), lambda x, y: x + y).alias("bm25"))
+
+
+def _bm25_shipped(words: DataFrame, sizes: DataFrame, asked: DataFrame, k1: float, b: float, kind: str) -> DataFrame:
+    """The words of all queries go to the tasks, with their idf from a scan before; a passage's sums are made where it is read, without a shuffle."""
+    terms = asked.select("term").distinct()
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
+    size = sizes.first()
+    avgdl = size["avgdl"] or 1.0
+    known = asked.join(F.broadcast(df), "term").withColumn("idf", _idf(F.lit(size["n"]), F.col("df"), F.col("times"), k1, kind))
+    known = known.select("qid", "term", "idf").toArrow().combine_chunks()
+    ids, vocabulary = ((pa.array([], c.type).dictionary_encode() if not len(c) else c.chunk(0).dictionary_encode(null_encoding="encode")) for c in (known["qid"], known["term"]))
+    term_of = vocabulary.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(term_of, kind="stable")
+    whose, idf = ids.indices.to_numpy(zero_copy_only=False)[order].astype(np.int64), known["idf"].to_numpy()[order]
+    first = np.searchsorted(term_of[order], np.arange(len(vocabulary.dictionary) + 1))
+    qids, vocabulary = ids.dictionary, vocabulary.dictionary
+    n_asked = max(len(qids), 1)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, BM25_SUMS // max(len(whose), 1))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                lists = batch.column(2)
+                term = pc.index_in(lists.flatten(), value_set=vocabulary.cast(lists.type.value_type))
+                row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                term = pc.fill_null(term, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                pair, f = np.unique(row[term >= 0] * len(vocabulary) + term[term >= 0], return_counts=True)
+                row, term = np.divmod(pair, max(len(vocabulary), 1))
+                dl = batch.column(1).to_numpy(zero_copy_only=False)[row]
+                part = f / (f + k1 * (1 - b + b * dl / avgdl))
+                n = first[term + 1] - first[term]
+                at = np.repeat(first[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                to = np.repeat(row, n) * n_asked + whose[at]
+                got = np.flatnonzero(np.bincount(to, minlength=1))
+                total = np.bincount(to, np.repeat(part, n) * idf[at], minlength=1)[got]
+                yield pa.record_batch([qids.take(pa.array(got % n_asked)), batch.column(0).take(pa.array(got // n_asked)), pa.array(total, pa.float64())], ["qid", "pid", "bm25"])
+
+    types = asked.schema["qid"].dataType.simpleString(), words.schema["pid"].dataType.simpleString()
+    return words.select("pid", "dl", "w").mapInArrow(score, f"qid {types[0]}, pid {types[1]}, bm25 double")
+
+
+def _bm25_joined(words: DataFrame, sizes: DataFrame, asked: DataFrame, k1: float, b: float, kind: str) -> DataFrame:
     # Only words that some query has are counted: all others end in the task that reads them.
-    every = words.select(*own, "pid", "dl", F.explode("w").alias("term"))
-    kept = every.join(asked, [*own, "term"], "left_semi") if per_query else every.join(asked.select("term").distinct(), "term", "left_semi")
-    wanted = kept.groupBy(*own, "pid", "dl", "term").agg(F.count("*").alias("f"))
-    df_of = wanted.groupBy(*own, "term").agg(F.count("*").alias("df"))
-    met = wanted.join(df_of, [*own, "term"])
-    met = met.join(sizes, own) if per_query else met.crossJoin(F.broadcast(sizes))
-    met = met.join(asked, ["qid", "term"] if per_query else "term")
-    odds = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
-    idf = F.log1p(odds) * (k1 + 1) if plain else F.log(F.greatest(odds, F.lit(1.0))) * F.col("times")
-    part = idf * F.col("f") / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    every = words.select("pid", "dl", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = every.groupBy("pid", "dl", "term").agg(F.count("*").alias("f"))
+    df_of = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    met = wanted.join(df_of, "term").crossJoin(F.broadcast(sizes)).join(asked, "term")
+    part = _idf(F.col("n"), F.col("df"), F.col("times"), k1, kind) * F.col("f") / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return met.groupBy("qid", "pid").agg(F.sum(part).alias("bm25"))
 
 

@@ -389,3 +389,38 @@ def test_best_passages_and_cosine_losses_over_blocks(spark, vectors, monkeypatch
         assert got == {k: (59, pytest.approx(v)) for k, v in losses.items()}
     lost = vectors.unionByName(spark.createDataFrame([(99, None, 9, 0)], vectors.schema))
     assert [(r["qid"], r["pid"], r["score"]) for r in L.best_passages(q, lost, 1, False).filter("doc = 9").orderBy("qid").collect()] == [(i, 99, None) for i in (1, 2, 3)]
+
+
+@pytest.mark.parametrize("kind", ["okapi", "robertson"])
+def test_bm25_sums_where_passages_are_read(spark, monkeypatch, kind):
+    """No pair of a query and a passage is shuffled; sums are those of joins, with rows that repeat a passage, null ids and texts too."""
+    docs = [(i, f"red fox {'dog ' * (i % 4)} w{i % 7} tree blue {'red' if i % 3 else ''}") for i in range(40)] + [(3, "red red fox extra"), (None, "tree fox"), (50, None)]
+    asked = [("a", "Red fox red"), ("b", "tree w3 w5 nothing"), (None, "dog blue"), ("c", None), ("d", "zebra")]
+    q, d = spark.createDataFrame(asked, "qid string, query string"), spark.createDataFrame(docs, "pid int, text string")
+    once = R.bm25(q, d.filter("pid <> 3"), kind=kind)
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    for corpus in (d, d.filter("pid <> 3"), d.filter("false")):
+        got = {(r["qid"], r["pid"]): r["bm25"] for r in R.bm25(q, corpus, kind=kind).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(R, "BM25_TERMS", -1)
+            assert got == pytest.approx({(r["qid"], r["pid"]): r["bm25"] for r in R.bm25(q, corpus, kind=kind).collect()})
+        assert len(got) > 60 or corpus.isEmpty()
+    assert R.bm25(q.filter("false"), d, kind=kind).isEmpty()
+
+
+@pytest.mark.parametrize("kind", ["okapi", "robertson"])
+def test_bm25_of_own_hits_deals_no_words(spark, kind):
+    """Words of passages are never rows; sums are those of each query by itself, with rows that repeat a passage too."""
+    asked = [(1, "red fox and tree"), (2, "blue blue dog"), (3, "nothing here"), (4, None)]
+    hits = [(q, i, f"red {'fox ' * (i % 3)} dog{i} {'blue dog' if q == 2 and i % 4 == 0 else 'tree'} w{q}") for q in range(6) for i in range(8)]
+    hits += [(1, 3, "red one"), (2, 9, None), (2, 2, "red fox fox  dog2 tree w2")]
+    q, d = spark.createDataFrame(asked, "qid int, query string"), spark.createDataFrame(hits, "qid int, pid int, text string")
+    scored = R.bm25(q, d, per_query=True, kind=kind)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(w" not in plan and "MapInArrow" in plan
+    got = {(r["qid"], r["pid"]): r["bm25"] for r in scored.collect()}
+    want = {}
+    for qid, _ in asked:
+        alone = R.bm25(q.filter(F.col("qid") == qid), d.filter(F.col("qid") == qid).drop("qid"), kind=kind)
+        want |= {(r["qid"], r["pid"]): r["bm25"] for r in alone.collect()}
+    assert got == pytest.approx(want) and len(got) > 8
