@@ -230,3 +230,22 @@ def test_lines_with_one_wrong_character(spark):
     got = L.remove_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
     no_python(got)
     assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 0}
+
+
+def test_wide_bitmaps_rule_out_no_linked_lines(spark):
+    """Sizes count a repeated window once, and no more bits differ than windows, with characters beyond the basic plane too."""
+    rng = random.Random(3)
+    lines = [prose(i, 40) + " " + "over and over again " * 10 + "😀" * (i % 3) for i in range(6)]
+    for line in list(lines):
+        other = list(line)
+        for _ in range(6):
+            other[rng.randrange(len(other))] = rng.choice("0123456789")
+        lines.append("".join(other))
+    lines = [line.strip() for line in lines]  # as _normal gives them
+    df = spark.createDataFrame(list(enumerate(lines)), "h1 bigint, norm string")
+    got = {r["node"]: r for r in L._wide(df).collect()}
+    for i, a in enumerate(lines):
+        assert got[i]["n"] == len(windows(a)) and len(got[i]["wide"]) == L.WIDE_WORDS
+        for j, b in enumerate(lines):
+            differ = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(got[i]["wide"], got[j]["wide"], strict=True))
+            assert differ <= len(windows(a) ^ windows(b)) and (i == j or differ > 0)

@@ -208,3 +208,40 @@ def test_last_pass_of_buckets_that_bitmaps_tell_apart_takes_no_elements(spark, m
         asked.clear()
         roots = stars.link(bands, sketches, 80, lambda nodes: (confirm, elements), Scratch(spark))
         assert {r["node"]: r["root"] for r in roots.collect()} == {i: i // 2 * 2 for i in range(n)} and len(asked) == need
+
+
+def test_last_pass_with_wider_bitmaps_takes_no_elements(spark, monkeypatch):
+    """Bitmaps that tell nothing: wider ones do, in buckets of any size (dealt over blocks), and a pair that many buckets hold meets in one of them."""
+    from siftwell.llm import stars
+
+    monkeypatch.setattr(stars, "PAIRS", 1 << 40)
+    n = 60
+    bands = spark.createDataFrame([(k, i) for k in range(3) for i in range(n) if k < 2 or i % 3], "key bigint, node bigint")
+    sketches = spark.createDataFrame([(i, 500, 0) for i in range(n)], "node bigint, size bigint, w0 bigint")
+    bits = {i: [1023 if j == i // 2 else 0 for j in range(64)] if i % 5 else None for i in range(n)}  # some have none
+    table = spark.createDataFrame([(i, 10, b) for i, b in bits.items() if b], "node bigint, n bigint, wide array<bigint>")
+    linked = spark.createDataFrame([(i, i + 1) for i in range(0, n, 2)], "u bigint, v bigint")
+    met, asked = [], []
+
+    def confirm(pairs):
+        rows = [(r["u"], r["v"]) for r in pairs.collect()]
+        met.append(rows)
+        return pairs.join(linked, ["u", "v"], "left_semi")
+
+    def elements(nodes):
+        asked.append(1)
+        return nodes.selectExpr("node", "10 AS size", "explode(sequence(0, 9)) AS e").selectExpr("node", "size", "node div 2 * 10 + e AS element")
+
+    wide = lambda nodes: table.join(nodes, "node", "left_semi")
+    monkeypatch.setattr(stars, "FEW", 64)
+    for crowd, folded in ((1024, 64), (7, 16)):
+        monkeypatch.setattr(stars, "CROWD", crowd)
+        monkeypatch.setattr(stars, "FOLDED", folded)
+        met.clear()
+        roots = stars.link(bands, sketches, 80, lambda nodes: (confirm, elements, wide), Scratch(spark))
+        assert {r["node"]: r["root"] for r in roots.collect()} == {i: i // 2 * 2 for i in range(n)} and not asked
+        some = lambda u, v: not (bits[u] and bits[v]) or (u // 2) % folded == (v // 2) % folded
+        assert len(met[-1]) == len(set(met[-1])) and all(some(u, v) for u, v in met[-1])
+    monkeypatch.setattr(stars, "FEW", 0)
+    roots = stars.link(bands, sketches, 80, lambda nodes: (confirm, elements, wide), Scratch(spark))
+    assert {r["node"]: r["root"] for r in roots.collect()} == {i: i // 2 * 2 for i in range(n)} and asked
