@@ -1,6 +1,7 @@
 """The operators made of DataFrame operations only."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -249,3 +250,27 @@ def test_wide_bitmaps_rule_out_no_linked_lines(spark):
         for j, b in enumerate(lines):
             differ = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(got[i]["wide"], got[j]["wide"], strict=True))
             assert differ <= len(windows(a) ^ windows(b)) and (i == j or differ > 0)
+
+
+def test_a_document_of_many_lines_is_split_once(spark):
+    """Before, its text was split again for each line that stays: minutes for this one."""
+    n = 40_000
+    text = "\n".join(f"{i}: line {i * 7919 % n}" for i in range(n)) + "\n0: line 0"
+    began = time.perf_counter()
+    row = L.remove_lines(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), min_chars=40).first()
+    assert row["n_removed"] == 1 and row["text"] == text.rsplit("\n", 1)[0] and time.perf_counter() - began < 60
+
+
+def test_arrays_are_not_made_again_for_an_inferred_filter(spark):
+    docs = spark.createDataFrame([(1, prose(1, 60)), (2, None), (3, "")], "doc_id bigint, text string")
+    lines = L.lines_of(docs)
+    for df in (lines, L._signed(lines), L._wide(lines.select("h1", "norm"))):
+        assert "(size(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["doc_id"] for r in lines.collect()] == [1]
+
+
+def test_similarity_makes_each_set_once(spark):
+    """Nor are wide bitmaps gathered again for each of their words."""
+    lines = spark.createDataFrame([(1, prose(1, 60))], "h1 bigint, norm string")
+    plan = lines.filter(L._similar(L._hashes(F.col("norm")), L._hashes(F.col("norm")), 80))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct(") == 2 and L._wide(lines).first()["n"] == len(windows(lines.first()["norm"]))

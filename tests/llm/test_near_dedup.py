@@ -245,3 +245,25 @@ def test_last_pass_with_wider_bitmaps_takes_no_elements(spark, monkeypatch):
     monkeypatch.setattr(stars, "FEW", 0)
     roots = stars.link(bands, sketches, 80, lambda nodes: (confirm, elements, wide), Scratch(spark))
     assert {r["node"]: r["root"] for r in roots.collect()} == {i: i // 2 * 2 for i in range(n)} and asked
+
+
+def test_wider_bitmaps_are_made_only_where_narrow_ones_tell_little(spark, monkeypatch):
+    from siftwell.llm import stars
+
+    monkeypatch.setattr(stars, "PAIRS", 1 << 40)
+    n = 60
+    bands = spark.createDataFrame([(0, i) for i in range(n)] + [(1, n + i) for i in range(n)], "key bigint, node bigint")
+    sketches = spark.createDataFrame([(i, 2, 3 << i // 2 * 2) if i < n else (i, 10, 0) for i in range(2 * n)], "node bigint, size bigint, w0 bigint")
+    table = spark.createDataFrame([(i, 10, [1023 if j == i // 2 else 0 for j in range(64)]) for i in range(2 * n)], "node bigint, n bigint, wide array<bigint>")
+    linked = spark.createDataFrame([(i, i + 1) for i in range(0, 2 * n, 2)], "u bigint, v bigint")
+    asked = []
+
+    def wide(nodes):
+        asked.append({r["node"] for r in nodes.collect()})
+        return table.join(nodes, "node", "left_semi")
+
+    confirm = lambda pairs: pairs.join(linked, ["u", "v"], "left_semi")
+    for told, need in ((n, []), (2 * n, [set(range(n, 2 * n))])):
+        asked.clear()
+        roots = stars.link(bands.filter(f"node < {told}"), sketches, 80, lambda nodes: (confirm, None, wide), Scratch(spark))
+        assert {r["node"]: r["root"] for r in roots.collect()} == {i: i // 2 * 2 for i in range(told)} and asked == need
